@@ -1,14 +1,18 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-A text of over ``chunk`` characters is encoded in overlapping chunks, each with its tokens' offsets. Two
+A text of over ``chunk`` characters is encoded in overlapping chunks, each with its parts' offsets. Two
 neighbouring encodings are spliced at a stable common boundary inside their overlap; where the overlap has none,
-it is doubled and the right chunk is encoded anew, at worst to the chunk's whole length. So no encoding
-ever spans more than two chunks while boundaries can be found, and texts of any length take bounded memory.
+it is doubled and the right chunk is encoded anew, at worst from the left chunk's start, and then the left chunk
+grows. So an encoding spans little more than a chunk while boundaries can be found, and texts of any length take
+bounded memory beside the text.
 
 A boundary at character p is stable if p follows ASCII white space and precedes something else. The tokenizer
 drops white space before it merges, so no token spans p and no merge can look across it, and normalisation (NFC,
-lower case) works within what stands on either side. It is common if neither encoding has a token across p.
-The tokens of the right chunk from p on are then those of the whole text, whatever stood before the chunk.
+lower case) works within what stands on either side. It is common if neither encoding has a part across p.
+The parts of the right chunk from p on are then those of the whole text, whatever stood before the chunk.
+
+By the same argument a chunk is encoded as the spans between its stable boundaries. Spans recur, so each worker
+encodes a span once and keeps the number of its tokens.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import bisect
 import os
 import re
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,20 +33,25 @@ from colloquy.llm.common import table
 CHUNK, OVERLAP = 8_192, 256
 #: Spans remembered by a worker; beyond, it starts over.
 MEMORY = 600_000
+#: Characters of short texts that are encoded together.
+GROUP = 1_000_000
 OVER = 2_048
 
 BOUNDARY = re.compile(r"(?<=[ \t\n\r])(?=[^ \t\n\r])")
 
-Encode = Callable[[str], list[tuple[int, int]]]
+SPAN = re.compile(r"[^ \t\n\r]+")
+#: A part of a text as encoded: start, end, tokens.
+Part = tuple[int, int, int]
+Encode = Callable[[str], list[Part]]
 
 
-def spliced(text: str, encode: Encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """The offsets of all tokens of ``text``; ``encode`` gives those of a chunk."""
+def spliced(text: str, encode: Encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[Part]:
+    """The parts of ``text``; ``encode`` gives those of a chunk, with offsets in it."""
     if len(text) <= chunk:
         return encode(text)
-    out: list[tuple[int, int]] = []
-    start, known = 0, encode(text[:chunk])  # known: the tokens from start on, relative to start
-    end = chunk
+    out: list[Part] = []
+    start, end = 0, chunk
+    known = encode(text[:chunk])  # the parts from start on, relative to start
     while end < len(text):
         width = overlap
         while True:
@@ -53,21 +63,21 @@ def spliced(text: str, encode: Encode, chunk: int = CHUNK, overlap: int = OVERLA
                 break
             width *= 2
         if at is None:  # no boundary in the whole chunk: it grows instead
-            stop = min(len(text), start + 2 * (end - start))
-            known, end = encode(text[start:stop]), stop
+            end = min(len(text), start + 2 * (end - start))
+            known = encode(text[start:end])
             continue
-        out += [(start + a, start + b) for a, b in known if start + b <= at]
-        known = [(a - (at - left), b - (at - left)) for a, b in found if left + a >= at]
+        out += [(start + a, start + b, n) for a, b, n in known if start + b <= at]
+        known = [(a - (at - left), b - (at - left), n) for a, b, n in found if left + a >= at]
         start, end = at, stop
-    return out + [(start + a, start + b) for a, b in known]
+    return out + [(start + a, start + b, n) for a, b, n in known]
 
 
-def common(text: str, start: int, known: list[tuple[int, int]], left: int, found: list[tuple[int, int]], end: int) -> int | None:
-    """The last stable boundary in text[left:end] that no token of either encoding spans."""
-    a_starts, b_starts = [a for a, _ in known], [a for a, _ in found]
+def common(text: str, start: int, known: list[Part], left: int, found: list[Part], end: int) -> int | None:
+    """The last stable boundary in text[left:end] that no part of either encoding spans."""
     for m in reversed(list(BOUNDARY.finditer(text, max(left, start + 1), end))):
         p = m.start()
-        i, j = bisect.bisect_left(a_starts, p - start) - 1, bisect.bisect_left(b_starts, p - left) - 1
+        i = bisect.bisect_left(known, p - start, key=itemgetter(0)) - 1
+        j = bisect.bisect_left(found, p - left, key=itemgetter(0)) - 1
         if p > left and (i < 0 or start + known[i][1] <= p) and (j < 0 or left + found[j][1] <= p):
             return p
     return None
@@ -86,26 +96,53 @@ class Counter:
         self.chunk, self.overlap = chunk, overlap
         self.seen: dict[str, int] = {}
 
-    def offsets(self, text: str) -> list[tuple[int, int]]:
-        return self.tokenizer.encode(text, add_special_tokens=False).offsets
+    def tokens(self, text: str) -> list[Part]:
+        """A chunk's tokens as parts, straight from the library."""
+        return [(a, b, 1) for a, b in self.tokenizer.encode(text, add_special_tokens=False).offsets]
 
     def learn(self, spans: set[str]) -> None:
-        new = [s for s in spans if s not in self.seen]
-        if len(self.seen) + len(new) > MEMORY:
+        """Encodes what isn't known yet. A full stop or comma behind a Latin letter is a token of its own, so such
+        spans are learnt from what stands before it."""
+        new = spans.difference(self.seen)
+        if len(self.seen) + 2 * len(new) > MEMORY:
             self.seen.clear()
-            new = list(spans)
-        short = [s for s in new if len(s) <= self.chunk]
-        self.seen.update(zip(short, map(len, self.tokenizer.encode_batch_fast(short, add_special_tokens=False)), strict=True))
-        self.seen.update((s, len(spliced(s, self.offsets, self.chunk, self.overlap))) for s in new if len(s) > self.chunk)
-
-    def count(self, text: str) -> int:
-        """Huge texts by overlapping chunks; others are cut at every stable boundary, as such spans recur and
-        are encoded once."""
-        if len(text) > self.chunk:
-            return len(spliced(text, self.offsets, self.chunk, self.overlap))
-        spans = re.split(r"[ \t\n\r]+", text)
-        self.learn(set(spans))
-        return sum(map(self.seen.__getitem__, spans))
+            new = set(spans)
+        ended = {s for s in new if s[-1] in ".," and s[-2:-1].lower().isalpha() and s[-2] < "\u0250"}
+        plain = list((new - ended).union((s[:-1] for s in ended), ".,").difference(self.seen))
+        self.seen.update(zip(plain, map(len, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)), strict=True))
+        for s in ended:
+            self.seen[s] = self.seen[s[:-1]] + self.seen[s[-1]]
+
+    def spans(self, chunk: str) -> list[Part]:
+        """A chunk's spans as parts."""
+        found = SPAN.findall(chunk)
+        self.learn(set(found))
+        at, out = 0, []
+        for s, n in zip(found, map(self.seen.__getitem__, found), strict=True):
+            at = chunk.index(s, at)
+            out.append((at, at + len(s), n))
+            at += len(s)
+        return out
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Texts of up to a chunk are encoded together, longer ones each by overlapping chunks."""
+        out, group, held = [0] * len(texts), [], 0
+        for i, text in enumerate(texts):
+            if len(text) > self.chunk:
+                out[i] = sum(n for _, _, n in spliced(text, self.spans, self.chunk, self.overlap))
+                continue
+            group.append((i, SPAN.findall(text)))
+            held += len(text)
+            if held > GROUP:
+                self.count_group(group, out)
+                group, held = [], 0
+        self.count_group(group, out)
+        return out
+
+    def count_group(self, group: list[tuple[int, list[str]]], out: list[int]) -> None:
+        self.learn(set().union(*(found for _, found in group)))
+        for i, found in group:
+            out[i] = sum(map(self.seen.__getitem__, found))
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", over: int = OVER, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -125,7 +162,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([counter.count(t) for t in texts], pa.int64())], ["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(counter.counts(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     out = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
