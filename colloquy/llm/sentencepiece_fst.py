@@ -20,10 +20,11 @@ cut, so texts of any length are encoded whole.
 
 from __future__ import annotations
 
+import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGE = 1, 2
-MEMORY = 500_000
+MEMORY = 800_000
 
 
 class Model:
@@ -72,6 +73,14 @@ class Transducer:
         self.longest = max(map(len, self.ids))
         self.follows: dict[int, bool] = {}
         self.solved: dict[str, tuple[int, ...]] = {}
+        #: What each id spells; the bytes of longer UTF-8 sequences are put together in decode().
+        self.surface = [p.replace(SPACE, " ") if t == NORMAL else m.unknown_surface if t == UNKNOWN else "" for p, t in zip(m.pieces, m.types, strict=True)]
+        self.value = {i: b for b, i in m.bytes.items()}
+        self.high = {i for i, b in self.value.items() if b > 127}
+        for i, b in self.value.items():
+            self.surface[i] = chr(b) if b < 128 else ""
+        crossing = any(p[i] != SPACE and p[i + 1] == SPACE for p in self.ids for i in range(len(p) - 1))
+        self.words = re.compile("(?s).+" if crossing else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.worst = min([m.scores[i] for i in self.ids.values()], default=0.0) - 10.0
 
     def normalise(self, text: str) -> str:
@@ -127,30 +136,35 @@ class Transducer:
             return (whole,)
         if len(span) == 1:
             return tuple(self.fallback(span)) if whole is None else (whole,)
-        if set(span) == {SPACE}:  # all its pieces may score alike, then neighbours don't decide alone
+        if set(span) == {SPACE}:  # its pieces may all score alike, then neighbours alone don't decide
             return tuple(self.merged_run(span))
-        arcs: dict[int, list[tuple[int, int]]] = {}
+        n, follows, arcs = len(span), self.follows, {}
         seen: set[int] = set()
-        stack: list[tuple[int, int, int]] = []  # position, last piece, next arc to try
+        back: list[tuple[int, int, int]] = []  # position, last piece, next arc to try
         position, last, nth = 0, -1, 0
-        n = len(span)
-        while True:
-            if position == n:
-                return tuple(p for _, p, _ in stack[1:]) + (last,)
+        while position < n:
             here = arcs.get(position)
             if here is None:
                 here = arcs[position] = self.arcs(span, position)
             for k in range(nth, len(here)):
                 end, piece = here[k]
-                if (end << 20 | piece) not in seen and (last < 0 or self.may_follow(last, piece)) and (last >= 0 or self.may_stand(piece)):
-                    seen.add(end << 20 | piece)
-                    stack.append((position, last, k + 1))
+                state = end << 20 | piece
+                if state in seen:
+                    continue
+                key = last << 20 | piece if last >= 0 else -1 - piece
+                fits = follows.get(key)
+                if fits is None:
+                    fits = self.may_follow(last, piece) if last >= 0 else self.may_stand(piece)
+                if fits:
+                    seen.add(state)
+                    back.append((position, last, k + 1))
                     position, last, nth = end, piece, 0
                     break
             else:
-                if not stack:  # no finite path: not a merge model that is complete
-                    return tuple(self.merged(span))
-                position, last, nth = stack.pop()
+                if not back:  # no finite path: the pieces aren't closed under merging
+                    return tuple(self.merged_run(span))
+                position, last, nth = back.pop()
+        return (*(p for _, p, _ in back[1:]), last)
 
     def may_stand(self, piece: int) -> bool:
         key = -1 - piece
@@ -160,8 +174,29 @@ class Transducer:
         return known
 
     def merged_run(self, span: str) -> list[int]:
-        """A run of U+2581 only, by merges; a long run's length halves with each sweep."""
-        return self.merged(span)
+        """The same merges as ``merged``, with a heap, for spans of any length."""
+        text, nexts, befores = list(span), list(range(1, len(span) + 1)), list(range(-1, len(span) - 1))
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = nexts[i]
+            if j < len(text) and (k := self.ids.get(text[i] + text[j])) is not None:
+                heapq.heappush(heap, (-self.model.scores[k], i, len(text[i]), len(text[j])))
+
+        for i in range(len(text) - 1):
+            offer(i)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = nexts[i]
+            if len(text[i]) != a or j >= len(text) or len(text[j]) != b or not a:
+                continue
+            text[i], text[j], nexts[i] = text[i] + text[j], "", nexts[j]
+            if nexts[j] < len(text):
+                befores[nexts[j]] = i
+            offer(i)
+            if befores[i] >= 0:
+                offer(befores[i])
+        return [i for p in text if p for i in ([self.ids[p]] if p in self.ids else self.fallback(p))]
 
     def cheapest(self, span: str) -> tuple[int, ...]:
         cost, back = [0.0] + [float("inf")] * len(span), [(0, -1)] * (len(span) + 1)
@@ -191,21 +226,29 @@ class Transducer:
         out.append(text[start:])
         return out
 
+    def solve(self, word: str) -> tuple[int, ...]:
+        """A word's ids; punctuation that nothing reads together with what stands before it is split off first."""
+        if len(word) > 2 and word[-1] in ".," and word[-2:] not in self.pairs and word[-1] in self.ids:
+            core = word[:-1]
+            ids = self.solved.get(core)
+            if ids is None:
+                ids = self.solved[core] = self.solve(core)
+            return (*ids, self.ids[word[-1]])
+        if len(word) <= 32 and self.characters.issuperset(word):
+            return self.path(word)
+        return tuple(i for span in self.spans(word) for i in self.path(span))
+
     def encode(self, text: str) -> list[int]:
         text = self.normalise(text)
         out: list[int] = []
-        if not text:
-            return out
         solved = self.solved
-        # words first: no piece reads another character before U+2581, so each word is a memo of its own
-        for word in re.findall(f"{SPACE}*[^{SPACE}]*", text):
-            if not word:
-                continue
+        # no piece reads another character before U+2581, so each word is a composition of its own
+        for word in self.words.findall(text):
             ids = solved.get(word)
             if ids is None:
-                ids = tuple(i for span in self.spans(word) for i in self.path(span))
                 if len(solved) >= MEMORY:
                     solved.clear()
+                ids = self.solve(word)
                 if len(word) <= 64:
                     solved[word] = ids
             out += ids
@@ -213,26 +256,23 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         """The text that the ids spell; bytes that aren't UTF-8 read U+FFFD each, control ids spell nothing."""
-        m, out, held = self.model, [], bytearray()
-        value = {i: b for b, i in m.bytes.items()}
-
-        def flush() -> None:
-            if held:
-                out.append(utf8(bytes(held)))
-                held.clear()
-
-        for i in ids:
-            if i in value:
-                held.append(value[i])
-                continue
-            flush()
-            if m.types[i] == NORMAL:
-                out.append(m.pieces[i])
-            elif m.types[i] == UNKNOWN:
-                out.append(m.unknown_surface)
-        flush()
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if m.prefix and text.startswith(" ") else text
+        if self.high.isdisjoint(ids):
+            text = "".join(map(self.surface.__getitem__, ids))
+        else:
+            out, held = [], bytearray()
+            for i in ids:
+                if i in self.high:
+                    held.append(self.value[i])
+                    continue
+                if held:
+                    out.append(utf8(bytes(held)))
+                    held.clear()
+                out.append(self.surface[i])
+            text = "".join(out) + utf8(bytes(held))
+        m = self.model
+        first = next((i for i in ids if m.types[i] != CONTROL), None)
+        strip = m.prefix and first is not None and m.types[first] == NORMAL and m.pieces[first].startswith(SPACE)
+        return text[1:] if strip else text
 
 
 def utf8(data: bytes) -> str:
@@ -254,7 +294,7 @@ def utf8(data: bytes) -> str:
 def pieces_of(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """A row for each row of ``docs``: id, ids (unless ``with_ids`` is false), n_pieces, ids_md5, text_md5, exact.
 
-    ids_md5 is the MD5 of the ids as decimal numbers joined by spaces; text_md5 that of the decoded text; exact says
+    ids_md5 is the MD5 of the ids as little-endian 32-bit numbers; text_md5 that of the decoded text; exact says
     whether decoding gives the text back (it doesn't where the text holds U+2581 itself). A null text counts
     as empty: no ids. Ids of rows may be null or repeated; each row is encoded by itself. An empty table gives an
     empty result. ``model`` is the model file's content and goes to the tasks with the function.
@@ -273,9 +313,9 @@ def pieces_of(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: s
                 ids = fst.encode(text)
                 back = fst.decode(ids)
                 if with_ids:
-                    every.append(np.array(ids, np.int32))
+                    every.append(ids)
                 n.append(len(ids))
-                a.append(md5(" ".join(map(str, ids)).encode()).hexdigest())
+                a.append(md5(array("i", ids).tobytes()).hexdigest())
                 b.append(md5(back.encode()).hexdigest())
                 same.append(back == text)
             columns = [batch.column(0), *([pa.array(every, pa.list_(pa.int32()))] if with_ids else []), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(same)]
