@@ -10,6 +10,7 @@ from colloquy.llm.ann_collision import op5_ann_collision
 from colloquy.llm.license_scan import OP10_SQL, op10_license_scan
 from colloquy.llm.line_templates import op7_line_templates
 from colloquy.llm.mixing import OP8_SQL, op8_mixing
+from colloquy.llm.quality import op4_quality
 from colloquy.llm.sentencepiece_fst import op1_sentencepiece_fst
 from colloquy.llm.simhash_golay import op9_simhash_golay
 from colloquy.llm.token_counts import op6_token_counts
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_fst": op1_sentencepiece_fst,
     "op2_url_filter": op2_url_filter,
     "op3_topk_fagin": op3_topk_fagin,
+    "op4_quality": op4_quality,
     "op5_ann_collision": op5_ann_collision,
     "op6_token_counts": op6_token_counts,
     "op7_line_templates": op7_line_templates,
