@@ -24,6 +24,13 @@ def ready(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of at most ``rows`` rows unless the session has its own number: whole texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, rows)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, with its lineage cut."""
     ready(df.sparkSession)

@@ -9,19 +9,20 @@ log does, would depend on the order of lines; here a template is a function of i
 on their own and counting is one aggregation that combines on the map side, however many lines a template has.
 
 A template recurs if it is in at least ``exact`` different documents, a generalised one in ``general``. Of a
-recurring template the first document (smallest id) keeps its lines, all others drop theirs.
+recurring template the first document (smallest id; rows of that id) keeps its lines, all others drop theirs.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import kept, table
+from colloquy.llm.common import few, kept, table, text_batches
 
 DEPTH, LEAST, SHARE, EXACT, GENERAL = 4, 12, 0.75, 2, 4
 FREE = "<*>"
@@ -45,67 +46,65 @@ def templates(line: str, depth: int = DEPTH, least: int = LEAST, share: float =
 
 def key_columns(id_col: str, text_col: str) -> list:
     """A document is an id with a text; rows that repeat both are one document."""
-    return [F.col(f"`{id_col}`").alias("k_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("k_text")]
+    return [F.col(f"`{id_col}`").alias("k_id"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("k_doc")]
 
 
-def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, least: int, share: float, exact: int, general: int) -> DataFrame:
-    """(k_id, k_text, lines): for each document that loses lines, their numbers."""
+def parsed(docs: DataFrame, id_col: str, text_col: str, depth: int, least: int, share: float) -> DataFrame:
+    """(k_id, k_doc, line, templates): a row for each line with tokens; templates as hashes, the whole text's first."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            at, number, whole, keys = [], [], [], []
-            for i, text in enumerate(batch.column(2)):
-                for j, line in enumerate((text.as_py() or "").split("\n")):
+            at, number, keys, ends = array("i"), array("i"), array("q"), array("i", [0])
+            for i in range(batch.num_rows):
+                for j, line in enumerate((batch.column(2)[i].as_py() or "").split("\n")):
                     found = templates(line, depth, least, share)
-                    for g, template in enumerate(found):
+                    if found:
                         at.append(i)
                         number.append(j)
-                        whole.append(g == 0)
-                        keys.append(xxhash.xxh3_64_intdigest(template) - 2**63)
-                if len(keys) > 200_000:
-                    yield pack(batch, at, number, whole, keys)
-                    at, number, whole, keys = [], [], [], []
-            yield pack(batch, at, number, whole, keys)
-
-    def pack(batch: pa.RecordBatch, at: list, number: list, whole: list, keys: list) -> pa.RecordBatch:
-        rows = pa.array(at, pa.int32())
-        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(whole, pa.bool_()), pa.array(keys, pa.int64())], ["k_id", "k_text", "line", "whole", "template"])
-
-    source = docs.select(*key_columns(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
-    lines = kept(source.mapInArrow(parse, f"k_id {kind}, k_text bigint, line int, whole boolean, template bigint"))
-    document = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_text")
-    # the first and the last document tell one from many; the count of documents needs each of them once
-    counted = (
-        lines.groupBy("template", "whole").agg(F.min(document).alias("first"), F.max(document).alias("last"), F.count("*").alias("n")).where("first <> last")
-    )
-    enough = counted.where(F.col("n") >= F.when(F.col("whole"), exact).otherwise(general))
-    if max(exact, general) > 2:
-        per_document = lines.join(enough.select("template"), "template", "left_semi").groupBy("template", "whole", "k_id", "k_text").agg(F.lit(1).alias("one"))
-        documents = per_document.groupBy("template", "whole").agg(F.count("*").alias("documents"))
-        sure = documents.where(F.col("documents") >= F.when(F.col("whole"), exact).otherwise(general)).select("template", "whole")
-        enough = enough.join(sure, ["template", "whole"])
-    firsts = enough.select("template", F.col("first.k_id").alias("f_id"), F.col("first.k_text").alias("f_text"))
-    again = lines.join(firsts, "template").where(~(F.col("k_id").eqNullSafe(F.col("f_id")) & (F.col("k_text") == F.col("f_text"))))
-    return again.groupBy("k_id", "k_text").agg(F.collect_set("line").alias("lines"))
+                        keys.extend(xxh3_64_intdigest(t) - 2**63 for t in found)
+                        ends.append(len(keys))
+            rows = pa.array(at, pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), lists], ["k_id", "k_doc", "line", "templates"])
+
+    return docs.select(*key_columns(id_col, text_col), F.col(f"`{text_col}`").alias("text")).mapInArrow(parse, f"k_id {kind}, k_doc bigint, line int, templates array<bigint>")
+
+
+def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, least: int, share: float, exact: int, general: int) -> DataFrame:
+    """(k_id, k_doc, lines): for each document that loses lines, their numbers."""
+    lines = kept(parsed(docs, id_col, text_col, depth, least, share))
+    each = lines.select("k_id", "k_doc", "line", F.posexplode("templates").alias("which", "template"))
+    needed = F.when(F.col("whole"), exact).otherwise(general)
+    grouped = each.groupBy("template").agg(F.min("k_id").alias("first"), F.min("k_doc").alias("low"), F.max("k_doc").alias("high"), F.count("*").alias("n"), (F.min("which") == 0).alias("whole"))
+    several = kept(grouped.where((F.col("low") != F.col("high")) & (F.col("n") >= needed)).select("template", "whole", "first"))
+    n = several.count()
+    if max(exact, general) > 2:  # lines aren't documents: a document may repeat a line
+        hits = each.select("k_doc", "template").join(few(several.select("template", "whole"), n), "template")
+        documents = hits.groupBy("template", "whole", "k_doc").agg(F.lit(1).alias("one")).groupBy("template", "whole").agg(F.count("*").alias("documents"))
+        several = kept(several.join(documents.where(F.col("documents") >= needed).select("template"), "template", "left_semi"))
+        n = several.count()
+    again = each.join(few(several.select("template", "first"), n), "template").where(~F.col("k_id").eqNullSafe(F.col("first")))
+    return again.groupBy("k_id", "k_doc").agg(F.collect_set("line").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, share: float = SHARE, exact: int = EXACT, general: int = GENERAL) -> DataFrame:
     """All rows and columns of ``docs`` with the text column cleaned, and n_lines, n_dropped beside them.
 
     A null text stays null and an empty one empty (no line is dropped); a document whose lines all recur keeps its
-    row with an empty text. A row with a null id is a document of its text. Rows that repeat id and text are one
+    row with an empty text. Null ids count as one id that comes last. Rows that repeat id and text are one
     document and are cleaned alike. Lines without tokens are never dropped. An empty table gives an empty result.
     Columns of the input named as ours are not allowed to be n_lines or n_dropped; they are replaced.
     """
+    text_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     drops = recurring_lines(docs, id_col, text_col, depth, least, share, exact, general)
     keys = key_columns(id_col, text_col)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), *keys)
-    d = drops.select(F.col("k_id").alias("d_id"), F.col("k_text").alias("d_text"), "lines")
-    joined = row.join(d, F.col("k_id").eqNullSafe(F.col("d_id")) & (F.col("k_text") == F.col("d_text")), "left")
+    d = drops.select(F.col("k_id").alias("d_id"), F.col("k_doc").alias("d_doc"), "lines")
+    joined = row.join(d, (F.col("k_doc") == F.col("d_doc")) & F.col("k_id").eqNullSafe(F.col("d_id")), "left")
     flat = joined.select(*(F.col("row").getField(c).alias(c) for c in others), F.col("lines").alias("n_dropped"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in others)).schema) + ", n_lines bigint, n_dropped bigint"
     at = others.index(text_col)

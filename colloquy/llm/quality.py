@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import few, kept, table
+from colloquy.llm.common import few, kept, table, text_batches
 
 #: Bounds: labelled documents used for fitting, and features kept.
 SAMPLE, FEATURES = 16_000, 20_000
@@ -134,6 +134,7 @@ def curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
 
 def scored(docs: DataFrame, text_col: str, weights: dict[str, float]) -> DataFrame:
     """``docs`` with the column ``evidence``."""
+    text_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", evidence double"

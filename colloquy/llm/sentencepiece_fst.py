@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import table
+from colloquy.llm.common import table, text_batches
 
 SPACE = "▁"
 #: Piece types of the model format.
@@ -321,6 +321,7 @@ def pieces_of(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: s
             columns = [batch.column(0), *([pa.array(every, pa.list_(pa.int32()))] if with_ids else []), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(same)]
             yield pa.RecordBatch.from_arrays(columns, ["id", *(["ids"] if with_ids else []), "n_pieces", "ids_md5", "text_md5", "exact"])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

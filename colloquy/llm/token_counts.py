@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import table
+from colloquy.llm.common import table, text_batches
 
 #: Characters of a chunk, and of the overlap that is tried first.
 CHUNK, OVERLAP = 8_192, 256
@@ -164,6 +164,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(counter.counts(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
+    text_batches(docs.sparkSession)
     out = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
 
