@@ -82,9 +82,9 @@ def confirmed(found: DataFrame, structure: DataFrame, threshold: float = 0.75, l
     is above ``least``. With ``confirm`` (a function of rows to rows of e1, e2, same, llm_confidence), pairs under
     0.85 need it, and those under the threshold are dropped."""
     joined = found.join(structure.select(F.col("p1").alias("e1"), F.col("p2").alias("e2"), F.col("jaccard").alias("_j")), ["e1", "e2"], "left").withColumn("_j", F.coalesce("_j", F.lit(0.0)))
-    c = 0.7 * F.col("confidence") + 0.3 * F.col("_j")
-    kept = joined.withColumn("reason", F.when((c < threshold) & (F.col("_j") > least), F.concat("reason", F.lit("+graph"))).otherwise(F.col("reason"))).withColumn("confidence", F.round(c, 6)).where((c >= threshold) | (F.col("_j") > least))
-    kept = kept.select("e1", "e2", "confidence", "reason")
+    c = F.col("_c")
+    both = joined.withColumn("_c", 0.7 * F.col("confidence") + 0.3 * F.col("_j")).where((c >= threshold) | (F.col("_j") > least))
+    kept = both.select("e1", "e2", F.round(c, 6).alias("confidence"), F.when((c < threshold) & (F.col("_j") > least), F.concat("reason", F.lit("+graph"))).otherwise(F.col("reason")).alias("reason"))
     if confirm is None:
         return kept
     sure, ask = kept.where("confidence >= 0.85"), kept.where((F.col("confidence") >= threshold) & (F.col("confidence") < 0.85))
