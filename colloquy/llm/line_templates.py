@@ -8,7 +8,8 @@ that differ only in a field there have that template in common. Growing template
 log does, would depend on the order of lines; here a template is a function of its line, so all lines are parsed
 on their own and counting is one aggregation that combines on the map side, however many lines a template has.
 
-A template recurs if it is in at least ``exact`` different documents, a generalised one in ``general``. Of a
+A template recurs if it is in different documents, in at least ``exact`` of them, a generalised one in ``general``
+(rows that repeat a document count again). Of a
 recurring template the first document (smallest id; rows of that id) keeps its lines, all others drop theirs.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import few, kept, table, text_batches
+from colloquy.llm.common import kept, table, text_batches
 
 DEPTH, LEAST, SHARE, EXACT, GENERAL = 4, 12, 0.75, 2, 4
 FREE = "<*>"
@@ -50,43 +51,44 @@ def key_columns(id_col: str, text_col: str) -> list:
 
 
 def parsed(docs: DataFrame, id_col: str, text_col: str, depth: int, least: int, share: float) -> DataFrame:
-    """(k_id, k_doc, line, templates): a row for each line with tokens; templates as hashes, the whole text's first."""
+    """(k_id, k_doc, line, templates, fresh): a row for each line with tokens; templates as hashes, the whole text's
+    first; bit i of fresh is set where no earlier line of the document has template i."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            at, number, keys, ends = array("i"), array("i"), array("q"), array("i", [0])
+            at, number, keys, ends, fresh = array("i"), array("i"), array("q"), array("i", [0]), array("i")
             for i in range(batch.num_rows):
+                seen: set[int] = set()
                 for j, line in enumerate((batch.column(2)[i].as_py() or "").split("\n")):
                     found = templates(line, depth, least, share)
                     if found:
                         at.append(i)
                         number.append(j)
-                        keys.extend(xxh3_64_intdigest(t) - 2**63 for t in found)
+                        hashes = [xxh3_64_intdigest(t) - 2**63 for t in found]
+                        fresh.append(sum(1 << g for g, h in enumerate(hashes) if h not in seen))
+                        seen.update(hashes)
+                        keys.extend(hashes)
                         ends.append(len(keys))
             rows = pa.array(at, pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), lists], ["k_id", "k_doc", "line", "templates"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), lists, pa.array(fresh, pa.int32())], ["k_id", "k_doc", "line", "templates", "fresh"])
 
-    return docs.select(*key_columns(id_col, text_col), F.col(f"`{text_col}`").alias("text")).mapInArrow(parse, f"k_id {kind}, k_doc bigint, line int, templates array<bigint>")
+    return docs.select(*key_columns(id_col, text_col), F.col(f"`{text_col}`").alias("text")).mapInArrow(parse, f"k_id {kind}, k_doc bigint, line int, templates array<bigint>, fresh int")
 
 
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, least: int, share: float, exact: int, general: int) -> DataFrame:
     """(k_id, k_doc, lines): for each document that loses lines, their numbers."""
     lines = kept(parsed(docs, id_col, text_col, depth, least, share))
-    each = lines.select("k_id", "k_doc", "line", F.posexplode("templates").alias("which", "template"))
-    needed = F.when(F.col("whole"), exact).otherwise(general)
-    grouped = each.groupBy("template").agg(F.min("k_id").alias("first"), F.min("k_doc").alias("low"), F.max("k_doc").alias("high"), F.count("*").alias("n"), (F.min("which") == 0).alias("whole"))
-    several = kept(grouped.where((F.col("low") != F.col("high")) & (F.col("n") >= needed)).select("template", "whole", "first"))
-    n = several.count()
-    if max(exact, general) > 2:  # lines aren't documents: a document may repeat a line
-        hits = each.select("k_doc", "template").join(few(several.select("template", "whole"), n), "template")
-        documents = hits.groupBy("template", "whole", "k_doc").agg(F.lit(1).alias("one")).groupBy("template", "whole").agg(F.count("*").alias("documents"))
-        several = kept(several.join(documents.where(F.col("documents") >= needed).select("template"), "template", "left_semi"))
-        n = several.count()
-    again = each.join(few(several.select("template", "first"), n), "template").where(~F.col("k_id").eqNullSafe(F.col("first")))
+    each = lines.select("k_id", "k_doc", "line", "fresh", F.posexplode("templates").alias("which", "template"))
+    counted = each.select("k_id", "k_doc", "template", "which", F.expr("shiftright(fresh, which) & 1").alias("new"))
+    grouped = counted.groupBy("template").agg(F.min("k_id").alias("first"), F.min("k_doc").alias("low"), F.max("k_doc").alias("high"), F.sum("new").alias("documents"), F.min("which").alias("which"))
+    enough = F.col("documents") >= F.when(F.col("which") == 0, exact).otherwise(general)
+    several = kept(grouped.where((F.col("low") != F.col("high")) & enough).select("template", "first"))
+    # always dealt by template: a broadcast that ends at some number of templates would change the plan as data grow
+    again = each.select("k_id", "k_doc", "line", "template").join(several.hint("merge"), "template").where(~F.col("k_id").eqNullSafe(F.col("first")))
     return again.groupBy("k_id", "k_doc").agg(F.collect_set("line").alias("lines"))
 
 
