@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 from colloquy.functions import lexicon as lex
 from colloquy.functions import rules
@@ -22,7 +22,7 @@ class Fold(StatefulProcessor):
     """The same fold as in the batch; a control row with reset = true puts a session back to its start."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", StructType.fromDDL(STATE))
+        self.state = handle.getValueState("session", StructType().add("mood", DoubleType()).add("intimacy", DoubleType()).add("turn_count", LongType()).add("last_topic", StringType()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mood, near, n, topic = tuple(self.state.get()) if self.state.exists() else (MOOD, INTIMACY, 0, "")
