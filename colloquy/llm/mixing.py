@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", domain: Col
     domain_, lang_, source_, epoch, n_tokens.
 
     ``share`` of all tokens is the budget; ``weights`` has domain, lang, source, weight, with nulls below
-    the level that a row is about; what isn't listed weighs 1, a weight of zero or less takes nothing. Null levels
+    the level that a row is about; what isn't listed or has a null weight weighs 1, a weight of zero or less takes nothing. Null levels
     count as empty names, null texts as no tokens. Rows of a leaf with the same id stand at the same place and are
     taken together or not at all; null ids are one id. Documents of no tokens go with the prefix that they stand
     in. An empty table gives an empty result. Each leaf takes at most its budget, and the next document in order
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", domain: Col
     id_ = F.col(f"`{id_col}`")
     levels = dict(zip(LEVELS, (domain if domain is not None else source_domain(F.col("source")), lang if lang is not None else F.col("lang"), source if source is not None else F.col("source")), strict=True))
     tokens = tokens if tokens is not None else text_tokens(F.col("text"))
-    weights = weights.withColumn("weight", F.greatest("weight", F.lit(0.0)))
+    weights = weights.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.0)))
     taken, n = decisions(docs, weights, id_, levels, tokens, share, epochs, seed)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), id_.alias("id"), tokens.alias("n_tokens"), *(F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in levels.items()))
     joined = row.join(few(taken, n), list(LEVELS))

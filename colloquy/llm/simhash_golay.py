@@ -124,32 +124,33 @@ def spanning(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarr
     return rows[moved], rows[group[moved]]
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Links within the buckets of rows sorted by key; and which rows are in buckets over BLOCK, left for later."""
+def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int, block: int = BLOCK) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Links within the buckets of rows sorted by key; and which rows are in buckets over ``block``, left for later."""
     starts = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
     size = np.repeat(sizes, sizes)
     x, y = [], []
     place = np.arange(len(keys)) - np.repeat(starts, sizes)
-    at = np.nonzero((size > 1) & (size <= SMALL))[0]
-    for step in range(1, SMALL):
+    small = min(SMALL, block)
+    at = np.nonzero((size > 1) & (size <= small))[0]
+    for step in range(1, small):
         at = at[place[at] + step < size[at]]
         if not len(at):
             break
         hit = at[near(fps[at], fps[at + step], radius)]
         x.append(fps[hit])
         y.append(fps[hit + step])
-    for s, n in zip(starts[(sizes > SMALL) & (sizes <= BLOCK)], sizes[(sizes > SMALL) & (sizes <= BLOCK)], strict=True):
+    for s, n in zip(starts[(sizes > small) & (sizes <= block)], sizes[(sizes > small) & (sizes <= block)], strict=True):
         a, b = spanning(fps[s : s + n], None, radius)
         x.append(a)
         y.append(b)
-    return x, y, size > BLOCK
+    return x, y, size > block
 
 
-def links(fps: DataFrame, radius: int = 3) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
     """(src, dst): links that join all fingerprints of the column ``fp`` (distinct) which differ in at most ``radius`` (3 at most) bits.
 
-    Buckets of over BLOCK fingerprints are dealt out anew as pairs of blocks, so that no bucket has to fit a task.
+    Buckets of over ``block`` fingerprints are dealt out anew as pairs of blocks, so that no bucket has to fit a task.
     """
     if not 0 <= radius <= 3:
         raise ValueError("the pigeonhole over three segments holds up to three bits")
@@ -189,18 +190,18 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
             held.append((key, fp))
             key, fp = (np.concatenate(v) for v in zip(*held, strict=True))
             cut = int(np.searchsorted(key, key[-1], side="left"))
-            x, y, over = bucket_links(key[:cut], fp[:cut], radius)
+            x, y, over = bucket_links(key[:cut], fp[:cut], radius, block)
             yield found(x, y)
             if over.any():
                 yield late(key[:cut][over], fp[:cut][over])
             held = [(key[cut:], fp[cut:])]
-            if len(key) - cut > BLOCK:
+            if len(key) - cut > block:
                 hot = int(key[-1])
                 yield late(key[cut:], fp[cut:])
                 held = []
         if held:
             key, fp = held[0]
-            x, y, over = bucket_links(key, fp, radius)
+            x, y, over = bucket_links(key, fp, radius, block)
             yield found(x, y)
             if over.any():
                 yield late(key[over], fp[over])
@@ -211,11 +212,10 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     first = kept(dealt.mapInArrow(link, "late bigint, src bigint, dst bigint"))
     out = first.where("late is null").select("src", "dst").distinct()
     late = first.where("late is not null").select(F.col("late").alias("key"), F.col("src").alias("fp"))
-    sizes = late.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    sizes = late.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
     if sizes.isEmpty():
         return out
-    block = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks"))
-    placed = late.join(sizes, "key").withColumn("block", block)
+    placed = late.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     tasks = placed.select("key", "fp", "block", "blocks").withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
 
