@@ -85,8 +85,15 @@ def segment_keys(values: np.ndarray, bits: int) -> np.ndarray:
 
 def joint_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows (position, key): each fingerprint's joint keys."""
-    u = fps.view(np.uint64)
-    keys = [segment_keys(((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64), n) for at, n in SEGMENTS]
+    return paired([segment_keys(bits_of(fps[:, 0], at, n), n) for at, n in SEGMENTS])
+
+
+def bits_of(longs: np.ndarray, at: int, n: int) -> np.ndarray:
+    return ((longs.view(np.uint64) >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64)
+
+
+def paired(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (position, key) of all pairs of segments and all pairs of their keys."""
     where, out = [], []
     for k, (a, b) in enumerate(combinations(keys, 2)):
         both = (a[:, :, None].astype(np.int64) << 12 | b[:, None, :]) | k << 24
@@ -97,39 +104,48 @@ def joint_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64)) <= radius
+    """Whether fingerprints differ in at most ``radius`` bits; their longs are the last axis."""
+    return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64)).sum(axis=-1, dtype=np.int16) <= radius
 
 
 def spanning(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within a (b: None) or across a and b that join all that the linked pairs join: a row for each member
-    at most, not each pair."""
+    """Links within a (b: None) or across a and b that join all that the linked pairs join: positions, a row for each
+    member at most, not each pair. Every row is a link itself: it is how its member was reached first."""
     rows = a if b is None else np.concatenate([a, b])
-    group = np.arange(len(rows))
-    offset = 0 if b is None else len(a)
-    other = a if b is None else b
-    step = max(1, (1 << 22) // max(1, len(other)))
-    changed = True
-    while changed:  # the smallest member spreads along the links until nothing changes
-        before = group.copy()
-        for k in range(0, len(a), step):
-            linked = near(a[k : k + step, None], other[None, :], radius)
-            mine, theirs = group[k : min(k + step, len(a))], group[offset:]
-            low = np.where(linked, theirs[None, :], len(rows)).min(axis=1, initial=len(rows))
-            back = np.where(linked, mine[:, None], len(rows)).min(axis=0, initial=len(rows))
-            np.minimum(theirs, back, out=theirs)
-            np.minimum(mine, low, out=mine)
-        group = np.minimum(group, group[group])
-        changed = not np.array_equal(before, group)
-    moved = group != np.arange(len(rows))
-    return rows[moved], rows[group[moved]]
-
-
-def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int, block: int = BLOCK) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Links within the buckets of rows sorted by key; and which rows are in buckets over ``block``, left for later."""
+    n, offset = len(rows), 0 if b is None else len(a)
+    left = np.arange(n)
+    out_a, out_b = [], []
+    todo = np.ones(n, bool)
+    while todo.any():  # from each start, what it reaches is reached in waves
+        wave = np.array([left[todo][0]])
+        todo[wave] = False
+        while len(wave):
+            next_wave = []
+            for part in np.array_split(wave, -(-len(wave) // 256)):
+                open_ = np.nonzero(todo)[0]
+                if not len(open_):
+                    break
+                hit = near(rows[part][:, None], rows[open_][None], radius)
+                if b is not None:
+                    hit &= (part < offset)[:, None] != (open_ < offset)[None]
+                first = hit.argmax(axis=0)
+                reached = hit[first, np.arange(len(open_))]
+                new = open_[reached]
+                out_a.append(part[first[reached]])
+                out_b.append(new)
+                todo[new] = False
+                next_wave.append(new)
+            wave = np.concatenate(next_wave) if next_wave else np.zeros(0, np.int64)
+    empty = [np.zeros(0, np.int64)]
+    return np.concatenate(out_a or empty), np.concatenate(out_b or empty)
+
+
+def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (positions) within the buckets of rows sorted by key; and which rows are in buckets over ``block``, left for later."""
     starts = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
     size = np.repeat(sizes, sizes)
-    x, y = [], []
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     place = np.arange(len(keys)) - np.repeat(starts, sizes)
     small = min(SMALL, block)
     at = np.nonzero((size > 1) & (size <= small))[0]
@@ -138,91 +154,113 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int, block: int = BL
         if not len(at):
             break
         hit = at[near(fps[at], fps[at + step], radius)]
-        x.append(fps[hit])
-        y.append(fps[hit + step])
-    for s, n in zip(starts[(sizes > small) & (sizes <= block)], sizes[(sizes > small) & (sizes <= block)], strict=True):
+        x.append(hit)
+        y.append(hit + step)
+    large = (sizes > small) & (sizes <= block)
+    for s, n in zip(starts[large], sizes[large], strict=True):
         a, b = spanning(fps[s : s + n], None, radius)
-        x.append(a)
-        y.append(b)
-    return x, y, size > block
+        x.append(a + s)
+        y.append(b + s)
+    return np.concatenate(x), np.concatenate(y), size > block
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Another hash of unsigned hashes (the finaliser of splitmix64)."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
-    """(src, dst): links that join all fingerprints of the column ``fp`` (distinct) which differ in at most ``radius`` (3 at most) bits.
+def node(fps: np.ndarray) -> np.ndarray:
+    """A fingerprint's number: itself if it is one long, else a hash of its longs."""
+    if fps.shape[1] == 1:
+        return fps[:, 0]
+    return mixed(fps[:, 0].view(np.uint64) ^ mixed(fps[:, 1].view(np.uint64))).view(np.int64)
 
-    Buckets of over ``block`` fingerprints are dealt out anew as pairs of blocks, so that no bucket has to fit a task.
+
+def links(fps: DataFrame, radius: int = 3, block: int = BLOCK, keys=joint_keys) -> DataFrame:
+    """(src, dst): links that join all fingerprints (distinct rows of one or two longs) which differ in at most
+    ``radius`` bits and share a key; with joint_keys and up to three bits, all that differ in so few.
+
+    src and dst are the fingerprints' numbers (see node). Buckets of over ``block`` fingerprints are dealt out anew as
+    pairs of blocks, so that no bucket has to fit a task.
     """
-    if not 0 <= radius <= 3:
+    if keys is joint_keys and not 0 <= radius <= 3:
         raise ValueError("the pigeonhole over three segments holds up to three bits")
     spark = fps.sparkSession
+    cols = fps.columns
+    longs = ", ".join(f"{c} bigint" for c in cols)
+    width = len(cols)
+
+    def read(batch: pa.RecordBatch, first: int = 0) -> np.ndarray:
+        return np.stack([batch.column(first + i).to_numpy(zero_copy_only=False) for i in range(width)], axis=1) if batch.num_rows else np.zeros((0, width), np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
-            for k in range(0, len(fp), 4096):
-                at, key = joint_keys(fp[k : k + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[k : k + 4096][at])], ["key", "fp"])
+            fp = read(batch)
+            for k in range(0, len(fp), 1024):
+                at, key = keys(fp[k : k + 1024])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(fp[k : k + 1024, i][at]) for i in range(width))], ["key", *cols])
+
+    names = ["late", *cols, "src", "dst"]
+
+    def found(fp: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        a, b = node(fp[x]), node(fp[y])
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(pairs), pa.int64()) for _ in range(1 + width)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names)
 
-    def found(x: list[np.ndarray], y: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["late", "src", "dst"])
+    def late(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(fp[:, i]) for i in range(width)), pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.int64())], names)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last key, which may go on in the next batch
         hot: int | None = None
 
-        def late(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.nulls(len(key), pa.int64())], ["late", "src", "dst"])
+        def done(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            x, y, over = bucket_links(key, fp, radius, block)
+            yield found(fp, x, y)
+            if over.any():
+                yield late(key[over], fp[over])
 
         for batch in batches:
-            key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(key):
-                continue
+            key, fp = batch.column(0).to_numpy(zero_copy_only=False), read(batch, 1)
             if hot is not None:  # the rest of a bucket that is too large already
                 n = int(np.searchsorted(key, hot, side="right"))
                 if n:
                     yield late(key[:n], fp[:n])
                     key, fp = key[n:], fp[n:]
-                if not len(key):
-                    continue
-                hot = None
+            if not len(key):
+                continue
+            hot = None
             held.append((key, fp))
             key, fp = (np.concatenate(v) for v in zip(*held, strict=True))
             cut = int(np.searchsorted(key, key[-1], side="left"))
-            x, y, over = bucket_links(key[:cut], fp[:cut], radius, block)
-            yield found(x, y)
-            if over.any():
-                yield late(key[:cut][over], fp[:cut][over])
+            yield from done(key[:cut], fp[:cut])
             held = [(key[cut:], fp[cut:])]
             if len(key) - cut > block:
                 hot = int(key[-1])
                 yield late(key[cut:], fp[cut:])
                 held = []
         if held:
-            key, fp = held[0]
-            x, y, over = bucket_links(key, fp, radius, block)
-            yield found(x, y)
-            if over.any():
-                yield late(key[over], fp[over])
+            yield from done(*held[0])
 
     n = partitions(spark)
-    keys = fps.select("fp").mapInArrow(spread, "key bigint, fp bigint")
-    dealt = keys.repartition(n, "key").sortWithinPartitions("key")
-    first = kept(dealt.mapInArrow(link, "late bigint, src bigint, dst bigint"))
+    dealt = fps.mapInArrow(spread, f"key bigint, {longs}").repartition(n, "key").sortWithinPartitions("key")
+    first = kept(dealt.mapInArrow(link, f"late bigint, {longs}, src bigint, dst bigint"))
     out = first.where("late is null").select("src", "dst").distinct()
-    late = first.where("late is not null").select(F.col("late").alias("key"), F.col("src").alias("fp"))
-    sizes = late.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
+    rest = first.where("late is not null").select(F.col("late").alias("key"), *cols)
+    sizes = rest.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block))
     if sizes.isEmpty():
         return out
-    placed = late.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")))
+    placed = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64(*cols, F.lit(7)), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    tasks = placed.select("key", "fp", "block", "blocks").withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
+    tasks = placed.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *cols)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)], axis=1)
+            now = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4 + width)], axis=1)
             held = now if held is None else np.concatenate([held, now])
             change = np.nonzero((held[1:, :3] != held[:-1, :3]).any(axis=1))[0] + 1
             for a, b in zip([0, *change[:-1]], change, strict=False):
@@ -233,11 +271,11 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
             yield one(held)
 
     def one(rows: np.ndarray) -> pa.RecordBatch:
-        fp, side = np.ascontiguousarray(rows[:, 4]), rows[:, 3] == rows[:, 1]
-        a = fp[side]
-        x, y = spanning(a, None if side.all() else fp[~side], radius)
-        pairs = np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
+        side = rows[:, 3] == rows[:, 1]
+        fp = np.ascontiguousarray(np.concatenate([rows[side, 4:], rows[~side, 4:]]))
+        m = int(side.sum())
+        x, y = spanning(fp, None, radius) if m == len(fp) else spanning(fp[:m], fp[m:], radius)
+        return found(fp, x, y).select(["src", "dst"])
 
     blocks = tasks.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return out.union(blocks.mapInArrow(pair, "src bigint, dst bigint")).distinct()
@@ -266,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     each = kept(fingerprints(docs, id_col, text_col, shingle))
     classes = kept(each.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(links(classes, radius)).select(F.col("node").alias("fp"), "root")
+    roots = components(links(classes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
     joined = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = kept(joined.select("fp", "root").join(smallest, "root").select("fp", "component_id"))
