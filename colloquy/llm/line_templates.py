@@ -92,9 +92,10 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, lea
     return again.groupBy("k_id", "k_doc").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, share: float = SHARE, exact: int = EXACT, general: int = GENERAL) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, share: float = SHARE, exact: int = EXACT, general: int = GENERAL, spare: float | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with the text column cleaned, and n_lines, n_dropped beside them.
 
+    With ``spare``, a document of which lines with at least this share of the characters would go stays whole.
     A null text stays null and an empty one empty (no line is dropped); a document whose lines all recur keeps its
     row with an empty text. Null ids count as one id that comes last. Rows that repeat id and text are one
     document and are cleaned alike. Lines without tokens are never dropped. An empty table gives an empty result.
@@ -117,6 +118,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for text, drop in zip(batch.column(at).to_pylist(), batch.column(len(others)).to_pylist(), strict=True):
                 lines = [] if text is None else text.split("\n")
                 gone = set(drop or ())
+                if gone and spare is not None and sum(len(lines[j]) for j in gone) >= spare * sum(map(len, lines)):
+                    gone = set()
                 texts.append("\n".join(x for j, x in enumerate(lines) if j not in gone) if gone else text)
                 n_lines.append(len(lines))
                 n_dropped.append(len(gone))

@@ -2,8 +2,8 @@
 
 Two longs make a fingerprint of 126 bits, six segments of 21 bits (padded to the code's 23). Two texts of shingle
 similarity J differ in about arccos(2 J / (1 + J)) / pi of the bits: 19 of 126 at J = 0.8, 13 at 0.9, 8 at 0.96. Such
-fingerprints have segments with few differing bits; two segments that share a key each give a joint key (15 pairs of
-segments). What shares a joint key and differs in at most ``RADIUS`` bits goes on to verification: each text keeps
+fingerprints have segments with few differing bits; two segments of a long that share a key each give a joint key
+(six pairs of segments, about 170 keys for a text). What shares a joint key and differs in at most ``RADIUS`` bits goes on to verification: each text keeps
 the ``SKETCH`` smallest of its shingles' hashes, and a link stands if the smallest of both texts together show at
 least the asked similarity. Texts of up to SKETCH different shingles are so compared exactly, longer ones with a
 standard error of 0.025.
@@ -30,7 +30,9 @@ SEGMENT = 21
 
 
 def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return paired([segment_keys(bits_of(fps[:, w], at, SEGMENT), SEGMENT) for w in (0, 1) for at in (0, SEGMENT, 2 * SEGMENT)])
+    """Joint keys of the pairs of each long's three segments."""
+    a, b = (paired([segment_keys(bits_of(fps[:, w], at, SEGMENT), SEGMENT) for at in (0, SEGMENT, 2 * SEGMENT)]) for w in (0, 1))
+    return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1] + (3 << 24)])
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
@@ -136,3 +138,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = kept(joined.select("node", "root").join(smallest, "root").select("node", "component_id"))
     return each.select("id", "node").join(ids, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each class of near copies: the one with the smallest id
+    (null ids last, then by the text's hash). Rows that repeat id and text are one class and leave one row."""
+    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
+    found = near_copies(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "key", "text", shingle, similarity)
+    winners = kept(found.where(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("rows")))
+    repeated = not winners.where("rows > 1").isEmpty()
+    w = winners.select(F.col("key.id").alias("w_id"), F.col("key.hash").alias("w_hash"))
+    out = docs.join(w, F.col(f"`{id_col}`").eqNullSafe(F.col("w_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("w_hash")), "left_semi")
+    return out.dropDuplicates([id_col, text_col]) if repeated else out

@@ -311,18 +311,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return each.join(ids, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` with all their columns, one of each class of near duplicates: the one with the smallest
-    id (null ids last, then by the text's hash). Rows that repeat id and text are one class and leave one row."""
-    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
-    found = kept(near_duplicates(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "key", "text", shingle, radius).where(F.col("key") == F.col("component_id")).select("key"))
-    winners = found.groupBy("key").agg(F.count("*").alias("rows"))
-    repeated = not winners.where("rows > 1").isEmpty()
-    w = winners.select(F.col("key.id").alias("w_id"), F.col("key.hash").alias("w_hash"))
-    out = docs.join(w, F.col(f"`{id_col}`").eqNullSafe(F.col("w_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("w_hash")), "left_semi")
-    return out.dropDuplicates([id_col, text_col]) if repeated else out
-
-
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import ready, table
 from colloquy.llm.line_templates import dedup_lines
 from colloquy.llm.mixing import WEIGHTS, mix
+from colloquy.llm.near_copies import first_of_each
 from colloquy.llm.quality import bad_labels, judged
 from colloquy.llm.sentencepiece_fst import model_bytes, pieces_of
-from colloquy.llm.simhash_golay import first_of_each
 from colloquy.shipping import ship
 
 #: Part of the kept tokens that the mix takes; no document is taken twice.
 MIX_SHARE = 0.8
+#: A document of which lines with this share of the characters recur is a copy; it is left whole to the near dedup.
+COPY_SHARE = 0.7
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +29,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines whose template an earlier document holds; n_chars follows the text."""
+    """All documents, without lines whose template an earlier document holds; n_chars follows the text. Copies of
+    whole documents are left to the next stage, which would not know them by what little doesn't recur."""
     ship(spark)
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return dedup_lines(docs, spare=COPY_SHARE).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, on five-word shingles."""
+    """One document of each class of near copies: similarity 0.8 or more on five-word shingles."""
     ship(spark)
     return first_of_each(docs)
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from colloquy.llm import line_templates as lt
+from colloquy.llm import near_copies as nc
 from colloquy.llm import simhash_golay as sg
 
 
@@ -69,6 +70,7 @@ def test_links_join_what_brute_force_joins(spark, block):
     from colloquy.operators.components import components
 
     fps = clustered(40)
+    assert len(fps) > 300
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     got = components(sg.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), block=block))
     roots = {r.node: r.root for r in got.select(F.col("node"), F.col("root")).collect()}
@@ -100,9 +102,9 @@ def test_near_duplicates_of_hard_texts(spark, docs):
 
 def test_one_of_each_stays(spark, docs):
     base = " ".join(f"w{i}" for i in range(300))
-    kept = sg.first_of_each(docs([base, base, "other text here", None, "", base], [4, 2, 7, 8, 9, None]))
+    kept = nc.first_of_each(docs([base, base, "other text here", None, "", base], [4, 2, 7, 8, 9, None]))
     assert sorted(r.doc_id for r in kept.collect()) == [2, 7, 8]
-    assert sg.first_of_each(docs(["same", "same"], [1, 1])).count() == 1
+    assert nc.first_of_each(docs(["same", "same"], [1, 1])).count() == 1
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -148,3 +150,58 @@ def test_templates_generalise_fields():
     b = a.replace("alpha", "beta")
     assert lt.templates(a)[0] != lt.templates(b)[0] and set(lt.templates(a)) & set(lt.templates(b))
     assert lt.templates("job 17 done") == lt.templates("job 99 done") and lt.templates("  ") == []
+
+
+def jaccard(a, b, n=5):
+    cut = lambda t: {tuple(w[i : i + n]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - n + 1))}
+    x, y = cut(a), cut(b)
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_by_similarity(spark, docs):
+    from conftest import HARD
+
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(2000)]
+    texts, base = [], []
+    for _ in range(60):
+        t = [r.choice(words) for _ in range(r.randrange(60, 900))]
+        base.append(len(texts))
+        texts.append(" ".join(t))
+        for _ in range(r.randrange(3)):
+            u = list(t)
+            for _ in range(r.randrange(1, max(2, len(u) // 100))):
+                u[r.randrange(len(u))] = "changed"
+            texts.append(" ".join(u))
+    hot = [r.choice(words) for _ in range(120)]
+    for i in range(150):
+        u = list(hot)
+        u[r.randrange(120)] = f"n{i}"
+        texts.append(" ".join(u))
+    got = {row.doc_id: row.component_id for row in nc.near_copies(docs(texts + HARD + HARD)).collect()}
+    pairs = [(i, j, jaccard(texts[i], texts[j])) for i in range(len(texts)) for j in range(i)]
+    near = [(i, j) for i, j, s in pairs if s >= 0.82]
+    assert len(near) > 1000 and sum(got[i] == got[j] for i, j in near) >= 0.98 * len(near)
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j, s in pairs:
+        if s >= 0.74:
+            parent[find(i)] = find(j)
+    assert all(find(i) == find(got[i]) for i in range(len(texts)))
+    n = len(texts)
+    assert got[n] == got[n + 1] == got[n + 2] == n and all(got[n + len(HARD) + k] == got[n + k] for k in range(len(HARD)))
+    assert nc.near_copies(docs([])).count() == 0
+
+
+def test_spared_copies(spark, docs):
+    from pyspark.sql import functions as F
+
+    a = "\n".join(f"line number {'abcdefgh'[i]} of the first text" for i in range(8))
+    other = "All rights reserved today.\nquite another text with its own words\n"
+    got = {row.doc_id: row.text for row in lt.dedup_lines(docs([a, a + " x", other, other + "and more of its own kind " * 9]), spare=0.7).select("doc_id", F.col("text")).collect()}
+    assert got[0] == a and got[1] == a + " x" and got[2] == other and got[3] == "and more of its own kind " * 9

@@ -154,30 +154,45 @@ def test_query_equals_sql(spark, name):
     assert key(a) == key(b) and len(a)
 
 
-@pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
-def test_pipeline_against_plain_stages(spark):
-    from conftest import DATA as data
+def shingled(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
 
-    from colloquy.llm.simhash_golay import fingerprint
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    d, docs, rows = str(DATA), common.table(spark, str(DATA), "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, d).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        rows[name] = sorted(docs.collect(), key=lambda r: r.doc_id)
+    ids = {name: [r.doc_id for r in kept] for name, kept in rows.items()}
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, d).collect()) == ids["sentencepiece_encoding"]
+
+    labels = {r.doc_id: r.quality == 0 or r.toxic == 1 for r in common.table(spark, d, "labels").collect()}
+    kept = set(ids["quality_classifier"])
+    assert not [i for i, bad in labels.items() if not bad and i not in kept]
 
-    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(data)).collect()}
-    docs = common.table(spark, str(data), "documents")
-    kept = corpus_pipeline.quality_classifier(spark, docs, str(data)).orderBy("doc_id").collect()
     seen = defaultdict(set)
-    for r in kept:
+    for r in rows["quality_classifier"]:
         for line in r.text.split("\n"):
             for t in templates(line):
                 seen[t].add(r.doc_id)
-    cleaned = []
-    for r in kept:
-        lines = [x for x in r.text.split("\n") if not any(len(seen[t]) >= (2 if g == 0 else 4) and min(seen[t]) != r.doc_id for g, t in enumerate(templates(x)))]
-        cleaned.append((r.doc_id, "\n".join(lines), r.lang, r.source, 0))
-    left, taken = [], []
-    for row in cleaned:
-        f = fingerprint(row[1], 5)
-        if all(bin(f ^ g).count("1") > 3 for g in taken):
-            left.append(row)
-        taken.append(f)
-    want = {i for i, _ in plain_mix(left, mixing.WEIGHTS, corpus_pipeline.MIX_SHARE, 1, mixing.SEED)}
-    assert set(out) == want and all(r.exact for r in out.values())
-    assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality_classifier" and len(corpus_pipeline.STAGES) == 5
+    for r, cleaned in zip(rows["quality_classifier"], rows["line_dedup"], strict=True):
+        lines = r.text.split("\n")
+        stay = [x for x in lines if not any(len(seen[t]) >= (2 if g == 0 else 4) and min(seen[t]) != r.doc_id for g, t in enumerate(templates(x)))]
+        gone = sum(map(len, lines)) - sum(map(len, stay))
+        want = r.text if gone >= corpus_pipeline.COPY_SHARE * sum(map(len, lines)) else "\n".join(stay)
+        assert (cleaned.doc_id, cleaned.text, cleaned.n_chars) == (r.doc_id, want, len(want))
+
+    texts = {r.doc_id: shingled(r.text) for r in rows["line_dedup"]}
+    likeness = lambda a, b: len(texts[a] & texts[b]) / len(texts[a] | texts[b])
+    left = ids["simhash_near_dedup"]
+    assert not [(a, b) for a in left for b in left if a < b and likeness(a, b) >= 0.85]
+    for i in set(texts) - set(left):
+        assert any(j != i and likeness(i, j) >= 0.74 for j in texts)
+
+    want = plain_mix([(r.doc_id, r.text, r.lang, r.source, 0) for r in rows["simhash_near_dedup"]], mixing.WEIGHTS, corpus_pipeline.MIX_SHARE, 1, mixing.SEED)
+    assert [i for i, _ in want] == ids["source_mixing"] == ids["sentencepiece_encoding"]
+    assert all(r.exact for r in rows["sentencepiece_encoding"])
+    assert len(corpus_pipeline.STAGES) == 5
