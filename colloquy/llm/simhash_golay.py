@@ -246,7 +246,8 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK, keys=joint_keys)
             yield from done(*held[0])
 
     n = partitions(spark)
-    dealt = fps.mapInArrow(spread, f"key bigint, {longs}").repartition(n, "key").sortWithinPartitions("key")
+    # a fingerprint becomes many rows, so the few bytes of all fingerprints are spread over all tasks first
+    dealt = fps.repartition(n).mapInArrow(spread, f"key bigint, {longs}").repartition(n, "key").sortWithinPartitions("key")
     first = kept(dealt.mapInArrow(link, f"late bigint, {longs}, src bigint, dst bigint"))
     out = first.where("late is null").select("src", "dst").distinct()
     rest = first.where("late is not null").select(F.col("late").alias("key"), *cols)
