@@ -35,7 +35,7 @@ SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGE = 1, 2
-MEMORY = 1_000_000
+MEMORY = 600_000
 
 
 class Model:

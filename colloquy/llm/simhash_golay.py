@@ -25,8 +25,8 @@ from colloquy.operators.components import components
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the (23, 12) Golay code.
 GENERATOR = 0b101011100011
-#: Buckets up to SMALL compare row by row with those behind; up to BLOCK in one task at once; larger ones in pairs of blocks.
-SMALL, BLOCK = 64, 4_096
+#: Buckets up to SMALL give all their links, larger ones a link for each member; those over BLOCK are dealt out as pairs of blocks.
+SMALL, BLOCK = 8, 4_096
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -103,41 +103,39 @@ def paired(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(where), np.concatenate(out)
 
 
-def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Whether fingerprints differ in at most ``radius`` bits; their longs are the last axis."""
-    return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64)).sum(axis=-1, dtype=np.int16) <= radius
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints; their longs are the last axis."""
+    return np.bitwise_count(np.bitwise_xor(a, b).view(np.uint64)).sum(axis=-1, dtype=np.int16)
 
 
 def spanning(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within a (b: None) or across a and b that join all that the linked pairs join: positions, a row for each
-    member at most, not each pair. Every row is a link itself: it is how its member was reached first."""
+    member at most, not each pair. Each is a link itself, from a member to the nearest of those that were reached
+    just before; the first row is reached first."""
     rows = a if b is None else np.concatenate([a, b])
     n, offset = len(rows), 0 if b is None else len(a)
-    left = np.arange(n)
-    out_a, out_b = [], []
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     todo = np.ones(n, bool)
     while todo.any():  # from each start, what it reaches is reached in waves
-        wave = np.array([left[todo][0]])
+        wave = np.array([todo.argmax()])
         todo[wave] = False
-        while len(wave):
-            next_wave = []
+        while len(wave) and todo.any():
+            open_ = np.nonzero(todo)[0]
+            best, parent = np.full(len(open_), radius + 1, np.int16), np.zeros(len(open_), np.int64)
             for part in np.array_split(wave, -(-len(wave) // 256)):
-                open_ = np.nonzero(todo)[0]
-                if not len(open_):
-                    break
-                hit = near(rows[part][:, None], rows[open_][None], radius)
+                d = distance(rows[part][:, None], rows[open_][None])
                 if b is not None:
-                    hit &= (part < offset)[:, None] != (open_ < offset)[None]
-                first = hit.argmax(axis=0)
-                reached = hit[first, np.arange(len(open_))]
-                new = open_[reached]
-                out_a.append(part[first[reached]])
-                out_b.append(new)
-                todo[new] = False
-                next_wave.append(new)
-            wave = np.concatenate(next_wave) if next_wave else np.zeros(0, np.int64)
-    empty = [np.zeros(0, np.int64)]
-    return np.concatenate(out_a or empty), np.concatenate(out_b or empty)
+                    d[(part < offset)[:, None] == (open_ < offset)[None]] = radius + 1
+                low = d.argmin(axis=0)
+                value = d[low, np.arange(len(open_))]
+                nearer = value < best
+                best[nearer], parent[nearer] = value[nearer], part[low[nearer]]
+            reached = best <= radius
+            wave = open_[reached]
+            out_a.append(parent[reached])
+            out_b.append(wave)
+            todo[wave] = False
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +151,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int, block: int = BL
         at = at[place[at] + step < size[at]]
         if not len(at):
             break
-        hit = at[near(fps[at], fps[at + step], radius)]
+        hit = at[distance(fps[at], fps[at + step]) <= radius]
         x.append(hit)
         y.append(hit + step)
     large = (sizes > small) & (sizes <= block)
@@ -247,7 +245,7 @@ def links(fps: DataFrame, radius: int = 3, block: int = BLOCK, keys=joint_keys)
 
     n = partitions(spark)
     # a fingerprint becomes many rows, so the few bytes of all fingerprints are spread over all tasks first
-    dealt = fps.repartition(n).mapInArrow(spread, f"key bigint, {longs}").repartition(n, "key").sortWithinPartitions("key")
+    dealt = fps.repartition(n).mapInArrow(spread, f"key bigint, {longs}").repartition(n, "key").sortWithinPartitions("key", *cols)  # so that a class is reached from its smallest in all its buckets
     first = kept(dealt.mapInArrow(link, f"late bigint, {longs}, src bigint, dst bigint"))
     out = first.where("late is null").select("src", "dst").distinct()
     rest = first.where("late is not null").select(F.col("late").alias("key"), *cols)
