@@ -1,6 +1,6 @@
 """Line dedup with a log-template tree.
 
-A line's tokens are what white space separates; a token with a digit is a variable field from the start and reads
+A line's tokens are what ASCII white space separates; a token with a digit (0-9) is a variable field from the start and reads
 ``<*>``. The tree has a fixed depth: token count, then the first ``depth`` tokens. Below a leaf, a line stands for
 its whole masked text and, from ``least`` tokens on, for three generalised templates: in each, one run of ``1 -
 share`` of the tokens behind the leading ones is free (the next ones, the middle ones, the last ones), so lines
@@ -16,6 +16,7 @@ recurring template the first document (smallest id; rows of that id) keeps its l
 from __future__ import annotations
 
 import math
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -26,22 +27,23 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import kept, table, text_batches
 
 DEPTH, LEAST, SHARE, EXACT, GENERAL = 4, 12, 0.75, 2, 4
-FREE = "<*>"
+FREE = b"<*>"
+DIGIT = re.compile(rb"[0-9]")
 
 
-def templates(line: str, depth: int = DEPTH, least: int = LEAST, share: float = SHARE) -> list[str]:
+def templates(line: str, depth: int = DEPTH, least: int = LEAST, share: float = SHARE) -> list[bytes]:
     """The line's templates: whole masked text first, then the generalised ones; none without tokens."""
-    tokens = line.split()
+    tokens = line.encode().split()  # at ASCII white space
     if not tokens:
         return []
-    masked = [FREE if not t.isalpha() and any(map(str.isdigit, t)) else t for t in tokens]
+    masked = [FREE if not t.isalpha() and DIGIT.search(t) else t for t in tokens]
     n = len(masked)
-    out = [f"{n}\t{' '.join(masked)}"]
+    out = [b"%d\t%s" % (n, b" ".join(masked))]
     if n < least:
         return out
     free = math.floor((1 - share) * n)
     for start in dict.fromkeys((depth, depth + (n - depth - free) // 2, n - free)):
-        out.append(f"{n}\t{' '.join(masked[:start])}\t{FREE}{free}\t{' '.join(masked[start + free :])}")
+        out.append(b"%d\t%s\t%s%d\t%s" % (n, b" ".join(masked[:start]), FREE, free, b" ".join(masked[start + free :])))
     return out
 
 
@@ -133,3 +135,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.length("text").cast("bigint").alias("n_chars_kept"), F.md5("text").alias("text_md5"))
+
+
+def join_sql(tokens: str, start: str, end: str) -> str:
+    return f"array_to_string(list_slice({tokens}, {start}, {end}), ' ')"
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+ln AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM d),
+tk AS (SELECT r, doc_id, j, line, list_transform(list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM ln),
+sz AS (SELECT *, len(t) AS n, CAST(floor({1 - SHARE} * len(t)) AS BIGINT) AS free FROM tk WHERE len(t) > 0),
+st AS (SELECT *, unnest(list_distinct([{DEPTH}, {DEPTH} + (n - {DEPTH} - free) // 2, n - free])) AS start FROM sz WHERE n >= {LEAST}),
+tp AS (SELECT r, doc_id, j, n || chr(9) || array_to_string(t, ' ') AS template, {EXACT} AS needed FROM sz
+    UNION ALL SELECT r, doc_id, j, n || chr(9) || {join_sql('t', '1', 'start')} || chr(9) || '<*>' || free || chr(9) || {join_sql('t', 'start + free + 1', 'n')}, {GENERAL} FROM st),
+rc AS (SELECT template, min(doc_id) AS first FROM tp GROUP BY template HAVING count(DISTINCT r) >= greatest(2, min(needed))),
+dr AS (SELECT DISTINCT r, j FROM tp JOIN rc USING (template) WHERE doc_id <> first),
+ct AS (SELECT ln.r, count(*) AS n_lines, count(dr.j) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY ln.j) FILTER (dr.j IS NULL), '') AS text FROM ln LEFT JOIN dr ON ln.r = dr.r AND ln.j = dr.j GROUP BY ln.r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(ct.text) AS n_chars_kept, md5(ct.text) AS text_md5 FROM d LEFT JOIN ct ON d.r = ct.r
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm.ann_collision import op5_ann_collision
 from colloquy.llm.license_scan import OP10_SQL, op10_license_scan
-from colloquy.llm.line_templates import op7_line_templates
+from colloquy.llm.line_templates import OP7_SQL, op7_line_templates
 from colloquy.llm.mixing import OP8_SQL, op8_mixing
 from colloquy.llm.quality import op4_quality
 from colloquy.llm.sentencepiece_fst import op1_sentencepiece_fst
@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_url_filter": OP2_SQL,
     "op3_topk_fagin": OP3_SQL,
+    "op7_line_templates": OP7_SQL,
     "op8_mixing": OP8_SQL,
     "op10_license_scan": OP10_SQL,
 }
