@@ -5,8 +5,9 @@ the words' first four and five letters, the marks at words' ends, and its shape
 repeated words). Labelled
 documents give each feature's counts among good and bad ones, by a grouped aggregation. A feature is kept if bad
 documents have it far more often (log-odds of at least ``odds``) and the likelihood ratio test leaves little doubt
-(at least ``sure``). A document's evidence is the sum of its kept features' log-odds, up to ``most``; a logistic curve,
-fitted on labelled documents that the counts didn't see, turns it into a probability p of being bad.
+(at least ``sure``). A document's evidence is the sum of its kept features' log-odds, up to ``most``; a logistic curve
+turns it into a probability p of being bad. It is fitted on the labelled documents in folds, each with the evidence
+that the counts of the other folds give.
 
 Posteriors of sites. The mean of p over a host's documents is shrunk towards the global mean, that over a path's
 (host and path together) towards its host's posterior: (sum + k prior) / (n + k). The strengths k come from the data
@@ -20,7 +21,7 @@ A document's posterior log-odds are logit(p) + logit(its path's posterior withou
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from operator import eq
 
@@ -33,7 +34,9 @@ from colloquy.llm.common import few, kept, table, text_batches
 
 #: Bounds: labelled documents used for fitting, and features kept.
 SAMPLE, FEATURES = 16_000, 20_000
-ODDS, SURE, MOST, REJECT = 3.0, 16.0, 16.0, 0.5
+ODDS, SURE, MOST, REJECT = 3.0, 14.0, 16.0, 0.5
+#: Parts of the labelled documents; each part's evidence comes from the counts of the others.
+FOLDS = 3
 MARKS = ".,;:!?\"'()[]{}<>|*#%&$+-=/\\_~^`@"
 
 
@@ -74,46 +77,60 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, samp
     """(text, bad, fold): the documents of at most ``sample`` labelled ids, chosen by hash. Copies
     of a text count once, as else all words of a bad text with many copies would tell against others."""
     chosen = labels.where("id is not null and bad is not null").groupBy("id").agg(F.max("bad").alias("bad")).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample)
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id").select("text", "bad", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(3)).alias("fold")).dropDuplicates(["text", "bad"])
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id").select("text", "bad", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")).dropDuplicates(["text", "bad"])
 
 
 def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    good, bad = Counter(), Counter()
+    """(feature, fold, good, bad) from (text, bad, fold); the feature '' counts the documents themselves."""
+    seen: dict[tuple[int, int], Counter] = defaultdict(Counter)
     for batch in batches:
-        for text, is_bad in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            (bad if is_bad else good).update(features(text.as_py()))
-            (bad if is_bad else good)[""] += 1  # the documents themselves
-        if len(good) + len(bad) > 500_000:
-            yield counted(good, bad)
-            good, bad = Counter(), Counter()
-    yield counted(good, bad)
+        for text, bad, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            c = seen[fold, int(bool(bad))]
+            c.update(features(text.as_py()))
+            c[""] += 1
+        if sum(map(len, seen.values())) > 500_000:
+            yield counted(seen)
+            seen.clear()
+    yield counted(seen)
 
 
-def counted(good: Counter, bad: Counter) -> pa.RecordBatch:
-    names = list(good.keys() | bad.keys())
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([good[f] for f in names], pa.int64()), pa.array([bad[f] for f in names], pa.int64())], ["feature", "good", "bad"])
+def counted(seen: dict[tuple[int, int], Counter]) -> pa.RecordBatch:
+    rows = [(f, fold, 0 if bad else n, n if bad else 0) for (fold, bad), c in seen.items() for f, n in c.items()]
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["feature", "fold", "good", "bad"])
 
 
 def term(x: Column, e: Column) -> Column:
     return F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
 
 
+def best_features(counts: DataFrame, left_out: int | None) -> dict[str, float]:
+    """Kept features' log-odds from the counts (feature, good_k, bad_k), without a fold; none without both kinds."""
+    folds = [k for k in range(FOLDS) if k != left_out]
+    g, b = (sum((F.col(f"{kind}_{k}") for k in folds[1:]), F.col(f"{kind}_{folds[0]}")).cast("double") for kind in ("good", "bad"))
+    summed = counts.select("feature", g.alias("g"), b.alias("b"))
+    total = summed.where("feature = ''").first()
+    if not total or not total["g"] or not total["b"]:
+        return {}
+    n_good, n_bad, g, b = total["g"], total["b"], F.col("g"), F.col("b")
+    rate = n_bad / (n_good + n_bad)
+    odds = F.log((b + 0.5) / (n_bad + 1)) - F.log((g + 0.5) / (n_good + 1))
+    test = 2 * (term(b, (g + b) * rate) + term(g, (g + b) * (1 - rate)))
+    best = summed.where("feature <> ''").select("feature", odds.alias("odds"), test.alias("test")).where((F.col("odds") >= ODDS) & (F.col("test") >= SURE)).orderBy(F.desc("test"), "feature").limit(FEATURES)
+    return {r["feature"]: r["odds"] for r in best.collect()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> tuple[dict[str, float], tuple[float, float]] | None:
     """Kept features' log-odds, and the curve's intercept and slope; None without both good and bad documents."""
     chosen = kept(sampled(docs, labels, id_col, text_col, sample))
-    counts = chosen.where("fold < 2").select("text", "bad").mapInArrow(count_features, "feature string, good bigint, bad bigint")
-    counts = kept(counts.groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
-    total = counts.where("feature = ''").first()
-    if not total or not total["good"] or not total["bad"]:
+    counts = chosen.select("text", "bad", "fold").mapInArrow(count_features, "feature string, fold int, good bigint, bad bigint")
+    counts = kept(counts.groupBy("feature").agg(*(F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(kind))), F.lit(0)).alias(f"{kind}_{k}") for k in range(FOLDS) for kind in ("good", "bad"))))
+    weights = best_features(counts, None)
+    kinds = chosen.agg(F.count_if(F.col("bad") == 0), F.count_if(F.col("bad") == 1)).first()
+    if not kinds[0] or not kinds[1]:
         return None
-    g, b, n_good, n_bad = F.col("good").cast("double"), F.col("bad").cast("double"), float(total["good"]), float(total["bad"])
-    rate = n_bad / (n_good + n_bad)
-    odds = F.log((b + 0.5) / (n_bad + 1)) - F.log((g + 0.5) / (n_good + 1))
-    test = 2 * (term(b, (g + b) * rate) + term(g, (g + b) * (1 - rate)))
-    best = counts.where("feature <> ''").select("feature", odds.alias("odds"), test.alias("test")).where((F.col("odds") >= ODDS) & (F.col("test") >= SURE)).orderBy(F.desc("test"), "feature").limit(FEATURES)
-    weights = {r["feature"]: r["odds"] for r in best.collect()}
-    table_ = scored(chosen.where("fold = 2").select("text", "bad"), "text", weights).groupBy(F.round("evidence", 1).alias("e"), "bad").count().collect()
-    x, y, n = (np.array([float(r[c]) for r in table_]) for c in ("e", "bad", "count"))
+    seen = [r for k in range(FOLDS) for r in scored(chosen.where(F.col("fold") == k).select("text", "bad"), "text", best_features(counts, k)).groupBy(F.round("evidence", 1).alias("e"), "bad").count().collect()]
+    x, y, n = (np.array([float(r[c]) for r in seen]) for c in ("e", "bad", "count"))
     return weights, curve(x, y, n)
 
 
