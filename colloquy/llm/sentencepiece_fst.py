@@ -35,6 +35,7 @@ SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGE = 1, 2
+#: Words that a worker remembers; beyond, it starts over.
 MEMORY = 600_000
 
 
@@ -59,8 +60,9 @@ class Model:
 
 
 class Transducer:
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, memory: int = MEMORY):
         self.model = m = Model(data)
+        self.memory = memory
         self.ids = {p: i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == NORMAL}
         self.trie: dict = {}
         for p, i in self.ids.items():
@@ -246,7 +248,7 @@ class Transducer:
         for word in self.words.findall(text):
             ids = solved.get(word)
             if ids is None:
-                if len(solved) >= MEMORY:
+                if len(solved) >= self.memory:
                     solved.clear()
                 ids = self.solve(word)
                 if len(word) <= 64:
@@ -291,13 +293,14 @@ def utf8(data: bytes) -> str:
     return "".join(out)
 
 
-def pieces_of(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pieces_of(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, memory: int = MEMORY) -> DataFrame:
     """A row for each row of ``docs``: id, ids (unless ``with_ids`` is false), n_pieces, ids_md5, text_md5, exact.
 
     ids_md5 is the MD5 of the ids as little-endian 32-bit numbers; text_md5 that of the decoded text; exact says
     whether decoding gives the text back (it doesn't where the text holds U+2581 itself). A null text counts
     as empty: no ids. Ids of rows may be null or repeated; each row is encoded by itself. An empty table gives an
-    empty result. ``model`` is the model file's content and goes to the tasks with the function.
+    empty result. ``model`` is the model file's content and goes to the tasks with the function; a worker remembers
+    the ids of up to ``memory`` words.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, " + ("ids array<int>, " if with_ids else "") + "n_pieces bigint, ids_md5 string, text_md5 string, exact boolean"
@@ -305,7 +308,7 @@ def pieces_of(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import md5
 
-        fst = Transducer(model)
+        fst = Transducer(model, memory)
         for batch in batches:
             every, n, a, b, same = [], [], [], [], []
             for text in batch.column(1):

@@ -18,6 +18,8 @@ from colloquy.shipping import ship
 
 #: Part of the kept tokens that the mix takes; no document is taken twice.
 MIX_SHARE = 0.8
+#: Words that a worker of the last stage remembers; the executors' memory is well used by then.
+WORDS = 250_000
 #: A document of which lines with this share of the characters recur is a copy; it is left whole to the near dedup.
 COPY_SHARE = 0.7
 
@@ -51,7 +53,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, checked by decoding them."""
     ship(spark)
-    return pieces_of(docs, model_bytes())
+    return pieces_of(docs, model_bytes(), memory=WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
