@@ -64,12 +64,12 @@ class Transducer:
         self.model = m = Model(data)
         self.memory = memory
         self.ids = {p: i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == NORMAL}
-        self.trie: dict = {}
+        self.trie: list = [-1, {}]  # a node: the id of the piece that ends here or -1, and the next characters' nodes
         for p, i in self.ids.items():
             node = self.trie
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = node[1].setdefault(c, [-1, {}])
+            node[0] = i
         self.characters = {c for p in self.ids for c in p}
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.longest = max(map(len, self.ids))
@@ -120,13 +120,15 @@ class Transducer:
 
     def arcs(self, span: str, at: int) -> list[tuple[int, int]]:
         """(end, id) of the pieces that start at a position, the longest first."""
-        node, out = self.trie, []
-        for k in range(at, len(span)):
-            node = node.get(span[k])
+        following, end, out = self.trie[1], at, []
+        for c in span[at : at + self.longest]:
+            node = following.get(c)
             if node is None:
                 break
-            if "" in node:
-                out.append((k + 1, node[""]))
+            piece, following = node
+            end += 1
+            if piece >= 0:
+                out.append((end, piece))
         out.reverse()
         return out
 
