@@ -35,8 +35,10 @@ SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGE = 1, 2
+#: Spans up to which the search remembers states across spans.
+SHORT = 32
 #: Words that a worker remembers; beyond, it starts over.
-MEMORY = 600_000
+MEMORY = 1_200_000
 
 
 class Model:
@@ -74,7 +76,9 @@ class Transducer:
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.longest = max(map(len, self.ids))
         self.follows: dict[int, bool] = {}
-        self.solved: dict[str, tuple[int, ...]] = {}
+        self.prefixed: dict[str, tuple[int, ...]] = {}
+        self.bare: dict[str, tuple[int, ...]] = {}
+        self.states: dict[tuple[int, str], tuple[int, ...] | None] = {}
         #: What each id spells; the bytes of longer UTF-8 sequences are put together in decode().
         self.surface = [p.replace(SPACE, " ") if t == NORMAL else m.unknown_surface if t == UNKNOWN else "" for p, t in zip(m.pieces, m.types, strict=True)]
         self.value = {i: b for b, i in m.bytes.items()}
@@ -83,6 +87,8 @@ class Transducer:
             self.surface[i] = chr(b) if b < 128 else ""
         crossing = any(p[i] != SPACE and p[i + 1] == SPACE for p in self.ids for i in range(len(p) - 1))
         self.words = re.compile("(?s).+" if crossing else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.by_lines = not (crossing or m.squeeze or "\n" in self.characters)
+        self.line_break = self.fallback("\n")
         self.worst = min([m.scores[i] for i in self.ids.values()], default=0.0) - 10.0
 
     def normalise(self, text: str) -> str:
@@ -140,8 +146,10 @@ class Transducer:
             return (whole,)
         if len(span) == 1:
             return tuple(self.fallback(span)) if whole is None else (whole,)
-        if set(span) == {SPACE}:  # its pieces may all score alike, then neighbours alone don't decide
+        if span[0] == SPACE == span[-1] and set(span) == {SPACE}:  # its pieces may all score alike, then neighbours alone don't decide
             return tuple(self.merged_run(span))
+        if len(span) <= SHORT:
+            return self.rest(-1, span) or tuple(self.merged_run(span))
         n, follows, arcs = len(span), self.follows, {}
         seen: set[int] = set()
         back: list[tuple[int, int, int]] = []  # position, last piece, next arc to try
@@ -170,6 +178,32 @@ class Transducer:
                 position, last, nth = back.pop()
         return (*(p for _, p, _ in back[1:]), last)
 
+    def rest(self, last: int, text: str) -> tuple[int, ...] | None:
+        """The finite path from the state (last piece, text left to read) to the end, None if there is none. Words
+        share their ends, so states are remembered across words."""
+        found = self.states.get((last, text), ())
+        if found != ():
+            return found
+        follows, out = self.follows, None
+        for end, piece in self.arcs(text, 0):
+            key = last << 20 | piece if last >= 0 else -1 - piece
+            fits = follows.get(key)
+            if fits is None:
+                fits = self.may_follow(last, piece) if last >= 0 else self.may_stand(piece)
+            if fits:
+                if end == len(text):
+                    out = (piece,)
+                    break
+                behind = self.rest(piece, text[end:])
+                if behind:
+                    out = (piece, *behind)
+                    break
+        if last >= 0 and len(text) <= 6:
+            if len(self.states) >= self.memory // 2:
+                self.states.clear()
+            self.states[last, text] = out
+        return out
+
     def may_stand(self, piece: int) -> bool:
         key = -1 - piece
         known = self.follows.get(key)
@@ -230,32 +264,50 @@ class Transducer:
         out.append(text[start:])
         return out
 
-    def solve(self, word: str) -> tuple[int, ...]:
-        """A word's ids; punctuation that nothing reads together with what stands before it is split off first."""
-        if len(word) > 2 and word[-1] in ".," and word[-2:] not in self.pairs and word[-1] in self.ids:
-            core = word[:-1]
-            ids = self.solved.get(core)
-            if ids is None:
-                ids = self.solved[core] = self.solve(core)
-            return (*ids, self.ids[word[-1]])
-        if len(word) <= 32 and self.characters.issuperset(word):
-            return self.path(word)
-        return tuple(i for span in self.spans(word) for i in self.path(span))
+    def solve(self, span: str) -> tuple[int, ...]:
+        if len(span) <= 32 and self.characters.issuperset(span):
+            return self.path(span)
+        return tuple(i for part in self.spans(span) for i in self.path(part))
+
+    def word(self, word: str, prefixed: bool) -> tuple[int, ...]:
+        """A word's ids, with U+2581 before it or without; punctuation that nothing reads together with what stands
+        before it is split off first."""
+        memo = self.prefixed if prefixed else self.bare
+        ids = memo.get(word)
+        if ids is None:
+            if len(memo) >= self.memory:
+                memo.clear()
+            if len(word) > 1 and word[-1] in ".," and word[-2:] not in self.pairs and word[-1] in self.ids:
+                ids = (*self.word(word[:-1], prefixed), self.ids[word[-1]])
+            else:
+                ids = self.solve(SPACE + word if prefixed else word)
+            if len(word) <= 64:
+                memo[word] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        text = self.normalise(text)
-        out: list[int] = []
-        solved = self.solved
-        # no piece reads another character before U+2581, so each word is a composition of its own
-        for word in self.words.findall(text):
-            ids = solved.get(word)
-            if ids is None:
-                if len(solved) >= self.memory:
-                    solved.clear()
-                ids = self.solve(word)
-                if len(word) <= 64:
-                    solved[word] = ids
-            out += ids
+        """The text's ids. No piece reads another character before U+2581 and none reads a line break (if the model
+        is so), so each word of a line is a composition of its own."""
+        m, out = self.model, []
+        if not text:
+            return out
+        if not self.by_lines or SPACE in text or "  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] == " ":
+            for word in self.words.findall(self.normalise(text)):
+                one = word[:1] == SPACE and SPACE not in word[1:] and len(word) > 1
+                out += self.word(word[1:], True) if one else self.solve(word) if SPACE in word else self.word(word, False)
+            return out
+        known, solve, first = self.prefixed, self.word, m.prefix
+        for line in text.split("\n"):
+            if out:
+                out += self.line_break
+            words = line.split(" ")
+            if not first:
+                out += solve(words[0], False) if words[0] else ()
+                words = words[1:]
+            first = False
+            for word in words:
+                ids = known.get(word)
+                out += solve(word, True) if ids is None else ids
         return out
 
     def decode(self, ids: list[int]) -> str:
