@@ -83,7 +83,7 @@ def test_links_join_what_brute_force_joins(spark, block):
 
 
 def test_near_duplicates_of_hard_texts(spark, docs):
-    from conftest import HARD
+    from hard_cases import HARD
 
     base = " ".join(f"w{i}" for i in range(400))
     all_ = HARD + [base, base + " end", base, None]
@@ -124,7 +124,7 @@ def plain_dedup(rows, exact, general):
 
 
 def test_lines_against_plain_version(spark, docs):
-    from conftest import HARD
+    from hard_cases import HARD
 
     r = random.Random(1)
     words = [f"{w}" for w in "the of and to in is on with was at by from".split()]
@@ -159,7 +159,7 @@ def jaccard(a, b, n=5):
 
 
 def test_near_copies_by_similarity(spark, docs):
-    from conftest import HARD
+    from hard_cases import HARD
 
     r = random.Random(7)
     words = [f"w{i}" for i in range(2000)]

@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
-from conftest import DATA
+from hard_cases import DATA
 
 import corpus_pipeline
 from colloquy.llm import common, mixing, quality, queries
@@ -40,7 +40,7 @@ def test_quality_on_held_out(spark):
 
 
 def test_quality_of_hard_tables(spark, docs):
-    from conftest import HARD
+    from hard_cases import HARD
 
     d = docs(HARD).withColumn("host", common.F.lit(None)).withColumn("evidence", common.F.lit(1))
     none = spark.createDataFrame([], "id bigint, bad int")
@@ -130,7 +130,7 @@ def test_mixing_equals_plain_version(spark, monkeypatch, share, epochs):
 
 
 def test_mixing_of_hard_tables(spark, docs):
-    from conftest import HARD
+    from hard_cases import HARD
 
     w = spark.createDataFrame([("d0", None, None, None), ("d1", None, None, -2.0)], "domain string, lang string, source string, weight double")
     d = docs(HARD, [None if i < 3 else 1 for i in range(len(HARD))]).withColumn("lang", common.F.lit(None).cast("string")).withColumn("epoch", common.F.lit(1))

@@ -6,6 +6,7 @@ import random
 
 import public_tokenizers
 import pytest
+from hard_cases import HARD
 
 from colloquy.llm import sentencepiece_fst as sp
 from colloquy.llm import token_counts as tc
@@ -32,14 +33,13 @@ def texts(seed, n, most):
 
 def test_counts_equal_library(word_model):
     c = tc.Counter(word_model)
+    small = [tc.Counter(word_model, *sizes) for sizes in ((8, 2), (16, 8), (40, 4))]
     for t in texts(1, 800, 200):
         want = len(c.tokenizer.encode(t, add_special_tokens=False))
         assert c.counts([t])[0] == want
-        for chunk, overlap in ((8, 2), (16, 8), (40, 4)):
-            small = tc.Counter(word_model, chunk, overlap)
-            small.seen = c.seen
-            assert small.counts([t])[0] == want
-            assert sum(n for _, _, n in tc.spliced(t, c.tokens, chunk, overlap)) == want
+        for s in small:
+            assert s.counts([t])[0] == want
+            assert sum(n for _, _, n in tc.spliced(t, c.tokens, s.chunk, s.overlap)) == want
 
 
 def test_spliced_tokens_are_the_whole_texts(word_model):
@@ -49,8 +49,6 @@ def test_spliced_tokens_are_the_whole_texts(word_model):
 
 
 def test_token_counts_query(spark, docs, word_model):
-    from conftest import HARD
-
     got = tc.token_counts(docs(HARD).withColumnRenamed("source", "n_tokens"), word_model).orderBy("doc_id").collect()
     c = tc.Counter(word_model)
     assert [r.n_tokens for r in got] == [len(c.tokenizer.encode(t or "", add_special_tokens=False)) for t in HARD]
@@ -92,8 +90,6 @@ def test_unigram_path_is_the_cheapest():
 
 def test_pieces_query(spark, docs, piece_model):
     import sentencepiece
-    from conftest import HARD
-
     lib = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
     got = sp.pieces_of(docs(HARD), piece_model).orderBy("doc_id").collect()
     assert [list(r.ids) for r in got] == [lib.encode(t or "") for t in HARD]

@@ -119,7 +119,7 @@ def test_bloom_never_misses(spark):
 
 
 def test_license_scan(spark, docs):
-    from conftest import HARD
+    from hard_cases import HARD
 
     apache, gpl, bsd = ls.TEMPLATES[0][1], ls.TEMPLATES[2][1], ls.TEMPLATES[7][1]
     filler = "lorem ipsum dolor sit amet " * 20
