@@ -61,7 +61,7 @@ def majority(h: np.ndarray) -> int:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, a, b, sketch) of every row; no words: zeros and an empty sketch."""
+    """(id, a, b, node, sketch) of every row; no words: zeros and an empty sketch."""
     text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -76,9 +76,10 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
                 sketches.append(small[:SKETCH].astype(np.int64))
             ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists.cast(pa.list_(pa.int64()))], ["id", "a", "b", "sketch"])
+            fps = np.array([a, b], np.int64).T.copy().reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(node(fps)), lists], ["id", "a", "b", "node", "sketch"])
 
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, a bigint, b bigint, sketch array<bigint>")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, a bigint, b bigint, node bigint, sketch array<bigint>")
 
 
 def resemblance(x: np.ndarray, y: np.ndarray) -> float:
@@ -89,20 +90,6 @@ def resemblance(x: np.ndarray, y: np.ndarray) -> float:
     return float((np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)).sum()) / len(union)
 
 
-def numbered(fps: DataFrame) -> DataFrame:
-    """Adds the fingerprints' numbers."""
-    names = fps.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fps.schema) + ", node bigint"
-    i, j = names.index("a"), names.index("b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (i, j)], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node(both) if len(both) else np.zeros(0, np.int64))], [*names, "node"])
-
-    return fps.mapInArrow(run, schema)
-
-
 def verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The (src, dst) whose sketches (node, sketch) are as similar as asked."""
 
@@ -127,7 +114,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the probability that the shared keys give (see README), never between texts that are less similar by
     more than the sketches' error.
     """
-    each = kept(numbered(described(docs, id_col, text_col, shingle)))
+    each = kept(described(docs, id_col, text_col, shingle))
     classes = kept(each.groupBy("a", "b", "node").agg(F.min("id").alias("first")))
     found = links(classes.select("a", "b"), RADIUS, keys=wide_keys)
     named = found.select(F.col("src").alias("node")).union(found.select("dst")).distinct()
