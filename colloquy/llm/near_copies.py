@@ -3,10 +3,10 @@
 Two longs make a fingerprint of 126 bits, six segments of 21 bits (padded to the code's 23). Two texts of shingle
 similarity J differ in about arccos(2 J / (1 + J)) / pi of the bits: 19 of 126 at J = 0.8, 13 at 0.9, 8 at 0.96. Such
 fingerprints have segments with few differing bits; two segments of a long that share a key each give a joint key
-(six pairs of segments, about 170 keys for a text). What shares a joint key and differs in at most ``RADIUS`` bits goes on to verification: each text keeps
-the ``SKETCH`` smallest of its shingles' hashes, and a link stands if the smallest of both texts together show at
-least the asked similarity. Texts of up to SKETCH different shingles are so compared exactly, longer ones with a
-standard error of 0.025.
+(six pairs of segments, about 170 keys for a text). Links of fingerprints that share a joint key and differ in at
+most ``RADIUS`` bits put texts into groups. They only span what is near, so they are not what is verified: within a
+group every pair of texts is compared by all its shingles' hashes, unless verified links join the two already.
+Groups of over ``BLOCK`` hashes are dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import kept, text_batches
+from colloquy.llm.common import kept, partitions, text_batches
 from colloquy.llm.simhash_golay import bits_of, links, mixed, node, paired, segment_keys
 from colloquy.operators.components import components
 
-RADIUS, SKETCH, SIMILARITY = 25, 256, 0.8
-#: Links are kept a little below the asked similarity, by the standard error of long texts' sketches.
+RADIUS, SIMILARITY = 25, 0.8
+#: Links are kept a little below the asked similarity.
 SLACK = 0.025
 SEGMENT = 21
+#: Hashes of a group's block; a task holds two blocks.
+BLOCK = 1 << 19
 
 
 def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,69 +63,122 @@ def majority(h: np.ndarray) -> int:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, a, b, node, sketch) of every row; no words: zeros and an empty sketch."""
+    """(id, hash, a, b, fp, node, n) of every row: the text's hash, the fingerprint and its number, the number of
+    the set of shingles and its size; no words: zeros."""
     text_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
-            a, b, sketches = [], [], []
-            for text in batch.column(1):
+            a, b, nodes, n = [], [], [], []
+            for text in batch.column(2):
                 h = shingle_hashes(text.as_py(), shingle)
                 a.append(majority(h))
                 b.append(majority(mixed(h)))
-                small = np.unique(mixed(h) >> np.uint64(32)) if len(h) else h  # 32 bits of a hash of their own
-                sketches.append(small[:SKETCH].astype(np.int64))
-            ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64)))
+                different = np.unique(h)
+                nodes.append(xxh64_intdigest(different.tobytes()) - 2**63)
+                n.append(len(different))
             fps = np.array([a, b], np.int64).T.copy().reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(node(fps)), lists], ["id", "a", "b", "node", "sketch"])
-
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, a bigint, b bigint, node bigint, sketch array<bigint>")
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(node(fps)), pa.array(nodes, pa.int64()), pa.array(n, pa.int64())], ["id", "hash", "a", "b", "fp", "node", "n"])
+
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(run, f"id {kind}, hash bigint, a bigint, b bigint, fp bigint, node bigint, n bigint")
+
+
+def alike(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that join all that the pairs of sets as similar as asked join, within the sets (side: None)
+    or across the two sides. Sets hold different hashes, one at least. A pair is left uncompared only if the links
+    join it already."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    mark = np.zeros(int(codes.max()) + 1, bool)
+    todo = np.ones(len(sets), bool)
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while todo.any():  # from each start, all that it reaches
+        wave = [int(todo.argmax())]
+        todo[wave[0]] = False
+        while wave and todo.any():
+            at = wave.pop()
+            mine = codes[starts[at] : starts[at] + sizes[at]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[codes], starts, dtype=np.int64)
+            mark[mine] = False
+            ok = todo & (both / (sizes + sizes[at] - both) >= similarity)
+            if side is not None:
+                ok &= side != side[at]
+            reached = np.nonzero(ok)[0]
+            todo[reached] = False
+            x.append(np.full(len(reached), at))
+            y.append(reached)
+            wave.extend(reached.tolist())
+    return np.concatenate(x), np.concatenate(y)
+
+
+def verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(src, dst): links that join all texts of a group which are as similar as asked, or are joined by such pairs.
+    members: (group, blocks, node, some), a row for each text to compare, of id and hash ``some``."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sets, pa.binary())], ["group", "blocks", "node", "set"])
 
-def resemblance(x: np.ndarray, y: np.ndarray) -> float:
-    """Similarity of two sketches: the share of their union's smallest that both have."""
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    union = np.union1d(x, y)[:SKETCH] if len(x) >= SKETCH or len(y) >= SKETCH else np.union1d(x, y)
-    return float((np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)).sum()) / len(union)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[bool, np.ndarray]] = {}  # of the last pair of blocks, which may go on in the next batch
+        last: tuple | None = None
 
+        def done() -> tuple[np.ndarray, np.ndarray]:
+            nodes, sides = np.fromiter(held, np.int64, len(held)), np.array([v[0] for v in held.values()])
+            x, y = alike([v[1] for v in held.values()], None if last[1] == last[2] else sides, similarity)
+            return nodes[x], nodes[y]
 
-def verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The (src, dst) whose sketches (node, sketch) are as similar as asked."""
+        def rows(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], ["src", "dst"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            ok = [resemblance(x[i].values.to_numpy(), y[i].values.to_numpy()) >= similarity for i in range(batch.num_rows)]
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["src", "dst"])
-
-    left = pairs.join(sketches.select(F.col("node").alias("src"), F.col("sketch").alias("x")), "src")
-    both = left.join(sketches.select(F.col("node").alias("dst"), F.col("sketch").alias("y")), "dst")
-    return both.select("src", "dst", "x", "y").mapInArrow(run, "src bigint, dst bigint")
+            found = []
+            for group, i, j, block, number, data in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if (group, i, j) != last:
+                    if len(held) > 1:
+                        found.append(done())
+                    held, last = {}, (group, i, j)
+                held[number] = (block == i, np.frombuffer(data, np.uint64))
+            if found:
+                yield rows(found)
+        if len(held) > 1:
+            yield rows([done()])
+
+    n = partitions(docs.sparkSession)
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    texts = rows.join(members, (F.col("hash") == F.col("some.hash")) & F.col("id").eqNullSafe(F.col("some.id")))
+    sets = texts.select("group", "blocks", "node", "text").mapInArrow(cut, "group bigint, blocks bigint, node bigint, set binary")
+    placed = sets.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    pairs = placed.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "set")
+    return pairs.repartition(n, "group", "i", "j").sortWithinPartitions("group", "i", "j", "node").mapInArrow(compare, "src bigint, dst bigint")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """A row for each row of ``docs``: id and component_id, the smallest id reachable over links of texts whose word
     shingles are as similar as asked.
 
-    Texts with the same fingerprint count as one text. Null and empty texts are one class. Rows with null ids keep
+    Texts with the same set of shingles count as one text; those with the same fingerprint only are compared. Null and empty texts are one class. Rows with null ids keep
     them and take part; repeated rows give repeated rows; an empty table gives none. Links within ``similarity`` are found
-    with the probability that the shared keys give (see README), never between texts that are less similar by
-    more than the sketches' error.
+    with the probability that the shared keys give (see README).
     """
     each = kept(described(docs, id_col, text_col, shingle))
-    classes = kept(each.groupBy("a", "b", "node").agg(F.min("id").alias("first")))
-    found = links(classes.select("a", "b"), RADIUS, keys=wide_keys)
-    named = found.select(F.col("src").alias("node")).union(found.select("dst")).distinct()
-    firsts = classes.join(named, "node", "left_semi").select("node", F.col("first").alias("id"))
-    sketches = kept(each.select("node", "id", "sketch").join(firsts, ["node", "id"], "left_semi").dropDuplicates(["node"]).select("node", "sketch"))
-    roots = components(verified(found, sketches, similarity - SLACK))
+    classes = kept(each.groupBy("a", "b", "fp", "node").agg(F.min("id").alias("first"), F.min(F.struct("id", "hash")).alias("some"), F.max("n").alias("n")))
+    full = classes.where("n > 0")
+    near = components(links(full.select("a", "b").distinct(), RADIUS, keys=wide_keys)).select(F.col("node").alias("fp"), "root")
+    members = kept(full.join(near, "fp", "left").select(F.coalesce("root", "fp").alias("group"), "node", "some", "n"))
+    groups = members.groupBy("group").agg(F.count("*").alias("texts"), F.ceil(F.sum("n") / BLOCK).alias("blocks")).where("texts > 1")
+    roots = components(verified(docs, members.join(groups, "group").select("group", "blocks", "node", "some"), id_col, text_col, shingle, similarity - SLACK))
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = kept(joined.select("node", "root").join(smallest, "root").select("node", "component_id"))
+    ids = kept(joined.select("node", "root").distinct().join(smallest, "root").select("node", "component_id"))
     return each.select("id", "node").join(ids, "node").select(F.col("id").alias(id_col), "component_id")
 
 

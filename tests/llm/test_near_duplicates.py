@@ -198,6 +198,55 @@ def test_near_copies_by_similarity(spark, docs):
     assert nc.near_copies(docs([])).count() == 0
 
 
+def test_twins_in_large_families_meet(spark, docs):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    texts, twins = [], []
+    for _ in range(3):
+        shared = [r.choice(words) for _ in range(60)] * 20  # repeats bring fingerprints near, whatever the sets
+        for _ in range(30):
+            t = shared + [r.choice(words) for _ in range(90)]
+            twins.append((len(texts), len(texts) + 1))
+            texts += [" ".join(t), " ".join([*t[:-2], "another", "end"])]
+    assert all(jaccard(texts[i], texts[j]) > 0.94 for i, j in twins) and jaccard(texts[0], texts[2]) < 0.75
+    got = {row.doc_id: row.component_id for row in nc.near_copies(docs(texts)).collect()}
+    assert [got[j] for _, j in twins] == [i for i, _ in twins] == [got[i] for i, _ in twins]
+
+
+def test_equal_fingerprints_are_compared(spark, docs):
+    same = "again " * 300
+    texts = [same + " ".join(f"{k}{i}" for i in range(40)) for k in "abc"]
+    assert len({nc.majority(nc.shingle_hashes(t, 5)) for t in texts}) == 1 and jaccard(texts[0], texts[1]) < 0.1
+    got = {row.doc_id: row.component_id for row in nc.near_copies(docs([*texts, texts[1]])).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("block", [1 << 19, 1000])
+def test_groups_in_blocks_equal_brute_force(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(nc, "BLOCK", block)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(60):
+        u = list(base)
+        for k in range(r.randrange(1, 5)):
+            u[r.randrange(150)] = f"n{i}x{k}"
+        texts.append(" ".join(u))
+    got = {row.doc_id: row.component_id for row in nc.near_copies(docs(texts), similarity=0.9).collect()}
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for j, i in combinations(range(len(texts)), 2):
+        if jaccard(texts[i], texts[j]) >= 0.9 - getattr(nc, "SLACK", 0):
+            x, y = sorted((find(i), find(j)))
+            parent[y] = x
+    assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))] and len(set(got.values())) > 5
+
+
 def test_spared_copies(spark, docs):
     from pyspark.sql import functions as F
 
