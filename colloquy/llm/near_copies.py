@@ -24,8 +24,6 @@ from colloquy.llm.simhash_golay import bits_of, links, mixed, node, paired, segm
 from colloquy.operators.components import components
 
 RADIUS, SIMILARITY = 25, 0.8
-#: Links are kept a little below the asked similarity.
-SLACK = 0.025
 SEGMENT = 21
 #: Hashes of a group's block; a task holds two blocks.
 BLOCK = 1 << 19
@@ -167,7 +165,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts with the same set of shingles count as one text; those with the same fingerprint only are compared. Null and empty texts are one class. Rows with null ids keep
     them and take part; repeated rows give repeated rows; an empty table gives none. Links within ``similarity`` are found
-    with the probability that the shared keys give (see README).
+    with the probability that the shared keys give (see README), never between texts that are less similar.
     """
     each = kept(described(docs, id_col, text_col, shingle))
     classes = kept(each.groupBy("a", "b", "fp", "node").agg(F.min("id").alias("first"), F.min(F.struct("id", "hash")).alias("some"), F.max("n").alias("n")))
@@ -175,7 +173,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = components(links(full.select("a", "b").distinct(), RADIUS, keys=wide_keys)).select(F.col("node").alias("fp"), "root")
     members = kept(full.join(near, "fp", "left").select(F.coalesce("root", "fp").alias("group"), "node", "some", "n"))
     groups = members.groupBy("group").agg(F.count("*").alias("texts"), F.ceil(F.sum("n") / BLOCK).alias("blocks")).where("texts > 1")
-    roots = components(verified(docs, members.join(groups, "group").select("group", "blocks", "node", "some"), id_col, text_col, shingle, similarity - SLACK))
+    roots = components(verified(docs, members.join(groups, "group").select("group", "blocks", "node", "some"), id_col, text_col, shingle, similarity))
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = kept(joined.select("node", "root").distinct().join(smallest, "root").select("node", "component_id"))
