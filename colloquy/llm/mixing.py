@@ -1,7 +1,7 @@
 """Mixing sources to target weights by hierarchical budgeting.
 
 Leaves are (domain, language, source). The budget goes down the tree: a node's children share it by their weights,
-but none gets more than its subtree holds (its tokens times ``epochs``); what a child can't use is shared again
+but none gets more than its subtree can take (its tokens times ``epochs``, without what weighs nothing); what a child can't use is shared again
 among its siblings, by weight, until it is used or all are full. As a child is full only when its whole subtree
 is, a shortage is made up among siblings before it reaches the level above.
 
@@ -59,17 +59,22 @@ def budgets(leaves: DataFrame, weights: DataFrame, total: float, epochs: int) ->
     """(domain, lang, source, tokens, given): each leaf's whole tokens to take."""
     listed = weights.groupBy(*LEVELS).agg(F.max("weight").alias("weight"))
     d, la, s = LEVELS
-    nodes = leaves.select(*LEVELS, "tokens", (F.col("tokens") * epochs).cast("double").alias("capacity"))
-
     def weighed(df: DataFrame, *named: str) -> DataFrame:
         right = listed
         for level in LEVELS:
             right = right.where(F.col(level).isNotNull() if level in named else F.col(level).isNull())
         return df.join(right.select(*named, "weight"), list(named), "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
-    top = shared(weighed(nodes.groupBy(d).agg(F.sum("capacity").alias("capacity")), d).withColumn("budget", F.lit(float(total))).withColumn("root", F.lit(0)).withColumn("node", F.col(d)), ["root"])
-    middle = shared(weighed(nodes.groupBy(d, la).agg(F.sum("capacity").alias("capacity")), d, la).join(top.select(d, F.col("given").alias("budget")), d).withColumn("node", F.col(la)), [d])
-    bottom = shared(weighed(nodes, d, la, s).join(middle.select(d, la, F.col("given").alias("budget")), [d, la]).withColumn("node", F.col(s)), [d, la])
+    def able() -> Column:
+        """What weighs nothing takes nothing, so it adds nothing to what its parent can take."""
+        return F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0.0).alias("capacity")
+
+    low = weighed(leaves.select(*LEVELS, "tokens", (F.col("tokens") * epochs).cast("double").alias("capacity")), d, la, s).select(*LEVELS, "tokens", "weight", able())
+    mid = weighed(low.groupBy(d, la).agg(F.sum("capacity").alias("capacity")), d, la).select(d, la, "weight", able())
+    high = weighed(mid.groupBy(d).agg(F.sum("capacity").alias("capacity")), d).select(d, "weight", able())
+    top = shared(high.withColumn("budget", F.lit(float(total))).withColumn("root", F.lit(0)).withColumn("node", F.col(d)), ["root"])
+    middle = shared(mid.join(top.select(d, F.col("given").alias("budget")), d).withColumn("node", F.col(la)), [d])
+    bottom = shared(low.join(middle.select(d, la, F.col("given").alias("budget")), [d, la]).withColumn("node", F.col(s)), [d, la])
     return bottom.select(*LEVELS, "tokens", F.floor(F.col("given") + 1e-6).cast("bigint").alias("given"))
 
 

@@ -129,6 +129,18 @@ def test_mixing_equals_plain_version(spark, monkeypatch, share, epochs):
     assert got == want and want
 
 
+def test_what_weighs_nothing_is_no_capacity(spark):
+    leaves = [("d0", "en", "a", 300), ("d1", "en", "a", 200), ("d1", "fr", "a", 100), ("d2", "en", "a", 150), ("d2", "en", "b", 150), ("d3", "es", "a", 100)]
+    weights = [("d0", None, None, 4.0), ("d1", None, None, 3.0), ("d2", None, None, 2.0), ("d3", None, None, 1.0), ("d3", "es", None, 0.0), ("d1", "fr", None, 0.0), ("d2", "en", "b", 0.0)]
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens bigint")
+    w = spark.createDataFrame(weights, "domain string, lang string, source string, weight double")
+    given = lambda total: {(r.domain, r.lang, r.source): r.given for r in mixing.budgets(df, w, total, 1).collect()}
+    none = {("d1", "fr", "a"): 0, ("d2", "en", "b"): 0, ("d3", "es", "a"): 0}
+    assert given(540) == {("d0", "en", "a"): 240, ("d1", "en", "a"): 180, ("d2", "en", "a"): 120, **none}
+    assert given(630) == {("d0", "en", "a"): 286, ("d1", "en", "a"): 200, ("d2", "en", "a"): 143, **none}
+    assert given(2000) == {("d0", "en", "a"): 300, ("d1", "en", "a"): 200, ("d2", "en", "a"): 150, **none}
+
+
 def test_mixing_of_hard_tables(spark, docs):
     from hard_cases import HARD
 
