@@ -55,12 +55,13 @@ def containing(messages: DataFrame, names: DataFrame, name: str, text: str = "co
     return containing_join(messages, sized, name, text)
 
 
-def containing_join(messages: DataFrame, sized: DataFrame, name: str, text: str = "content") -> DataFrame:
-    starts = sized.groupBy(F.substring(name, 1, 1).alias("_c")).agg(F.collect_set(F.length(name)).alias("_lengths"))
-    at = messages.withColumn("_c", F.explode(F.array_distinct(F.split(text, "")))).where("_c <> ''").join(starts, "_c")
-    places = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(F.col(text), i, F.lit(1)) == F.col("_c"))
-    cut = at.withColumn("_n", F.explode("_lengths")).withColumn(name, F.explode(F.array_distinct(F.transform(places, lambda i: F.substr(F.col(text), i, F.col("_n"))))))
-    return cut.join(sized, name, "left_semi").drop("_c", "_n", "_lengths")
+def containing_join(messages: DataFrame, sized: DataFrame, name: str, text: str = "content", id_col: str = "msg_id") -> DataFrame:
+    """The join of ``containing``: only ids and substrings meet the names; the rows come back by their ids."""
+    lengths = sorted(r[0] for r in sized.select(F.length(name)).distinct().collect())  # at most the longest name's
+    ids = messages.select(id_col, text)
+    cuts = F.transform(F.array(*map(F.lit, lengths)), lambda k: F.when(k <= F.length(text), F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substr(F.col(text), i, k))).otherwise(F.array().cast("array<string>")))
+    found = ids.select(id_col, F.explode(F.array_distinct(F.flatten(cuts))).alias(name)).join(sized, name, "left_semi")
+    return messages.join(found.distinct(), id_col)
 
 
 def mentions(messages: DataFrame, entities: DataFrame) -> DataFrame:

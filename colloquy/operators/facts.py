@@ -40,9 +40,15 @@ def extract(messages: DataFrame, fact_rules: Sequence[tuple] = lex.FACT_RULES, r
     return rows.select("_f.*", F.col("msg_id").alias("source_msg_id"), F.col("sender").alias("subject"), F.col("sender_role").alias("subject_role"), F.lit(float(confidence)).alias("confidence"), F.substring(content, 1, 200).alias("source_content"))
 
 
-def numbered(facts: DataFrame) -> DataFrame:
-    """fact_id by message and rule: F and a number, which grows from one message to the next within its source."""
-    return facts.withColumn("fact_id", F.concat(F.lit("F_"), F.lpad(F.col("source_msg_id").cast("string"), 12, "0"), F.lit("_"), F.lpad(F.col("rule").cast("string"), 2, "0")))
+def numbered(facts: DataFrame, width: int = 100_000) -> DataFrame:
+    """fact_id F_00001 and so on, in the order of messages and rules. Facts are counted in bands of message ids first, so
+    that no window spans all of them."""
+    placed = facts.withColumn("_band", F.floor(F.col("source_msg_id") / width))
+    counts = placed.groupBy("_band").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_band", "_before")
+    k = F.row_number().over(Window.partitionBy("_band").orderBy("source_msg_id", "rule", "subject")) + F.col("_before")
+    number = k.cast("string")
+    return placed.join(before, "_band").withColumn("fact_id", F.concat(F.lit("F_"), F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number))).drop("_band", "_before")
 
 
 def stats(facts: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from colloquy.operators.components import durable
 def degree_share(messages: DataFrame, top: int = 20) -> DataFrame:
     """The most active people; share among those, and among all."""
     n = messages.groupBy("sender").agg(F.count("*").alias("msg_count"))
-    whole = n.agg(F.sum("msg_count").alias("_all"))
+    whole = n.agg(F.sum("msg_count")).scalar()
     first = n.orderBy(F.desc("msg_count"), "sender").limit(top)
-    among = first.withColumn("_sum", F.sum("msg_count").over(Window.partitionBy(F.lit(1))))
-    return among.crossJoin(F.broadcast(whole)).select("sender", "msg_count", F.round(F.col("msg_count") / F.col("_sum"), 6).alias("share"), F.round(F.col("msg_count") / F.col("_all"), 6).alias("true_share"))
+    among = first.agg(F.sum("msg_count")).scalar()
+    return first.select("sender", "msg_count", F.round(F.col("msg_count") / among, 6).alias("share"), F.round(F.col("msg_count") / whole, 6).alias("true_share"))
 
 
 def message_counts(people: DataFrame, messages: DataFrame) -> DataFrame:
@@ -82,8 +82,8 @@ def louvain(edges: DataFrame, levels: int = 2, rounds: int = 4) -> DataFrame:
             choice = to.unionByName(place.select("node", "c", F.lit(0.0).alias("w"))).groupBy("node", "c").agg(F.sum("w").alias("w")).join(sums, "c").join(here, "node")
             rest = F.col("s") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
             gain = F.round(F.col("w") - F.col("k") * rest / m2, 9)
-            best = choice.groupBy("node", "now").agg(F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("now")).alias("stay"))).alias("top"), F.collect_list(F.struct("c", gain.alias("g"))).alias("all"))
-            target = F.array_min(F.transform(F.filter("all", lambda x: x["g"] == F.col("top.g")), lambda x: x["c"]))
+            best = choice.groupBy("node", "now").agg(F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("now")).alias("stay"))).alias("top"), F.min(F.struct((-gain).alias("less"), F.col("c").alias("c"))).alias("low"))
+            target = F.col("low.c")  # of the largest gain's communities the smallest
             turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
             moved = durable(best.select("node", "now", F.when(turn & ~F.col("top.stay"), target).otherwise(F.col("now")).alias("c")))
             n = moved.where("c <> now").count()
@@ -102,7 +102,9 @@ def louvain(edges: DataFrame, levels: int = 2, rounds: int = 4) -> DataFrame:
 
 def communities(assigned: DataFrame, members: int = 10) -> DataFrame:
     """Communities by size, with a few members."""
-    return assigned.groupBy("community").agg(F.count("*").alias("size"), F.slice(F.sort_array(F.collect_list("node")), 1, members).alias("members")).orderBy(F.desc("size"), "community")
+    sizes = assigned.groupBy("community").agg(F.count("*").alias("size"))
+    first = assigned.withColumn("_k", F.row_number().over(Window.partitionBy("community").orderBy("node"))).where(F.col("_k") <= members)
+    return sizes.join(first.groupBy("community").agg(F.sort_array(F.collect_list("node")).alias("members")), "community").orderBy(F.desc("size"), "community")
 
 
 def neighbor_jaccard(edges: DataFrame, pairs: DataFrame) -> DataFrame:

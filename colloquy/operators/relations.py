@@ -25,32 +25,34 @@ def direct_replies(messages: DataFrame) -> DataFrame:
 
 
 def presence(messages: DataFrame) -> DataFrame:
-    """Messages of each person in each chat; everything on chats starts from these few rows."""
-    return messages.groupBy("source_file", "sender").agg(F.count("*").alias("n"))
+    """Messages of each person in each chat, with the chat's type; everything on chats starts from these few rows."""
+    return messages.groupBy("source_file", "chat_type", "sender").agg(F.count("*").alias("n"))
 
 
-def copresence(messages: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """For pairs that share a chat: shared groups, their messages in those, their messages in shared private chats.
+def together(messages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(p1, p2, source_file, chat_type, n1, n2): the chats that the people of each asked pair share. The pairs lead, so
+    a chat with very many members doesn't pair all of them."""
+    p = presence(messages)
+    a = p.select("source_file", "chat_type", F.col("sender").alias("p1"), F.col("n").alias("n1"))
+    b = p.select("source_file", F.col("sender").alias("p2"), F.col("n").alias("n2"))
+    return pairs.select(*PAIR).join(a, "p1").join(b, ["source_file", "p2"])
+
+
+def copresence(messages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For asked pairs that share a chat: shared groups, their messages in those, their messages in shared private chats.
 
     Counting both sides' distinct messages over the product of two people's messages is the sum of their
-    counts, so chats are summed before they are joined. With ``pairs``, only those are looked at.
+    counts, so chats are summed before they are joined.
     """
-    p = presence(messages)
-    a, b = p.select("source_file", F.col("sender").alias("p1"), F.col("n").alias("n1")), p.select("source_file", F.col("sender").alias("p2"), F.col("n").alias("n2"))
-    if pairs is not None:
-        a = a.join(pairs.select(*PAIR), "p1").join(b, ["source_file", "p2"])
-    else:
-        a = a.join(b, "source_file").where("p1 < p2")
-    group, private = F.col("source_file").startswith("group_"), F.col("source_file").startswith("private_")
+    a = together(messages, pairs)
+    group, private = F.col("chat_type") == "group", F.col("chat_type") == "private"
     both = F.col("n1") + F.col("n2")
     return a.groupBy(*PAIR).agg(F.count_if(group).alias("shared_groups"), F.coalesce(F.sum(F.when(group, both)), F.lit(0)).alias("group_messages"), F.coalesce(F.sum(F.when(private, both)), F.lit(0)).alias("private_messages"))
 
 
-def shared_groups(messages: DataFrame) -> DataFrame:
-    """(p1, p2, source_file, n1, n2): the groups that two people share, with each one's messages."""
-    p = presence(messages.where(F.col("source_file").startswith("group_")))
-    a, b = p.select("source_file", F.col("sender").alias("p1"), F.col("n").alias("n1")), p.select("source_file", F.col("sender").alias("p2"), F.col("n").alias("n2"))
-    return a.join(b, "source_file").where("p1 < p2").select(*PAIR, "source_file", "n1", "n2")
+def shared_groups(messages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(p1, p2, source_file, n1, n2): the groups that the people of asked pairs share, with each one's messages."""
+    return together(messages.where(F.col("chat_type") == "group"), pairs).select(*PAIR, "source_file", "n1", "n2")
 
 
 def strength(direct: Column, group_messages: Column) -> Column:

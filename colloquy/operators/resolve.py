@@ -30,29 +30,55 @@ def initials(name: Column, table: Mapping[str, str] = lex.INITIALS) -> Column:
     return F.lower(F.translate(name, "".join(table), "".join(table.values())))
 
 
-def rule_match(e1: Column, e2: Column, titles: Sequence[str] = lex.TITLES, suffixes: Sequence[str] = lex.HONORIFICS, table: Mapping[str, str] = lex.INITIALS) -> Column:
-    """struct(confidence, reason) of the first rule that two names meet; null if none does."""
-    n1, n2 = normalize_name(e1, suffixes), normalize_name(e2, suffixes)
-    shorter, longer = F.when(F.length(n1) < F.length(n2), n1).otherwise(n2), F.when(F.length(n1) >= F.length(n2), n1).otherwise(n2)
-    han = lambda s: F.length(F.regexp_replace(s, f"[^{HAN}]", ""))
-    bare = lambda s: F.regexp_replace(s, "[a-zA-Z]+$", "")
-    both = (han(n1) > 0) & (han(n2) > 0)
-    abbreviates = lambda a, b: is_abbreviation(a) & (F.length(b) >= 2) & (F.length(a) == F.length(b)) & (initials(b, table) == F.lower(a))
-    titled = lambda e: any_contains(e, titles)
-
-    def hit(confidence: float, reason: Column | str) -> Column:
-        return F.struct(F.lit(confidence).alias("confidence"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
+#: What the rules look at in a name, computed once for each name and not for each pair.
+FEATURES = ("n", "han", "bare", "initials", "short", "titled")
+
+
+def described(rows: DataFrame, name: str, prefix: str, titles: Sequence[str] = lex.TITLES, suffixes: Sequence[str] = lex.HONORIFICS, table: Mapping[str, str] = lex.INITIALS) -> DataFrame:
+    """``rows`` with the features of a name column, each named by the prefix: the normalised name, its Han characters,
+    it without letters at its end, its initials, whether it is an abbreviation, whether the name holds a title."""
+    n = f"{prefix}n"
+    return rows.withColumn(n, normalize_name(F.col(name), suffixes)).withColumns(
+        {
+            f"{prefix}han": F.length(F.regexp_replace(n, f"[^{HAN}]", "")),
+            f"{prefix}bare": F.regexp_replace(n, "[a-zA-Z]+$", ""),
+            f"{prefix}initials": initials(F.col(n), table),
+            f"{prefix}short": is_abbreviation(F.col(n)),
+            f"{prefix}titled": any_contains(F.col(name), titles),
+        }
+    )
+
+
+def rule(a: str = "a_", b: str = "b_") -> Column:
+    """struct(confidence, reason) of the first rule that two described names meet; null if none does."""
+    f = {k: (F.col(a + k), F.col(b + k)) for k in FEATURES}
+    (n1, n2), (h1, h2) = f["n"], f["han"]
+    l1, l2 = F.length(n1), F.length(n2)
+    held = (n1.contains(n2) | n2.contains(n1)) & (F.when(l1 < l2, h1).otherwise(h2) >= 2) & (F.greatest(l1, l2) <= 3 * F.least(l1, l2))
+    both = (h1 > 0) & (h2 > 0)
+
+    def abbreviates(x: int, y: int) -> Column:
+        return f["short"][x] & (F.length(f["n"][y]) >= 2) & (l1 == l2) & (f["initials"][y] == F.lower(f["n"][x]))
+
+    def hit(confidence: float, *reason: Column | str) -> Column:
+        return F.struct(F.lit(confidence).alias("confidence"), F.concat(*(F.lit(r) if isinstance(r, str) else r for r in reason)).alias("reason"))
 
     return (
         F.when(n1 == n2, hit(1.0, "identical"))
-        .when((n1.contains(n2) | n2.contains(n1)) & (han(shorter) >= 2) & (F.length(longer) <= 3 * F.length(shorter)), hit(0.85, "substring"))
-        .when(both & (bare(n1) == bare(n2)), hit(0.95, "name+title"))
-        .when(abbreviates(n1, n2), hit(0.9, F.concat(F.lit("abbrev:"), n1, F.lit("→"), n2)))
-        .when(abbreviates(n2, n1), hit(0.9, F.concat(F.lit("abbrev:"), n2, F.lit("→"), n1)))
-        .when(both & (F.substring(n1, 1, 1) == F.substring(n2, 1, 1)) & ((titled(e1) & (F.length(n2) <= 3)) | (titled(e2) & (F.length(n1) <= 3))), hit(0.7, "surname+title"))
+        .when(held, hit(0.85, "substring"))
+        .when(both & (f["bare"][0] == f["bare"][1]), hit(0.95, "name+title"))
+        .when(abbreviates(0, 1), hit(0.9, "abbrev:", n1, "→", n2))
+        .when(abbreviates(1, 0), hit(0.9, "abbrev:", n2, "→", n1))
+        .when(both & (F.substring(n1, 1, 1) == F.substring(n2, 1, 1)) & ((f["titled"][0] & (l2 <= 3)) | (f["titled"][1] & (l1 <= 3))), hit(0.7, "surname+title"))
     )
 
 
+def rule_match(pairs: DataFrame, e1: str = "e1", e2: str = "e2", **lists) -> DataFrame:
+    """(e1, e2, confidence, reason) of the pairs that meet a rule."""
+    both = described(described(pairs, e1, "a_", **lists), e2, "b_", **lists)
+    return both.withColumn("_m", rule()).where(F.col("_m").isNotNull()).select(e1, e2, "_m.*")
+
+
 def any_contains(text: Column, words: Sequence[str]) -> Column:
     out = F.lit(False)
     for w in words:
@@ -64,17 +90,23 @@ def candidates(names: DataFrame, table: Mapping[str, str] = lex.INITIALS, **list
     """(e1 < e2, confidence, reason) of all pairs that meet a rule.
 
     Pairs come from blocks, not from the product of all names: equal normalised names, shared pairs of neighbouring
-    characters (a name that holds another of two characters or more shares one), equal first characters, and equal
-    initials (an abbreviation is its own). Every pair that meets a rule shares one of these.
+    characters (a name that holds another of two characters or more shares one), equal initials (an abbreviation is
+    its own), and for the title rule equal first characters of a titled name and one of up to three characters; so
+    names with a common surname don't all meet each other. Every pair that meets a rule shares one of these.
     """
-    e = names.select(F.col("name")).where(F.length("name") > 0).distinct()
-    n = normalize_name(F.col("name"), lists.get("suffixes", lex.HONORIFICS))
+    e = described(names.select(F.col("name")).where(F.length("name") > 0).distinct(), "name", "_", table=table, **lists)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_n") - 1, F.lit(1))), lambda i: F.concat(F.lit("g:"), F.substr(F.col("_n"), i, F.lit(2))))
-    keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("n:"), "_n"), F.concat(F.lit("f:"), F.substring("_n", 1, 1)), F.concat(F.lit("i:"), initials(F.col("_n"), table))), pairs))
-    blocked = e.withColumn("_n", n).withColumn("_key", F.explode(keys))
-    a, b = blocked.select("_key", F.col("name").alias("e1")), blocked.select("_key", F.col("name").alias("e2"))
-    met = a.join(b, "_key").where("e1 < e2").select("e1", "e2").distinct()
-    return met.withColumn("_m", rule_match(F.col("e1"), F.col("e2"), table=table, **lists)).where(F.col("_m").isNotNull()).select("e1", "e2", "_m.*")
+    keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("n:"), "_n"), F.concat(F.lit("i:"), "_initials")), pairs))
+
+    def side(rows: DataFrame, key: Column, prefix: str) -> DataFrame:
+        return rows.select(key.alias("_key"), F.col("name").alias(f"{prefix}name"), *(F.col(f"_{f}").alias(f"{prefix}{f}") for f in FEATURES))
+
+    met = side(e, F.explode(keys), "a_").join(side(e, F.explode(keys), "b_"), "_key")
+    surname = F.substring("_n", 1, 1)
+    by_title = side(e.where("_titled"), surname, "a_").join(side(e.where(F.length("_n") <= 3), surname, "b_"), "_key").where("a_name <> b_name")
+    turned = by_title.select("_key", *(F.when(F.col("a_name") < F.col("b_name"), F.col(f"{p}{f}")).otherwise(F.col(f"{q}{f}")).alias(f"{p}{f}") for p, q in (("a_", "b_"), ("b_", "a_")) for f in ("name", *FEATURES)))
+    found = met.where("a_name < b_name").unionByName(turned).withColumn("_m", rule()).where(F.col("_m").isNotNull())
+    return found.select(F.col("a_name").alias("e1"), F.col("b_name").alias("e2"), "_m.*").distinct()
 
 
 def confirmed(found: DataFrame, structure: DataFrame, threshold: float = 0.75, least: float = 0.3, confirm=None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import lexicon as lex
@@ -21,11 +21,11 @@ def expand(topics: DataFrame, asked: str) -> DataFrame:
     """(word, layer, hit): layer 1 are the words of the topic with most hits, layer 2 the other hit topics' words;
     the question itself if nothing is hit. Topics are few: they are a lexicon."""
     hits = topic_hits(topics, asked)
-    first = hits.orderBy(F.desc("hits"), "topic").limit(1).select(F.col("topic").alias("_first"))
-    words = topics.join(F.broadcast(hits), "topic").crossJoin(F.broadcast(first)).groupBy("word").agg(F.min(F.when(F.col("topic") == F.col("_first"), 1).otherwise(2)).alias("layer"))
-    spark = topics.sparkSession
-    plain = spark.createDataFrame([(asked, 1)], "word string, layer int").join(hits, how="left_anti", on=F.lit(True))
-    return words.unionByName(plain)
+    first = hits.orderBy(F.desc("hits"), "topic").limit(1).first()
+    if first is None:
+        return topics.sparkSession.createDataFrame([(asked, 1)], "word string, layer int")
+    layer = F.when(F.col("topic") == first["topic"], 1).otherwise(2)
+    return topics.join(hits.select("topic"), "topic", "left_semi").groupBy("word").agg(F.min(layer).alias("layer"))
 
 
 def layered(messages: DataFrame, topics: DataFrame, asked: str, about: DataFrame, mentions: DataFrame, limit: int | None = 15, enough: int = 5) -> DataFrame:
@@ -33,8 +33,8 @@ def layered(messages: DataFrame, topics: DataFrame, asked: str, about: DataFrame
     ``enough``; messages about a hit topic; messages that name one of the words. The latest ones first."""
     words = expand(topics, asked)
     held = containing(messages.select("msg_id", "content"), words.select("word"), "word").select("msg_id", "word").join(words, "word").select("msg_id", "layer").distinct()
-    few = held.where("layer = 1").agg((F.count_distinct("msg_id") < enough).alias("_few"))
-    by_word = held.crossJoin(F.broadcast(few)).where("layer = 1 or _few").select("msg_id", "layer")
+    few = held.where("layer = 1").select("msg_id").distinct().limit(enough).agg((F.count("*") < enough).alias("_few"))
+    by_word = held.where((F.col("layer") == 1) | few.scalar()).select("msg_id", "layer")
     by_topic = about.join(topic_hits(topics, asked), "topic", "left_semi").select("msg_id", F.lit(3).alias("layer"))
     by_name = mentions.join(words.select(F.col("word").alias("entity")), "entity", "left_semi").select("msg_id", F.lit(4).alias("layer"))
     first = by_word.unionByName(by_topic).unionByName(by_name).groupBy("msg_id").agg(F.min("layer").alias("layer"))
@@ -77,16 +77,17 @@ def topic_months(messages: DataFrame, words: Sequence[str], sad: Column) -> Data
 def mentions_by_speaker(messages: DataFrame, word: str, keep: int = 3) -> DataFrame:
     """How often each speaker uses a word, with the first texts."""
     held = messages.where(F.col("content").contains(word))
-    first = F.slice(F.sort_array(F.collect_list(F.struct("msg_id", F.substring("content", 1, 50).alias("t")))), 1, keep)
-    return held.groupBy("sender").agg(F.count("*").alias("n"), F.transform(first, lambda x: x["t"]).alias("samples"))
+    counts = held.groupBy("sender").agg(F.count("*").alias("n"))
+    first = held.withColumn("_k", F.row_number().over(Window.partitionBy("sender").orderBy("msg_id"))).where(F.col("_k") <= keep)
+    texts = F.sort_array(F.collect_list(F.struct("_k", F.substring("content", 1, 50).alias("t"))))
+    samples = first.groupBy("sender").agg(F.transform(texts, lambda x: x["t"]).alias("samples"))
+    return counts.join(samples, "sender")
 
 
 def entity_link(entities: DataFrame, asked: str, most: int = 5) -> DataFrame:
     """Entities that a question names by name or alias, the longest names first; entities has (type, name, aliases)."""
     q = F.lit(asked)
     held = q.contains(F.col("name")) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: (F.length(a) > 0) & q.contains(a))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("type").orderBy(F.desc(F.length("name")), "name")
     return entities.where(held).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
@@ -101,8 +102,6 @@ def related(mentions: DataFrame, about: DataFrame, entity, top: int = 20) -> Dat
 
 def related_topics(mentions: DataFrame, about: DataFrame, top: int = 5) -> DataFrame:
     """The topics of every entity's messages, the most frequent ones."""
-    from pyspark.sql import Window
-
     n = mentions.join(about, "msg_id").groupBy("entity", "topic").agg(F.count_distinct("msg_id").alias("messages"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("messages"), "topic"))).where(F.col("rank") <= top)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators.threads import display_name
+
 
 def month_of(formatted: Column) -> Column:
     return F.when(F.length(formatted) >= 7, F.substring(formatted, 1, 7))
@@ -42,9 +46,10 @@ def person_timeline(rows: DataFrame, top: int = 10) -> DataFrame:
     return months.groupBy("person").agg(F.sum("cnt").alias("total"), F.count("*").alias("active_months"), F.min("month").alias("first_month"), F.max("month").alias("last_month")).orderBy(F.desc("total"), "person").limit(top)
 
 
-def group_trend(rows: DataFrame, period: str = "day", least: int = 5) -> DataFrame:
-    """Groups by period with at least ``least`` messages, each with its group's total over those periods."""
-    kept = rows.where(F.col("source_file").startswith("group_")).groupBy("source_file", period).agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)
+def group_trend(rows: DataFrame, period: str = "day", least: int = 5, prefixes: Sequence[str] = ("group_",)) -> DataFrame:
+    """Groups by period with at least ``least`` messages, each with its group's total over those periods and the name
+    that it is shown by."""
+    kept = rows.where(F.col("chat_type") == "group").groupBy("source_file", display_name(F.col("source_file"), prefixes).alias("display"), period).agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)
     return kept.withColumn("group_total", F.sum("cnt").over(Window.partitionBy("source_file")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,20 @@ def chat_type(session: str = "session") -> Column:
     return F.when(grouped, "group").when(F.coalesce(s["wxid"], F.lit("")).startswith("wxid_"), "private").otherwise("unknown")
 
 
+def typed(rows: DataFrame, group: str = "group_", private: str = "private_", chat: str = "source_file") -> DataFrame:
+    """Adds chat_type from a prefix of the chat's name, for sources that don't say it themselves."""
+    name = F.col(chat)
+    return rows.withColumn("chat_type", F.when(name.startswith(group), "group").when(name.startswith(private), "private").otherwise("unknown"))
+
+
+def display_name(chat: Column, prefixes: Sequence[str] = ("group_", "private_"), chars: int = 25) -> Column:
+    """A chat's name without its type's prefix and the file's ending, cut to what a list shows."""
+    out = chat
+    for p in (*prefixes, ".json"):
+        out = F.replace(out, F.lit(p), F.lit(""))
+    return F.substring(out, 1, chars)
+
+
 def normalize_roles(rows: DataFrame, target: Column, own: Column, is_group: Column) -> DataFrame:
     """Adds sender_role and sender to rows of msg_type, is_send and sender_name.
 

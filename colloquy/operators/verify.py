@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HAN = r"[\x{4e00}-\x{9fff}]"
+# What counts as a claim.
 QUOTED = '"([^"]{8,})"'
 ITEM = r"-\s+\*\*(.+?)\*\*[：:]\s*([^\n]+)"
 

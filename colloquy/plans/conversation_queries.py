@@ -86,9 +86,9 @@ def p_variant(spark, d):
     return conversation_messages(spark, d).withColumn("sender", F.concat(F.lit("p"), (F.col("conv_id") % 10).cast("string")))
 
 
-@query(f"WITH {C_SQL}, {P_SQL} SELECT sender AS name, CASE min(CASE sender_role WHEN 'target' THEN 1 WHEN 'self' THEN 2 WHEN 'group_member' THEN 3 WHEN 'system' THEN 4 END) WHEN 1 THEN 'target' WHEN 2 THEN 'self' WHEN 3 THEN 'group_member' ELSE 'system' END AS role FROM p WHERE msg_id % 7 <> 0 GROUP BY sender")
+@query(f"WITH {C_SQL}, {P_SQL} SELECT sender AS name, CASE min(CASE sender_role WHEN 'target' THEN 1 WHEN 'self' THEN 2 WHEN 'group_member' THEN 3 WHEN 'system' THEN 4 END) WHEN 1 THEN 'target' WHEN 2 THEN 'self' WHEN 3 THEN 'group_member' ELSE 'system' END AS role FROM p GROUP BY sender")
 def persons(spark, d):
-    return edges.persons(p_variant(spark, d).where("msg_id % 7 <> 0"))
+    return edges.persons(p_variant(spark, d))
 
 
 @query(f"WITH {C_SQL} SELECT sender AS name, msg_id FROM c")
@@ -97,9 +97,9 @@ def said_edges(spark, d):
     return edges.said_edges(m, edges.persons(m))
 
 
-@query(f"WITH {CR_SQL}, k AS (SELECT * FROM cr WHERE msg_id % 5 <> 0) SELECT a.msg_id AS src, a.reply_to AS dst FROM k a JOIN k b ON a.reply_to = b.msg_id")
+@query(f"WITH {CR_SQL} SELECT a.msg_id AS src, a.reply_to AS dst FROM cr a JOIN cr b ON a.reply_to = b.msg_id")
 def reply_edges(spark, d):
-    return edges.reply_edges(threaded(spark, d).where("msg_id % 5 <> 0"))
+    return edges.reply_edges(threaded(spark, d))
 
 
 @query(f"WITH {C_SQL} SELECT source_file, count(*) AS total, count(*) FILTER (sender_role = 'target') AS target, count(*) FILTER (sender_role = 'self') AS self, count(*) FILTER (sender_role = 'system') AS system, arg_min(sender, msg_id) FILTER (sender_role = 'self') AS self_name FROM c GROUP BY source_file")
@@ -107,13 +107,13 @@ def chat_summary(spark, d):
     return threads.chat_summary(conversation_messages(spark, d))
 
 
-ANNOTATED = "a AS (SELECT msg_id FROM c WHERE msg_id % 3 = 0)"
+ANNOTATED = "a AS (SELECT msg_id FROM c WHERE contains(content, 'tion'))"
 
 
 @query(f"WITH {C_SQL}, {ANNOTATED} SELECT msg_id, content FROM c WHERE length(content) > 40 AND sender_role = 'target' AND msg_id NOT IN (SELECT msg_id FROM a)")
 def pending_annotations(spark, d):
     m = conversation_messages(spark, d)
-    return annotate.pending(m, m.where("msg_id % 3 = 0").select("msg_id"), longer_than=40).select("msg_id", "content")
+    return annotate.pending(m, m.where("contains(content, 'tion')").select("msg_id"), longer_than=40).select("msg_id", "content")
 
 
 @query(f"WITH {C_SQL} SELECT msg_id, bucket FROM (SELECT msg_id, CASE WHEN length(content) <= 150 THEN 'short' WHEN length(content) <= 400 THEN 'medium' ELSE 'long' END AS bucket, row_number() OVER (PARTITION BY CASE WHEN length(content) <= 150 THEN 'short' WHEN length(content) <= 400 THEN 'medium' ELSE 'long' END ORDER BY md5('0:' || msg_id), msg_id) AS k FROM c) WHERE k <= 33")
@@ -144,26 +144,20 @@ def context_asof(spark, d):
 
 # ---- emotion, mood, style
 
-CUTS = "(VALUES (4), (7), (14))"
-
-
 def like_any(column: str, words) -> str:
     return "(" + " OR ".join(f"contains({column}, {w!r})" for w in words) + ")"
 
 
-EMO_SQL = f"""{C_SQL}, cut AS (SELECT msg_id * 100 + n AS msg_id, n, trim(substr(content, 1, n)) AS t FROM c, {CUTS} AS k(n)),
+EMO_SQL = f"""{C_SQL}, cut AS (SELECT msg_id, conv_id, turn, trim(content) AS t FROM c),
 emo AS (SELECT *, CASE WHEN {like_any("t", NEUTRAL)} AND NOT {like_any("t", WARM)} THEN 'neutral_ack' WHEN {like_any("t", WARM)} THEN 'warm_reply' WHEN length(t) <= 8 AND {like_any("t", COLD)} THEN 'cold_response' ELSE 'neutral' END AS emotion,
     CASE WHEN {like_any("t", NEUTRAL)} AND NOT {like_any("t", WARM)} THEN 0.2 WHEN {like_any("t", WARM)} THEN 0.5 WHEN length(t) <= 5 AND {like_any("t", COLD)} THEN 0.8 WHEN length(t) <= 8 AND {like_any("t", COLD)} THEN 0.5 ELSE 0.0 END::DOUBLE AS intensity FROM cut),
 emo2 AS (SELECT *, emotion = 'cold_response' AS cold_signal FROM emo)"""
 
 
-def cut_texts(spark, d):
-    c = conversation_messages(spark, d).withColumn("n", F.explode(F.array(F.lit(4), F.lit(7), F.lit(14))))
-    return c.select((F.col("msg_id") * 100 + F.col("n")).alias("msg_id"), "conv_id", "turn", "n", F.trim(F.expr("substr(content, 1, n)")).alias("t"))
-
-
 def classified(spark, d):
-    return cut_texts(spark, d).withColumn("c", rules.classify(F.col("t"), NEUTRAL, WARM, COLD)).select("msg_id", "n", "t", "c.*")
+    """Whole texts by the rules; that short ones may be cold is left to the unit tests, as these texts are longer."""
+    c = conversation_messages(spark, d).withColumn("t", F.trim("content"))
+    return c.withColumn("c", rules.classify(F.col("t"), NEUTRAL, WARM, COLD)).select("msg_id", "conv_id", "turn", "t", "c.*")
 
 
 @query(f"WITH {EMO_SQL} SELECT msg_id, emotion, intensity, cold_signal FROM emo2")
@@ -181,7 +175,7 @@ def mood_delta(spark, d):
 
 FOLD_SQL = (
     f"WITH RECURSIVE {EMO_SQL}"
-    + """, s AS (SELECT (msg_id // 100) // 1000 AS conv_id, row_number() OVER (PARTITION BY (msg_id // 100) // 1000 ORDER BY msg_id) AS k, t,
+    + """, s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, t,
     CASE WHEN cold_signal THEN -0.25 * intensity WHEN emotion = 'warm_reply' THEN 0.15 * intensity ELSE 0 END::DOUBLE AS delta FROM emo2),
 f AS (SELECT conv_id, 0::BIGINT AS k, 0.0::DOUBLE AS mood, 0.5::DOUBLE AS intimacy, 0.0::DOUBLE AS delta, '' AS t FROM (SELECT DISTINCT conv_id FROM s)
     UNION ALL SELECT f.conv_id, s.k, greatest(-1.0, least(1.0, f.mood + s.delta)), CASE WHEN s.delta < -0.1 THEN greatest(0.0, f.intimacy - 0.05) WHEN s.delta > 0.05 THEN least(1.0, f.intimacy + 0.03) ELSE f.intimacy END, s.delta, s.t
@@ -192,7 +186,7 @@ f AS (SELECT conv_id, 0::BIGINT AS k, 0.0::DOUBLE AS mood, 0.5::DOUBLE AS intima
 def session_turns(spark, d):
     x = classified(spark, d)
     delta = rules.mood_delta(F.col("emotion"), F.col("intensity"), F.col("cold_signal"))
-    return x.select(F.expr("(msg_id div 100) div 1000").alias("conv_id"), F.col("msg_id").alias("turn"), delta.alias("delta"), F.col("t").alias("text"))
+    return x.select("conv_id", "turn", delta.alias("delta"), F.col("t").alias("text"))
 
 
 @query(FOLD_SQL + " SELECT conv_id, k, round(mood, 6) AS mood, round(intimacy, 6) AS intimacy FROM f WHERE k > 0")
@@ -207,12 +201,12 @@ def session_fold(spark, d):
 
 @query(
     FOLD_SQL
-    + """, v AS (SELECT conv_id, k, round(mood * 4, 6) AS mood, round(intimacy * 4, 6) AS intimacy FROM f WHERE k > 0),
+    + """, v AS (SELECT conv_id, k, round(mood * 8, 6) AS mood, round(intimacy * 8, 6) AS intimacy FROM f WHERE k > 0),
 j AS (SELECT *, abs(mood - lag(mood) OVER w) AS dm, abs(intimacy - lag(intimacy) OVER w) AS di, count(*) OVER (PARTITION BY conv_id) AS n FROM v WINDOW w AS (PARTITION BY conv_id ORDER BY k))
 SELECT conv_id, CASE WHEN max(n) < 2 THEN 100.0 ELSE round(100 * (1 - (count(*) FILTER (dm > 0.3) + count(*) FILTER (di > 0.1)) / (2.0 * (max(n) - 1))), 6) END AS score, round(coalesce(max(dm), 0), 6) AS max_mood_jump FROM j GROUP BY conv_id"""
 )
 def coherence(spark, d):
-    t = sessions.trajectory(session_turns(spark, d), "conv_id").select("conv_id", "k", F.round(F.col("mood") * 4, 6).alias("mood"), F.round(F.col("intimacy") * 4, 6).alias("intimacy"))
+    t = sessions.trajectory(session_turns(spark, d), "conv_id").select("conv_id", "k", F.round(F.col("mood") * 8, 6).alias("mood"), F.round(F.col("intimacy") * 8, 6).alias("intimacy"))
     return evaluate.coherence(t, "conv_id", "k")
 
 
@@ -223,49 +217,53 @@ def style_stats(spark, d):
 
 
 @query(
-    f"""WITH {C_SQL}, cut AS (SELECT msg_id * 100 + n AS msg_id, substr(content, 1, n) || CASE WHEN msg_id % 4 = 0 THEN '[x]' WHEN msg_id % 4 = 1 THEN '[bad]' ELSE '' END AS t FROM c, (VALUES (0), (4), (9), (20), (60)) AS k(n)),
+    f"""WITH {C_SQL}, cut AS (SELECT msg_id, content || CASE WHEN turn % 4 = 0 THEN '[x]' WHEN turn % 4 = 1 THEN '[bad]' ELSE '' END AS t FROM c),
 p AS (SELECT *, CASE WHEN length(t) <= 0 THEN 0 WHEN length(t) <= 8 THEN 90 WHEN length(t) <= 15 THEN 70 WHEN length(t) <= 30 THEN 50 ELSE 20 END AS len_s,
   contains(t, '[bad]')::INT + contains(t, 'the')::INT + contains(t, 'tion')::INT + (contains(t, 'e') AND length(t) > 20)::INT AS bad,
   CASE WHEN contains(t, '[bad]') THEN 0 WHEN contains(t, '[') AND contains(t, ']') AND length(t) <= 8 THEN 65 WHEN NOT (contains(t, '[') AND contains(t, ']')) THEN 95 ELSE 50 END AS emo_s FROM cut)
 SELECT msg_id, len_s::BIGINT AS length_score, (CASE WHEN bad = 0 THEN 100 ELSE 20 * greatest(1, 5 - 2 * bad) END)::BIGINT AS style_score, emo_s::BIGINT AS emoji_score, round(0.4 * len_s + 0.4 * (CASE WHEN bad = 0 THEN 100 ELSE 20 * greatest(1, 5 - 2 * bad) END) + 0.2 * emo_s, 6) AS composite FROM p"""
 )
 def reply_score(spark, d):
-    c = conversation_messages(spark, d).withColumn("n", F.explode(F.array(*map(F.lit, (0, 4, 9, 20, 60)))))
-    mark = F.when(F.col("msg_id") % 4 == 0, "[x]").when(F.col("msg_id") % 4 == 1, "[bad]").otherwise("")
-    t = c.select((F.col("msg_id") * 100 + F.col("n")).alias("msg_id"), F.concat(F.expr("substr(content, 1, n)"), mark).alias("t"))
+    mark = F.when(F.col("turn") % 4 == 0, "[x]").when(F.col("turn") % 4 == 1, "[bad]").otherwise("")
+    t = conversation_messages(spark, d).select("msg_id", F.concat("content", mark).alias("t"))
     style = rules.Style("[bad]", ("the",), ("tion",), "e")
     s = t.withColumn("s", rules.reply_score(F.col("t"), style))
     return s.select("msg_id", F.col("s.length").alias("length_score"), F.col("s.style").alias("style_score"), F.col("s.emoji").alias("emoji_score"), F.round("s.composite", 6).alias("composite"))
 
 
 NAT_SQL = """g AS (SELECT sender, avg(length(content)) AS m, CASE WHEN stddev_pop(length(content)) = 0 THEN 0.5 ELSE stddev_pop(length(content)) END AS s, avg((contains(content, '[') AND contains(content, ']'))::INT) AS er FROM c GROUP BY sender),
-kl AS (SELECT *, ln(31.2 / s) + (s * s + (m - 6.5) * (m - 6.5)) / (2 * 31.2 * 31.2) - 0.5 AS kl FROM g)
+kl AS (SELECT *, ln(500.0::DOUBLE / s) + (s * s + (m - 400.0::DOUBLE) * (m - 400.0::DOUBLE)) / (2 * 500.0::DOUBLE * 500.0::DOUBLE) - 0.5 AS kl FROM g)
 SELECT sender, round(greatest(0, 100 * exp(-kl)), 1) AS score, round(kl, 4) AS kl_divergence, round(m, 1) AS sample_mean, round(s, 1) AS sample_std, round(er, 3) AS emoji_rate, round(abs(er - 0.056) * 100, 1) AS emoji_penalty FROM kl"""
 
 
-@query(f"WITH {C_SQL.replace('text AS content', 'substr(text, 1, 5 + CAST((conv_id * 7 + turn * 13) % 40 AS INTEGER)) AS content')}, {NAT_SQL}")
+@query(f"WITH {C_SQL}, {NAT_SQL}")
 def length_naturalness(spark, d):
-    c = conversation_messages(spark, d).withColumn("content", F.expr("substr(content, 1, 5 + cast((conv_id * 7 + turn * 13) % 40 as int))"))
-    return evaluate.length_naturalness(c, "sender")
+    return evaluate.length_naturalness(conversation_messages(spark, d), "sender", mean=400.0, std=500.0)
+
+
+OTHER_NEUTRAL, OTHER_WARM = ("and", "est"), ("of", "que")
+
+
+def other_sql(t: str) -> str:
+    return f"CASE WHEN {like_any(t, OTHER_NEUTRAL)} AND NOT {like_any(t, OTHER_WARM)} THEN 'neutral_ack' WHEN {like_any(t, OTHER_WARM)} THEN 'warm_reply' ELSE 'neutral' END"
 
 
 @query(
-    f"""WITH {EMO_SQL}, w AS (SELECT msg_id // 100 AS id, any_value(cold_signal) FILTER (n = 4) AS a, any_value(cold_signal) FILTER (n = 7) AS b, any_value(emotion) FILTER (n = 7) AS r1, any_value(emotion) FILTER (n = 14) AS r2 FROM emo2 GROUP BY id)
+    f"""WITH {EMO_SQL}, w AS (SELECT emotion = 'warm_reply' AS a, {other_sql('t')} = 'warm_reply' AS b, emotion AS r1, {other_sql('t')} AS r2 FROM emo2)
 SELECT round(avg((a = b)::INT), 6) AS cold_accuracy, round(avg((r1 = r2)::INT), 6) AS exact_agreement, round(avg(((r1 IN ('warm_reply', 'cold_response')) = (r2 IN ('warm_reply', 'cold_response')))::INT), 6) AS substantive_agreement,
   round(100 * (0.6 * avg((r1 = r2)::INT) + 0.4 * avg(((r1 IN ('warm_reply', 'cold_response')) = (r2 IN ('warm_reply', 'cold_response')))::INT)), 6) AS relevance_score FROM w"""
 )
 def agreement_accuracy(spark, d):
-    x = classified(spark, d).groupBy(F.expr("msg_id div 100").alias("id")).agg(
-        F.max(F.when(F.col("n") == 4, F.col("cold_signal"))).alias("a"), F.max(F.when(F.col("n") == 7, F.col("cold_signal"))).alias("b"), F.max(F.when(F.col("n") == 7, F.col("emotion"))).alias("r1"), F.max(F.when(F.col("n") == 14, F.col("emotion"))).alias("r2")
-    )
+    other = rules.classify(F.col("t"), OTHER_NEUTRAL, OTHER_WARM, ())
+    x = classified(spark, d).withColumn("o", other).select((F.col("emotion") == "warm_reply").alias("a"), (F.col("o.emotion") == "warm_reply").alias("b"), F.col("emotion").alias("r1"), F.col("o.emotion").alias("r2"))
     return evaluate.agreement(x, "a", "b", "r1", "r2", ("warm_reply", "cold_response"))
 
 
-@query(f"WITH {EMO_SQL} SELECT msg_id, CASE WHEN length(t) <= 8 THEN emotion ELSE 'model:' || emotion END AS emotion, CASE WHEN length(t) <= 8 THEN 'rules' ELSE 'annotator' END AS annotator FROM emo2")
+@query(f"WITH {EMO_SQL} SELECT msg_id, CASE WHEN length(t) <= 200 THEN emotion ELSE 'model:' || emotion END AS emotion, CASE WHEN length(t) <= 200 THEN 'rules' ELSE 'annotator' END AS annotator FROM emo2")
 def hybrid_annotate(spark, d):
-    t = cut_texts(spark, d).select("msg_id", F.col("t").alias("content"))
+    t = conversation_messages(spark, d).select("msg_id", F.trim("content").alias("content"))
     quick = annotate.RuleAnnotator(NEUTRAL, WARM, COLD)
-    return annotate.hybrid(t, quick, annotate.RuleAnnotator(NEUTRAL, WARM, COLD, prefix="model:")).select("msg_id", "emotion", "annotator")
+    return annotate.hybrid(t, quick, annotate.RuleAnnotator(NEUTRAL, WARM, COLD, prefix="model:"), short=200).select("msg_id", "emotion", "annotator")
 
 
 # ---- facts
@@ -368,7 +366,7 @@ def about(spark, d):
 
 
 @query(
-    f"""WITH {C_SQL}, {EXP_SQL}, {ABO_SQL}, {MEN_SQL}, few AS (SELECT * FROM c WHERE msg_id % 4 = 0),
+    f"""WITH {C_SQL}, {EXP_SQL}, {ABO_SQL}, {MEN_SQL}, few AS (SELECT * FROM c),
 l1 AS (SELECT DISTINCT msg_id, 1 AS layer FROM few JOIN kw ON kw.layer = 1 AND contains(content, word)),
 l2 AS (SELECT DISTINCT msg_id, 2 AS layer FROM few JOIN kw ON kw.layer = 2 AND contains(content, word) WHERE (SELECT count(*) FROM l1) < 5),
 l3 AS (SELECT DISTINCT f.msg_id, 3 AS layer FROM few f JOIN abo ON abo.msg_id = f.msg_id AND topic IN (SELECT topic FROM hit)),
@@ -377,7 +375,7 @@ u AS (SELECT msg_id, min(layer) AS layer FROM (SELECT * FROM l1 UNION ALL SELECT
 SELECT msg_id, layer FROM u ORDER BY msg_id DESC LIMIT 15"""
 )
 def semantic_search(spark, d):
-    c = conversation_messages(spark, d).where("msg_id % 4 = 0")
+    c = conversation_messages(spark, d)
     words = topic_table(spark)
     return search.layered(c, words, ASK, edges.about(c, words.select("topic", F.col("word").alias("keyword"))), edges.mentions(c, entity_table(spark)), limit=15).select("msg_id", "layer")
 
@@ -418,10 +416,9 @@ def title_entities(spark, d):
     return entities.titled(conversation_messages(spark, d), ("tion",), 3).select("name", "frequency")
 
 
-@query(f"WITH {C_SQL}, {MEN_SQL}, x AS (SELECT m.* FROM men m WHERE m.msg_id IN (SELECT msg_id FROM c ORDER BY msg_id LIMIT 500)) SELECT a.msg_id AS source_msg_id, a.entity AS from_, b.entity AS to_ FROM x a JOIN x b ON a.msg_id = b.msg_id AND a.entity < b.entity")
+@query(f"WITH {C_SQL}, {MEN_SQL} SELECT a.msg_id AS source_msg_id, a.entity AS from_, b.entity AS to_ FROM men a JOIN men b ON a.msg_id = b.msg_id AND a.entity < b.entity")
 def co_occurs(spark, d):
-    c = conversation_messages(spark, d)
-    return entities.cooccurring_in_message(c, entity_table(spark), first=500)
+    return entities.cooccurring_in_message(conversation_messages(spark, d), entity_table(spark))
 
 
 @query(f"WITH {C_SQL}, {P_SQL} SELECT sender AS name, count(DISTINCT sender_role) AS roles, string_agg(DISTINCT sender_role, ',' ORDER BY sender_role) AS conflicting_roles FROM p GROUP BY sender HAVING count(DISTINCT sender_role) > 1")
@@ -434,7 +431,6 @@ def name_candidates(spark, d):
     return entities.name_candidates(conversation_messages(spark, d), stop=("the", "of"), forbidden=("q",), letters=r"\p{L}\p{N}_", top=50, least=3)
 
 
-@query(f"WITH {C_SQL} SELECT sender, (k - 1) // 20 AS chunk, string_agg(substr(content, 1, 20), chr(10) ORDER BY msg_id) AS text FROM (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY msg_id) AS k FROM c) WHERE k <= 500 GROUP BY ALL")
+@query(f"WITH {C_SQL} SELECT sender, (k - 1) // 20 AS chunk, string_agg(content, chr(10) ORDER BY msg_id) AS text FROM (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY msg_id) AS k FROM c) WHERE k <= 500 GROUP BY ALL")
 def sample_text(spark, d):
-    c = conversation_messages(spark, d).withColumn("content", F.substring("content", 1, 20))
-    return samples.sample_text(c, "sender", 20, 25)
+    return samples.sample_text(conversation_messages(spark, d), "sender", 20, 25)

@@ -65,9 +65,8 @@ def found(spark):
 
 @query(f"WITH {MATCH_SQL} SELECT * FROM found")
 def rule_match(spark, d):
-    n = names(spark).select("name")
-    pairs = n.withColumnRenamed("name", "e1").join(n.withColumnRenamed("name", "e2"), F.col("e1") < F.col("e2"))
-    return pairs.withColumn("m", resolve.rule_match(F.col("e1"), F.col("e2"), table=LETTERS)).where("m is not null").select("e1", "e2", "m.confidence", "m.reason")
+    pairs = spark.createDataFrame([(a, b) for a, _ in NAMES for b, _ in NAMES if a < b], "e1 string, e2 string")
+    return resolve.rule_match(pairs, table=LETTERS)
 
 
 @query(f"WITH {MATCH_SQL} SELECT * FROM found")

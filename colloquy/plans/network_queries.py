@@ -29,7 +29,7 @@ DIRECT = """dr AS (SELECT least(a.sender, b.sender) AS p1, greatest(a.sender, b.
 PRESENT = "pr AS (SELECT source_file, sender, count(*) AS n FROM e GROUP BY 1, 2)"
 COP = """cp AS (SELECT a.sender AS p1, b.sender AS p2, count(*) FILTER (starts_with(a.source_file, 'group_')) AS shared_groups,
     coalesce(sum(a.n + b.n) FILTER (starts_with(a.source_file, 'group_')), 0)::BIGINT AS group_messages, coalesce(sum(a.n + b.n) FILTER (starts_with(a.source_file, 'private_')), 0)::BIGINT AS private_messages
-    FROM pr a JOIN pr b ON a.source_file = b.source_file AND a.sender < b.sender GROUP BY 1, 2)"""
+    FROM dr JOIN pr a ON a.sender = dr.p1 JOIN pr b ON a.source_file = b.source_file AND b.sender = dr.p2 GROUP BY 1, 2)"""
 REL = """rel AS (SELECT p1, p2, direct_replies, coalesce(shared_groups, 0) AS shared_groups, coalesce(group_messages, 0) AS group_messages, coalesce(private_messages, 0) AS private_messages,
     round(15 * ln(1 + direct_replies) + 5 * ln(1 + coalesce(group_messages, 0)), 1) AS interaction_strength,
     CASE WHEN direct_replies >= 50 THEN 'close_private' WHEN coalesce(shared_groups, 0) >= 3 THEN 'group_regular' WHEN coalesce(shared_groups, 0) >= 1 THEN 'group_acquaintance' WHEN coalesce(private_messages, 0) > 0 THEN 'light_private' ELSE 'none' END AS relationship_type
@@ -42,14 +42,19 @@ def direct_replies(spark, d):
     return relations.direct_replies(threaded(spark, d))
 
 
-@query(f"WITH {E_SQL}, {PRESENT}, {COP} SELECT * FROM cp")
+@query(f"WITH {E_REPLY_SQL}, {DIRECT}, {PRESENT}, {COP} SELECT * FROM cp")
 def copresence(spark, d):
-    return relations.copresence(event_messages(spark, d))
+    m = threaded(spark, d)
+    return relations.copresence(m, relations.interaction_pairs(m))
+
+
+SHARED = "SELECT dr.p1, dr.p2, a.source_file, a.n AS n1, b.n AS n2 FROM dr JOIN pr a ON a.sender = dr.p1 JOIN pr b ON a.source_file = b.source_file AND b.sender = dr.p2 WHERE starts_with(a.source_file, 'group_')"
 
 
-@query(f"WITH {E_SQL}, {PRESENT} SELECT a.sender AS p1, b.sender AS p2, a.source_file, a.n AS n1, b.n AS n2 FROM pr a JOIN pr b ON a.source_file = b.source_file AND a.sender < b.sender WHERE starts_with(a.source_file, 'group_')")
+@query(f"WITH {E_REPLY_SQL}, {DIRECT}, {PRESENT} {SHARED}")
 def shared_groups(spark, d):
-    return relations.shared_groups(event_messages(spark, d))
+    m = threaded(spark, d)
+    return relations.shared_groups(m, relations.interaction_pairs(m))
 
 
 @query(f"WITH {E_REPLY_SQL}, {DIRECT} SELECT p1, p2 FROM dr")
@@ -73,9 +78,10 @@ def contact_extras(spark, d):
     return relations.contact_extras(threaded(spark, d))
 
 
-@query(f"WITH {E_SQL} SELECT a.msg_id AS from_id, b.msg_id AS to_id FROM e a JOIN e b ON abs(a.msg_id - b.msg_id) < 5 AND a.msg_id <> b.msg_id WHERE a.user_id % 10 = 3 AND b.user_id % 10 = 7")
+@query(f"WITH {E_SQL} SELECT a.msg_id AS from_id, b.msg_id AS to_id FROM e a JOIN e b ON abs(a.msg_id - b.msg_id) < 5 AND a.msg_id <> b.msg_id WHERE starts_with(a.source_file, 'group_click') AND starts_with(b.source_file, 'group_view')")
 def path_pairs(spark, d):
-    return search.path_pairs(event_messages(spark, d), F.col("user_id") % 10 == 3, F.col("user_id") % 10 == 7, 5, limit=None)
+    chat = F.col("source_file")
+    return search.path_pairs(event_messages(spark, d), chat.startswith("group_click"), chat.startswith("group_view"), 5, limit=None)
 
 
 @query(f"WITH {E_SQL}, n AS (SELECT sender, count(*) AS msg_count FROM e GROUP BY 1), t AS (SELECT * FROM n ORDER BY msg_count DESC, sender LIMIT 20) SELECT sender, msg_count, round(msg_count / (SELECT sum(msg_count) FROM t), 6) AS share, round(msg_count / (SELECT sum(msg_count) FROM n), 6) AS true_share FROM t")
@@ -83,10 +89,10 @@ def degree_centrality(spark, d):
     return graph.degree_share(event_messages(spark, d))
 
 
-@query(f"WITH {E_SQL}, p AS (SELECT DISTINCT sender AS name FROM e) SELECT name, count(e.msg_id) FILTER (day < '2024-01-03') AS msg_count FROM p LEFT JOIN e ON name = sender GROUP BY name")
+@query(f"WITH {E_SQL}, p AS (SELECT DISTINCT sender AS name FROM e) SELECT name, count(e.msg_id) AS msg_count FROM p LEFT JOIN e ON name = sender GROUP BY name")
 def person_msg_counts(spark, d):
     m = event_messages(spark, d)
-    return graph.message_counts(edges.persons(m).select("name"), m.where("day < '2024-01-03'"))
+    return graph.message_counts(edges.persons(m).select("name"), m)
 
 
 @query(f"WITH {E_REPLY_SQL}, {DIRECT} SELECT 'person' AS name, count(DISTINCT sender) AS n FROM er UNION ALL SELECT 'message', count(*) FROM er UNION ALL SELECT 'said', count(*) FROM er UNION ALL SELECT 'reply_to', count(reply_to) FROM er UNION ALL SELECT 'interacts_with', count(*) FROM dr UNION ALL SELECT 'role:' || sender_role, count(*) FROM er GROUP BY sender_role")
@@ -114,7 +120,7 @@ def louvain(spark, d):
     return graph.communities(graph.louvain(r))
 
 
-@query(f"WITH {E_SQL}, g AS (SELECT source_file, day, count(*) AS cnt FROM e WHERE starts_with(source_file, 'group_') GROUP BY 1, 2 HAVING count(*) >= 5) SELECT *, sum(cnt) OVER (PARTITION BY source_file)::BIGINT AS group_total FROM g")
+@query(f"WITH {E_SQL}, g AS (SELECT source_file, day, count(*) AS cnt FROM e WHERE starts_with(source_file, 'group_') GROUP BY 1, 2 HAVING count(*) >= 5) SELECT *, substr(replace(source_file, 'group_', ''), 1, 25) AS display, sum(cnt) OVER (PARTITION BY source_file)::BIGINT AS group_total FROM g")
 def group_trend(spark, d):
     return temporal.group_trend(event_messages(spark, d))
 
@@ -144,11 +150,11 @@ def social_context_relationships(spark, d):
     return search.social_context(m, relations.relationships(m), shared, same, "u7")["relationships"].select("p1", "p2", "interaction_strength", "relationship_type")
 
 
-@query(f"WITH {E_SQL}, {PRESENT} SELECT a.sender AS p1, b.sender AS p2, a.source_file, a.n AS n1, b.n AS n2 FROM pr a JOIN pr b ON a.source_file = b.source_file AND a.sender < b.sender WHERE starts_with(a.source_file, 'group_') AND (a.sender = 'u7' OR b.sender = 'u7')")
+@query(f"WITH {E_REPLY_SQL}, {DIRECT}, {PRESENT} {SHARED} AND (dr.p1 = 'u7' OR dr.p2 = 'u7')")
 def social_context_groups(spark, d):
-    m = event_messages(spark, d)
+    m = threaded(spark, d)
     rel, _, same = _no_relations(spark)
-    return search.social_context(m, rel, relations.shared_groups(m), same, "u7")["shared_groups"]
+    return search.social_context(m, rel, relations.shared_groups(m, relations.interaction_pairs(m)), same, "u7")["shared_groups"]
 
 
 @query(REL_SQL + """ SELECT '<edge id="' || p1 || '|' || p2 || '" source="' || p1 || '" target="' || p2 || '"' AS line FROM rel UNION ALL SELECT '<node id="' || sender || '" label="' || sender || '"' FROM (SELECT DISTINCT sender FROM e)""")
@@ -236,10 +242,10 @@ def related(spark, d):
     return search.related(lm.select("msg_id", "entity"), lm.select("msg_id", "topic"), 7)
 
 
-@query(f"WITH {L_SQL}, n AS (SELECT m.entity, t.topic, count(DISTINCT m.msg_id) AS messages FROM l m JOIN l t ON m.msg_id = t.msg_id WHERE m.entity % 20 = 0 GROUP BY 1, 2) SELECT entity, topic, messages, row_number() OVER (PARTITION BY entity ORDER BY messages DESC, topic) AS rank FROM n QUALIFY rank <= 5")
+@query(f"WITH {L_SQL}, n AS (SELECT m.entity, t.topic, count(DISTINCT m.msg_id) AS messages FROM l m JOIN l t ON m.msg_id = t.msg_id GROUP BY 1, 2) SELECT entity, topic, messages, row_number() OVER (PARTITION BY entity ORDER BY messages DESC, topic) AS rank FROM n QUALIFY rank <= 5")
 def related_topics(spark, d):
     lm = order_mentions(spark, d)
-    return search.related_topics(lm.where("entity % 20 = 0").select("msg_id", "entity"), lm.select("msg_id", "topic"))
+    return search.related_topics(lm.select("msg_id", "entity"), lm.select("msg_id", "topic"))
 
 
 @query(f"WITH {L_SQL} SELECT entity, count(DISTINCT msg_id) AS mention_count FROM l GROUP BY 1 HAVING count(DISTINCT msg_id) >= 35 ORDER BY mention_count DESC, entity")

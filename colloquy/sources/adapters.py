@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.operators.threads import typed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -13,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of private chats: msg_id, conv_id, turn, sender, sender_role, content, source_file."""
     role = F.when(F.col("role") == "user", "self").when(F.col("role") == "assistant", "target").otherwise("system")
-    return table(spark, sf_dir, "conversations").select(
+    rows = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"),
         "conv_id",
         "turn",
@@ -22,6 +24,7 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"),
         F.concat(F.lit("private_"), F.col("conv_id").cast("string")).alias("source_file"),
     )
+    return typed(rows)
 
 
 C_SQL = """c AS (SELECT conv_id * 1000 + turn AS msg_id, conv_id, turn, role || '_' || (conv_id % 10) AS sender,
@@ -37,9 +40,10 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of many people in groups and private chats: msg_id, sender, sender_role, source_file, ts, day."""
     e = table(spark, sf_dir, "events")
     chat = F.expr(CHAT.format(div="div"))
-    private = F.col("source_file").startswith("private_")
+    private = F.col("chat_type") == "private"
     role = F.when(private & (F.col("user_id") % 2 == 0), "self").when(private, "target").otherwise("group_member")
-    return e.select(F.col("event_id").alias("msg_id"), "user_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("sender"), chat.alias("source_file"), "ts", F.date_format("ts", "yyyy-MM-dd").alias("day")).withColumn("sender_role", role)
+    rows = e.select(F.col("event_id").alias("msg_id"), "user_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("sender"), chat.alias("source_file"), "ts", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return typed(rows).withColumn("sender_role", role)
 
 
 E_SQL = f"""e AS (SELECT *, CASE WHEN starts_with(source_file, 'private_') THEN CASE WHEN user_id % 2 = 0 THEN 'self' ELSE 'target' END ELSE 'group_member' END AS sender_role

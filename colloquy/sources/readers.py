@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators.threads import chat_type, normalize_roles, reply_chain, text_only
+from colloquy.operators.threads import chat_type, normalize_roles, reply_chain, text_only, typed
 
 SESSION = """session STRUCT<wxid STRING, nickname STRING, displayName STRING, memberCount INT, participants ARRAY<STRING>>,
 messages ARRAY<STRUCT<localId BIGINT, type STRING, content STRING, isSend INT, senderDisplayName STRING, createTime BIGINT, formattedTime STRING>>"""
@@ -51,9 +51,9 @@ def session_messages(spark: SparkSession, path: str, target: str | None = None,
     return text_only(chained) if only_text else chained
 
 
-def message_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of JSON lines; blank lines are skipped."""
-    return spark.read.schema(MESSAGE).json(path)
+def message_lines(spark: SparkSession, path: str, group: str = "group_", private: str = "private_") -> DataFrame:
+    """Messages of JSON lines; blank lines are skipped. Lines don't say their chat's type, its name's prefix does."""
+    return typed(spark.read.schema(MESSAGE).json(path), group, private)
 
 
 def fact_file(spark: SparkSession, path: str) -> DataFrame:

@@ -23,6 +23,7 @@ def gexf(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, key, line): a graph file's lines, to be written in order of part and key. nodes (name, role, msg_count),
     edges (p1, p2, interaction_strength, warmth)."""
     spark = nodes.sparkSession
+    # The graph format's frame and attribute names.
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.3" version="1.3">\n<graph mode="static" defaultedgetype="undirected">\n<attributes class="node"><attribute id="role" title="Role" type="string"/><attribute id="size" title="Messages" type="integer"/></attributes>\n<attributes class="edge"><attribute id="strength" title="Strength" type="float"/><attribute id="warmth" title="Warmth" type="float"/></attributes>\n<nodes>'
     fixed = spark.createDataFrame([(0, "", head), (2, "", "</nodes><edges>"), (4, "", "</edges></graph></gexf>")], "part int, key string, line string")
     value = lambda name, c: F.concat(F.lit(f'<attvalue for="{name}" value="'), escaped(F.col(c)), F.lit('"/>'))
@@ -37,10 +38,18 @@ def gexf(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def network_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(json): one object of nodes and edges, for graphs that are to be drawn."""
-    n = nodes.agg(F.sort_array(F.collect_list(F.struct(F.col("name").alias("id"), "role"))).alias("nodes"))
-    e = edges.agg(F.sort_array(F.collect_list(F.struct(F.col("p1").alias("source"), F.col("p2").alias("target"), F.col("interaction_strength").alias("weight"), F.col("relationship_type").alias("type")))).alias("edges"))
-    return n.crossJoin(e).select(F.to_json(F.struct("nodes", "edges")).alias("json"))
+    """(part, key, line): the lines of one JSON object of nodes and edges, to be written in order of part and key; a
+    line for each node and edge, so nothing is collected into one row."""
+    fixed = nodes.sparkSession.createDataFrame([(0, "", '{"nodes":['), (2, "", '],"edges":['), (4, "", "]}")], "part int, key string, line string")
+
+    def lines(part: int, rows: DataFrame, key: Column, *fields: Column) -> DataFrame:
+        each = rows.select(F.lit(part).alias("part"), key.alias("key"), F.to_json(F.struct(*fields)).alias("line"))
+        first = each.agg(F.min("key")).scalar()
+        return each.withColumn("line", F.concat(F.when(F.col("key") == first, "").otherwise(","), "line"))
+
+    n = lines(1, nodes, F.col("name"), F.col("name").alias("id"), F.col("role"))
+    e = lines(3, edges, F.concat_ws("|", "p1", "p2"), F.col("p1").alias("source"), F.col("p2").alias("target"), F.col("interaction_strength").alias("weight"), F.col("relationship_type").alias("type"))
+    return fixed.unionByName(n).unionByName(e)
 
 
 def quoted(text: Column) -> Column:

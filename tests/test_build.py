@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 import os
 
-from colloquy.operators import samples
+from colloquy import __main__ as command
+from colloquy.operators import relations, samples, temporal
 from colloquy.plans import build
 from colloquy.streaming import session_stream
 
@@ -27,6 +29,49 @@ def test_build_from_exports(spark, tmp_path):
     assert read("annotations").where("emotion = 'warm_reply'").count() == 2
 
 
+def test_groups_are_known_by_their_type_not_their_name(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def write(name, session, said):
+        messages = [{"localId": i + 1, "type": "text", "content": f"text {i}", "isSend": 0, "senderDisplayName": who, "createTime": 1_700_000_000 + i, "formattedTime": "2024-01-01"} for i, who in enumerate(said)]
+        (folder / name).write_text(json.dumps({"session": session, "messages": messages}), encoding="utf-8")
+
+    for g in range(3):
+        write(f"群聊_g{g}.json", {"wxid": "room", "displayName": f"g{g}", "memberCount": 2}, ["Ann", "Bob"] * 3)
+    write("私聊_x.json", {"wxid": "wxid_7", "displayName": "Ann"}, ["Ann", "Ann"])
+    tables = build.build(spark, str(folder))
+    got = tables["relationships"].collect()
+    assert [(r.p1, r.p2, r.direct_replies, r.shared_groups, r.group_messages, r.private_messages) for r in got] == [("Ann", "Bob", 15, 3, 18, 0)]
+    assert got[0].relationship_type == "group_regular" and got[0].interaction_strength == round(15 * math.log(16) + 5 * math.log(19), 1)
+    m = tables["messages"]
+    shared = relations.shared_groups(m, relations.interaction_pairs(m)).collect()
+    assert sorted((r.source_file, r.n1, r.n2) for r in shared) == [(f"群聊_g{g}.json", 3, 3) for g in range(3)]
+    trend = temporal.group_trend(m.selectExpr("*", "substring(formatted_time, 1, 7) as month"), "month", prefixes=("群聊_",))
+    assert sorted((r.display, r.cnt) for r in trend.collect()) == [(f"g{g}", 6) for g in range(3)]
+
+
+def test_commands(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    said = [("我爱吃面", 0), ("哈哈", 1), ("我很喜欢这张", 0)]
+    messages = [{"localId": i + 1, "type": "text", "content": t, "isSend": s, "senderDisplayName": None, "createTime": 1_700_000_000 + i, "formattedTime": "2024-01-01"} for i, (t, s) in enumerate(said)]
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"session": {"wxid": "wxid_1", "displayName": "Peer"}, "messages": messages}), encoding="utf-8")
+    out = lambda name: str(tmp_path / name)
+    assert command.main(["nothing"]) == 2 and command.main(["build", "x"]) == 2
+    assert command.run("extract", [out("in"), out("facts")], spark) is None
+    assert spark.read.json(out("facts")).where("predicate = '喜欢吃'").first().subject == "Peer"
+    assert [r.content for r in command.run("search", [out("in"), "吃面,哈哈"], spark).collect()] == ["哈哈", "我爱吃面"]
+    command.run("documents", [out("in"), out("docs"), "Peer"], spark)
+    assert "我爱吃面" in "\n".join(r.value for r in spark.read.text(out("docs/memories")).collect())
+    (tmp_path / "r.jsonl").write_text('{"id": 1, "context": "a", "reply": "b", "real": "c"}\n')
+    command.run("evaluate", [out("r.jsonl"), out("report")], spark)
+    assert spark.read.json(out("report")).first().n == 1
+    (tmp_path / "d.md").write_text('"今天论文答辩顺利结束了"\n', encoding="utf-8")
+    (tmp_path / "f.json").write_text(json.dumps({"target": "t", "facts": [{"fact_id": "F_1", "subject": "t", "object": "论文答辩", "source_content": "论文答辩"}]}), encoding="utf-8")
+    command.run("verify", [out("d.md"), out("f.json"), out("v")], spark)
+    assert {r.status for r in spark.read.json(out("v")).collect()} <= {"PARTIAL", "UNVERIFIED"}
+
+
 def test_samples_repeat(spark):
     rows = spark.range(100).selectExpr("id as msg_id", "repeat('x', cast(id % 30 as int)) as content")
     a, b = ([r.msg_id for r in samples.sampled(rows, 10, seed).collect()] for seed in (1, 1))

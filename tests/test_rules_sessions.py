@@ -79,6 +79,56 @@ def test_context_scopes(spark):
     assert {r.msg_id: r.context for r in annotate.with_context(m, "global").collect()}[2] == "A"
 
 
+def test_global_context_over_bands(spark):
+    rows = [(i, f"c{i % 3}", "self" if i % 7 == 2 else "target", f"t{i}", None) for i in range(1, 60)]
+    m = spark.createDataFrame(rows, "msg_id bigint, source_file string, sender_role string, content string, reply_to bigint")
+    got = {r.msg_id: r.context for r in annotate.with_context(m, "global", width=5).collect()}
+    want, last = {}, None
+    for i, _, role, text, _ in rows:
+        if role == "target":
+            want[i] = last
+        else:
+            last = text
+    assert got == want
+
+
+def test_annotations_with_context(spark):
+    m = spark.createDataFrame([(1, "晚上吃面吗", None), (2, "哦", "晚上吃面吗"), (3, "吃面", "晚上吃面吗"), (4, "收到", "开会"), (5, "哈哈 Ann", "x"), (6, "明天下雨了吧大概是的", "x")], "msg_id bigint, content string, context string")
+    got = {r.msg_id: r for r in annotate.ContextRules(("Ann", "B")).annotate(m).collect()}
+    assert {k: r.context_relevance for k, r in got.items()} == {1: "topic_shift", 2: "deflecting", 3: "direct_answer", 4: "acknowledgment", 5: "emotional_response", 6: "topic_shift"}
+    assert {k: r.conversation_role for k, r in got.items()} == {1: "topic_opener", 2: "deflecting", 3: "response", 4: "ending", 5: "response", 6: "standalone"}
+    assert [(r.msg_id, r.entity) for r in annotate.mentioned(annotate.ContextRules(("Ann", "B")).annotate(m)).collect()] == [(5, "Ann")]
+
+    def client(pairs):
+        return [{"emotion": "cold_response", "intensity": "much", "persons": ["Ann", "x", 3], "context_relevance": c and "direct_answer"} for c, _ in pairs]
+
+    said = {r.msg_id: r for r in annotate.RemoteAnnotator(client, contextual=True).annotate(m).collect()}
+    assert said[1].context_relevance == "unknown" and said[2].context_relevance == "direct_answer" and said[2].cold_signal and said[2].intensity == 0.0 and said[2].persons == ["Ann"]
+
+    def broken(texts):
+        raise OSError("away")
+
+    assert {r.emotion for r in annotate.RemoteAnnotator(broken, tries=2, pause=0.01).annotate(m).collect()} == {"neutral"}
+
+
+def test_default_rules_are_whole(spark):
+    texts = [(i, "a", "self", p.removeprefix("re:").replace(".*", "x")) for i, p in enumerate(p for r in facts.lex.FACT_RULES for p in r[2])]
+    owners = [(r[0], r[1]) for r in facts.lex.FACT_RULES for _ in r[2]]
+    forbidden = [any(n in t[3] for n in r[3]) for t, r in zip(texts, (r for r in facts.lex.FACT_RULES for _ in r[2]), strict=True)]
+    found = {(r.source_msg_id, r.category, r.predicate) for r in facts.extract(spark.createDataFrame(texts, "msg_id bigint, sender string, sender_role string, content string")).collect()}
+    assert len(texts) == 116
+    for (i, *_), owner, no in zip(texts, owners, forbidden, strict=True):
+        assert ((i, *owner) in found) != no
+    ids = sorted(r.fact_id for r in facts.numbered(facts.extract(spark.createDataFrame(texts, "msg_id bigint, sender string, sender_role string, content string")), width=10).collect())
+    assert ids[0] == "F_00001" and ids == [f"F_{i:05d}" for i in range(1, len(ids) + 1)]
+
+
+def test_short_replies(spark):
+    rows = spark.createDataFrame([("",), ("ok",), ("a bit longer",), ("this one is somewhat longer",), ("x" * 40,), ("[x] hi",), ("[旺柴]",)], "t string")
+    got = [(r.s.length, r.s.style, r.s.emoji) for r in rows.select(rules.reply_score(F.col("t")).alias("s")).collect()]
+    assert got == [(0, 100, 95), (90, 100, 95), (70, 100, 95), (50, 100, 95), (20, 100, 95), (90, 100, 65), (90, 60, 0)]
+
+
 def test_kappa_edges(spark):
     same = spark.createDataFrame([(i, r, 1) for i in range(4) for r in ("a", "b")], "item int, rater string, label int")
     assert evaluate.pairwise_kappa(same).first().kappa == 1.0

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from colloquy.operators import edges, threads
+from colloquy.operators import edges, graph, threads
 from colloquy.sources import readers, sinks
 
 
@@ -52,6 +52,14 @@ def test_upsert_duplicates_and_roles(spark):
     assert sorted((r.name, r.role) for r in edges.persons(m).collect()) == [("p", "target"), ("q", "unknown")]
 
 
+def test_dangling_replies_and_zero_counts(spark):
+    m = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "a", 99)], "msg_id bigint, sender string, reply_to bigint")
+    assert [(r.src, r.dst) for r in edges.reply_edges(m).collect()] == [(2, 1)]
+    people = spark.createDataFrame([("a",), ("c",)], "name string")
+    assert {(r.name, r.msg_count) for r in graph.message_counts(people, m).collect()} == {("a", 2), ("c", 0)}
+    assert [r.display for r in spark.createDataFrame([("群聊_abc.json",)], "c string").select(threads.display_name(F.col("c"), ("群聊_",)).alias("display")).collect()] == ["abc"]
+
+
 def test_graph_file_and_script(spark, tmp_path):
     nodes = spark.createDataFrame([("a&b", "self", 2), ("c", "target", 1)], "name string, role string, msg_count bigint")
     pairs = spark.createDataFrame([("a&b", "c", 3.5, "none", 0.0)], "p1 string, p2 string, interaction_strength double, relationship_type string, warmth double")
@@ -65,7 +73,7 @@ def test_graph_file_and_script(spark, tmp_path):
     m = spark.createDataFrame([(1, 'say "hi"\n', "c", None), (2, "x", "a&b", 1)], "msg_id bigint, content string, sender string, reply_to bigint")
     lines = [r.line for r in sinks.cypher(m, nodes).orderBy("part", "key").collect()]
     assert 'content: "say \\"hi\\"\\n"' in "".join(lines) and sum("REPLY_TO" in x for x in lines) == 1
-    network = json.loads(sinks.network_json(nodes, pairs).first().json)
+    network = json.loads("".join(r.line for r in sinks.network_json(nodes, pairs).orderBy("part", "key").collect()))
     assert len(network["nodes"]) == 2 and network["edges"][0]["weight"] == 3.5
 
 
