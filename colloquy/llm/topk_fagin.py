@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm.common import table
-from colloquy.llm.vectors import best, search, usable
+from colloquy.llm.vectors import Find, best, search, usable
 
 BLOCK = 4_096
 FIRST_STEP = 32
@@ -21,25 +21,43 @@ LONG = 2**63 - 1
 
 
 def quantised(v: np.ndarray, scale: int = 1024) -> np.ndarray:
-    """floor(scale * x); in doubles where all sums of products are exact in them, else in Python's integers."""
-    out = np.floor(scale * v)
-    top = np.abs(out).max(initial=0)
-    if top * top * max(1, v.shape[1]) < 2**53:
-        return out
-    return np.array([[int(x) for x in row] for row in out], object)
-
-
-def threshold_top_k(queries: np.ndarray, q_row: np.ndarray, vectors: np.ndarray, v_row: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the positions and scores of its k best candidates, its own row left out."""
-    both = quantised(np.concatenate([queries, vectors]))
-    q, v = both[: len(queries)], both[len(queries) :]
-    n = len(v)
-    order = np.argsort(v, axis=0, kind="stable")
-    sorted_ = np.take_along_axis(v, order, axis=0)
-    a, b, s = [], [], []
-    for i, weights in enumerate(q):
+    return np.floor(scale * v)
+
+
+def exceeds(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether sums of products may not be exact in doubles."""
+    return np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1]) >= 2**53
+
+
+def whole_numbers(v: np.ndarray) -> np.ndarray:
+    """The same as Python's integers."""
+    return np.array([int(x) for x in v.ravel()], object).reshape(v.shape)
+
+
+class Lists:
+    """A block of candidates with a sorted list for each dimension. ``scored`` counts the rows that queries scored."""
+
+    def __init__(self, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
+        self.v, self.rows, self.ids, self.k = quantised(vectors), rows, ids, k
+        self.order = np.argsort(self.v, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.v, self.order, axis=0)
+        self.scored = 0
+
+    def __call__(self, queries: np.ndarray, q_row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query the positions and scores of its k best candidates, its own row left out."""
+        q, v, sorted_ = quantised(queries), self.v, self.sorted
+        if exceeds(q, v):
+            q, v, sorted_ = (whole_numbers(x) for x in (q, v, sorted_))
+        found = [self.top(weights, row, v, sorted_) for weights, row in zip(q, q_row, strict=True)]
+        scores = np.concatenate([f[1] for f in found])
+        if scores.dtype == object:
+            scores = np.array([max(-LONG - 1, min(LONG, x)) for x in scores], np.int64)
+        return np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), np.concatenate([f[0] for f in found]), scores.astype(np.int64)
+
+    def top(self, weights: np.ndarray, row: int, v: np.ndarray, sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, order = len(v), self.order
         up, down = np.nonzero(weights > 0)[0], np.nonzero(weights < 0)[0]
-        seen = v_row == q_row[i]
+        seen = self.rows == row
         found, score, top = np.zeros(0, np.int64), np.zeros(0, v.dtype), np.zeros(0, np.int64)
         depth, step = 0, FIRST_STEP
         while depth < n:
@@ -52,18 +70,13 @@ def threshold_top_k(queries: np.ndarray, q_row: np.ndarray, vectors: np.ndarray,
                 met[:], depth = True, n
             new = np.nonzero(met & ~seen)[0]
             seen[new] = True
+            self.scored += len(new)
             found, score = np.concatenate([found[top], new]), np.concatenate([score[top], v[new] @ weights])
-            top = best(score, ids[found], k)
+            top = best(score, self.ids[found], self.k)
             bound = weights[up] @ sorted_[n - depth, up] + weights[down] @ sorted_[depth - 1, down]
-            if len(top) >= k and score[top[-1]] > bound:
+            if len(top) >= self.k and score[top[-1]] > bound:
                 break
-        a.append(np.full(len(top), i))
-        b.append(found[top])
-        s.append(score[top])
-    scores = np.concatenate(s)
-    if scores.dtype == object:
-        scores = np.array([max(-LONG - 1, min(LONG, x)) for x in scores], np.int64)
-    return np.concatenate(a), np.concatenate(b), scores.astype(np.int64)
+        return found[top], score[top]
 
 
 def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, block: int = BLOCK) -> DataFrame:
@@ -74,10 +87,10 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     Ties go to the smaller id. Scores beyond a long are cut to its range. An empty table gives an empty result.
     """
 
-    def run(*block_of_each):
-        return threshold_top_k(*block_of_each, k=k)
+    def index(v: np.ndarray, row: np.ndarray, ids: np.ndarray) -> Find:
+        return Lists(v, row, ids, k)
 
-    return search(usable(vectors, id_col, vector_col), every, k, run, "bigint", block)
+    return search(usable(vectors, id_col, vector_col), every, k, index, "bigint", block)
 
 
 def op3_topk_fagin(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
-"""Searches of all vectors for a stated query set, in pairs of blocks."""
+"""Searches of all vectors for a stated query set, in blocks of candidates."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import kept
 
-#: Search(queries, their rows' numbers, candidates, their rows' numbers, candidates' ids) gives a triple of arrays for the hits: positions of query and candidate, score.
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: Find(queries, their rows' numbers) gives a triple of arrays for the hits: positions of query and candidate, score.
+Find = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: Index(candidates, their rows' numbers, their ids) prepares a block once and gives its Find.
+Index = Callable[[np.ndarray, np.ndarray, np.ndarray], Find]
+#: Tasks for each of the cluster's cores that a search is dealt into at least.
+TASKS = 2
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -28,35 +32,56 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (sizes["d"] if sizes else 0))
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+def matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(rows: DataFrame, every: int, k: int, search_: Search, score_type: str, block: int, query_block: int = 1_024) -> DataFrame:
+def search(rows: DataFrame, every: int, k: int, index: Index, score_type: str, block: int) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, its k best among all
     other rows, ties to the smaller id.
 
-    Rows are dealt evenly into blocks, whatever their ids; each block of queries meets each block of candidates in
-    a task of its own, which returns its k best a query. So memory is bounded by two blocks, and the results
-    that meet for a query are k times the blocks.
+    Rows are dealt evenly into blocks, whatever their ids. A task takes a block's candidates, prepares them once, and
+    then streams the queries past them, returning each one's k best of the block. So a candidate moves once and only
+    queries are copied, once for each block; memory is bounded by a block and an Arrow batch of queries. Only where blocks are fewer than
+    the cluster's cores keep busy, queries are split into groups and a block goes to as many tasks as there are groups.
     """
-    n, n_queries = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
-    blocks, query_blocks = max(1, math.ceil(n / block)), max(1, math.ceil((n_queries or 0) / query_block))
+    spark = rows.sparkSession
+    n = rows.count()
+    blocks = max(1, math.ceil(n / block))
+    groups = max(1, math.ceil(TASKS * spark.sparkContext.defaultParallelism / blocks))
     place = F.xxhash64("row")
-    right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"), F.pmod(place, F.lit(blocks)).cast("int").alias("c"), "row", "id", "v")
-    left = rows.where(F.col("id") % every == 0).select(F.pmod(place, F.lit(query_blocks)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("c"), "row", "id", "v")
-
-    def pair(_: tuple, queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        names = ["query", "query_id", "vec_id", "score"]
-        if not queries.num_rows or not candidates.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.int64() if score_type == "bigint" else pa.float64())], names)
-        q_row, q_id, c_row, c_id = (t.column(c).to_numpy() for t in (queries, candidates) for c in ("row", "id"))
-        a, b, score = search_(matrix(queries.column("v")), q_row, matrix(candidates.column("v")), c_row, c_id)
-        return pa.table([q_row[a], q_id[a], c_id[b], score], names)
-
-    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(pair, f"query bigint, query_id bigint, vec_id bigint, score {score_type}")
+    c, g = F.pmod(place, F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).cast("int")
+    every_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    candidates = rows.select(c.alias("c"), every_of(groups).alias("g"), F.lit(0).alias("asks"), "row", "id", "v")
+    queries = rows.where(F.col("id") % every == 0).select(every_of(blocks).alias("c"), g.alias("g"), F.lit(1).alias("asks"), "row", "id", "v")
+    names = ["query", "query_id", "vec_id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        find, ids, key = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block_of, group, asks, row, id_ = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            vectors = matrix(batch.column(5))
+            change = np.nonzero((np.diff(block_of) != 0) | (np.diff(group) != 0) | (np.diff(asks) != 0))[0] + 1
+            for x, y in zip([0, *change], [*change, len(row)], strict=True):
+                if x == y:
+                    continue
+                if (block_of[x], group[x]) != key:
+                    key, held, find = (block_of[x], group[x]), [], None
+                part = (vectors[x:y], row[x:y], id_[x:y])
+                if not asks[x]:
+                    held.append(part)
+                    continue
+                if find is None:  # the candidates come first, so they are all here; there may be none
+                    whole = [np.concatenate(p) for p in zip(*held, strict=True)] if held else [p[:0] for p in part]
+                    find, ids, held = index(*whole), whole[2], []
+                q, v, score = find(part[0], part[1])
+                yield pa.RecordBatch.from_arrays([pa.array(part[1][q]), pa.array(part[2][q]), pa.array(ids[v]), pa.array(score)], names)
+
+    dealt = candidates.union(queries).repartition(blocks * groups, "c", "g").sortWithinPartitions("c", "g", "asks")
+    found = dealt.mapInArrow(run, f"query bigint, query_id bigint, vec_id bigint, score {score_type}")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -57,11 +57,30 @@ def test_search_of_hard_tables(spark):
 
 def test_quantised_is_exact_for_large_values():
     v = np.array([[1e12, -3e12], [2e12, 5e12]])
-    a, b, s = tk.threshold_top_k(v, np.array([0, 1]), v, np.array([0, 1]), np.array([0, 1]), 1)
+    a, b, s = tk.Lists(v, np.array([0, 1]), np.array([0, 1]), 1)(v, np.array([0, 1]))
     want = int(1024 * 1e12) * int(1024 * 2e12) - int(1024 * 3e12) * int(1024 * 5e12)
     assert s.tolist() == [max(-(2**63), want)] * 2
 
 
+def test_collisions_prune(spark):
+    """Hardly structured vectors: few are verified, and nine in ten of the nearest are found."""
+    r = np.random.default_rng(5)
+    v = r.normal(0, 1, (8000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = np.arange(8000)
+    block = ann.Collisions(v, rows, rows, 20, 1.0)
+    q, at, score = block(v[:60], rows[:60])
+    hits = 0
+    for i in range(60):
+        s = v @ v[i]
+        s[i] = -9
+        hits += len(set(np.argsort(-s)[:20]) & set(at[q == i]))
+    assert block.searched == 60 and hits / 1200 >= 0.9 and block.verified / (60 * 8000) < 0.2
+    assert np.allclose(score, [v[i] @ v[j] for i, j in zip(q, at, strict=True)])
+    empty = ann.Collisions(v[:0], rows[:0], rows[:0], 20, 1.0)(v[:3], rows[:3])
+    assert [len(x) for x in empty] == [0, 0, 0] and len(tk.Lists(v[:0], rows[:0], rows[:0], 3)(v[:3], rows[:3])[0]) == 0
+
+
 @pytest.mark.parametrize("block", [5000, 700])
 def test_ann_recall(spark, block):
     r = np.random.default_rng(2)
