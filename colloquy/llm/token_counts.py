@@ -1,18 +1,16 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-A text of over ``chunk`` characters is encoded in overlapping chunks, each with its parts' offsets. Two
+A text of over ``chunk`` characters is encoded in overlapping chunks by the library, each with its tokens' offsets. Two
 neighbouring encodings are spliced at a stable common boundary inside their overlap; where the overlap has none,
 it is doubled and the right chunk is encoded anew, at worst from the left chunk's start, and then the left chunk
 grows. So an encoding spans little more than a chunk while boundaries can be found, and texts of any length take
-bounded memory beside the text.
+bounded memory beside the text. A text of one chunk has nothing to splice.
 
-A boundary at character p is stable if p follows ASCII white space and precedes something else. The tokenizer
-drops white space before it merges, so no token spans p and no merge can look across it, and normalisation (NFC,
-lower case) works within what stands on either side. It is common if neither encoding has a part across p.
-The parts of the right chunk from p on are then those of the whole text, whatever stood before the chunk.
-
-By the same argument a chunk is encoded as the spans between its stable boundaries. Spans recur, so each worker
-encodes a span once and keeps the number of its tokens.
+A boundary at character p is stable if p follows ASCII white space and precedes something else, for a tokenizer that
+drops white space before it merges: then no token spans p and no merge can look across it, and normalisation (NFC,
+lower case) works within what stands on either side. Whether a tokenizer does so is tried on it when it is loaded; with one
+that doesn't, no boundary is stable and texts are encoded whole. A boundary is common if neither encoding has a
+token across p. The tokens of the right chunk from p on are then those of the whole text, whatever stood before the chunk.
 """
 
 from __future__ import annotations
@@ -31,45 +29,54 @@ from colloquy.llm.common import table, text_batches
 
 #: Characters of a chunk, and of the overlap that is tried first.
 CHUNK, OVERLAP = 8_192, 256
-#: Spans remembered by a worker; beyond, it starts over.
-MEMORY = 600_000
-#: Characters of short texts that are encoded together.
+#: Characters of texts of one chunk that are encoded together.
 GROUP = 1_000_000
 OVER = 2_048
+SPACE = " \t\n\r"
 
 BOUNDARY = re.compile(r"(?<=[ \t\n\r])(?=[^ \t\n\r])")
 
-SPAN = re.compile(r"[^ \t\n\r]+")
-#: A part of a text as encoded: start, end, tokens.
-Part = tuple[int, int, int]
+#: A token of a text as encoded: start, end.
+Part = tuple[int, int]
 Encode = Callable[[str], list[Part]]
 
 
-def spliced(text: str, encode: Encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[Part]:
-    """The parts of ``text``; ``encode`` gives those of a chunk, with offsets in it."""
+def spliced(text: str, encode: Encode, chunk: int = CHUNK, overlap: int = OVERLAP, seen: dict[str, int] | None = None) -> int:
+    """The number of tokens of ``text``; ``encode`` gives those of a chunk, with offsets in it. ``seen`` counts what was
+    done: chunks encoded, splices, widened overlaps, grown chunks."""
+    seen = {} if seen is None else seen
+
+    def encoded(piece: str) -> list[Part]:
+        seen["chunks"] = seen.get("chunks", 0) + 1
+        return encode(piece)
+
     if len(text) <= chunk:
-        return encode(text)
-    out: list[Part] = []
+        return len(encoded(text))
+    out = 0
     start, end = 0, chunk
-    known = encode(text[:chunk])  # the parts from start on, relative to start
+    known = encoded(text[:chunk])  # the tokens from start on, relative to start
     while end < len(text):
         width = overlap
         while True:
             left = max(start, end - width)
             stop = min(len(text), left + max(chunk, 2 * width))
-            found = encode(text[left:stop])
+            found = encoded(text[left:stop])
             at = common(text, start, known, left, found, end)
             if at is not None or left == start:
                 break
             width *= 2
+            seen["widened"] = seen.get("widened", 0) + 1
         if at is None:  # no boundary in the whole chunk: it grows instead
             end = min(len(text), start + 2 * (end - start))
-            known = encode(text[start:end])
+            known = encoded(text[start:end])
+            seen["grown"] = seen.get("grown", 0) + 1
             continue
-        out += [(start + a, start + b, n) for a, b, n in known if start + b <= at]
-        known = [(a - (at - left), b - (at - left), n) for a, b, n in found if left + a >= at]
+        seen["spliced"] = seen.get("spliced", 0) + 1
+        out += bisect.bisect_right(known, at - start, key=itemgetter(1))
+        first = bisect.bisect_left(found, at - left, key=itemgetter(0))
+        known = [(a - (at - left), b - (at - left)) for a, b in found[first:]]
         start, end = at, stop
-    return out + [(start + a, start + b, n) for a, b, n in known]
+    return out + len(known)
 
 
 def common(text: str, start: int, known: list[Part], left: int, found: list[Part], end: int) -> int | None:
@@ -84,7 +91,7 @@ def common(text: str, start: int, known: list[Part], left: int, found: list[Part
 
 
 class Counter:
-    """Token counts of texts by one tokenizer of the tokenizers library, given as its JSON text."""
+    """Token counts of texts by one tokenizer of the tokenizers library, given as its JSON text. ``seen`` as in spliced()."""
 
     def __init__(self, model: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,54 +102,42 @@ class Counter:
         self.tokenizer.no_padding()
         self.chunk, self.overlap = chunk, overlap
         self.seen: dict[str, int] = {}
+        self.splits = self.drops_space()
 
     def tokens(self, text: str) -> list[Part]:
         """A chunk's tokens as parts, straight from the library."""
-        return [(a, b, 1) for a, b in self.tokenizer.encode(text, add_special_tokens=False).offsets]
-
-    def learn(self, spans: set[str]) -> None:
-        """Encodes what isn't known yet. A full stop or comma behind a Latin letter is a token of its own, so such
-        spans are learnt from what stands before it."""
-        new = spans.difference(self.seen)
-        if len(self.seen) + 2 * len(new) > MEMORY:
-            self.seen.clear()
-            new = set(spans)
-        ended = {s for s in new if s[-1] in ".," and s[-2:-1].lower().isalpha() and s[-2] < "\u0250"}
-        plain = list((new - ended).union((s[:-1] for s in ended), ".,").difference(self.seen))
-        self.seen.update(zip(plain, map(len, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)), strict=True))
-        for s in ended:
-            self.seen[s] = self.seen[s[:-1]] + self.seen[s[-1]]
-
-    def spans(self, chunk: str) -> list[Part]:
-        """A chunk's spans as parts."""
-        found = SPAN.findall(chunk)
-        self.learn(set(found))
-        at, out = 0, []
-        for s, n in zip(found, map(self.seen.__getitem__, found), strict=True):
-            at = chunk.index(s, at)
-            out.append((at, at + len(s), n))
-            at += len(s)
-        return out
+        return self.tokenizer.encode(text, add_special_tokens=False).offsets
+
+    def drops_space(self) -> bool:
+        """White space is part of no token and leaves what stands beside it alone, in all that is tried."""
+        words = ("a", "Zx9", ".", "'s", "\u00e9", "\u0301", "\u65e5\u672c", "\U0001f642")
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        for space in (*SPACE, "  ", "\r\n", " \n\t "):
+            for x in words:
+                for y in words:
+                    text = x + space + y
+                    if ids(text) != ids(x) + ids(y) or any(a < len(x) + len(space) and b > len(x) for a, b in self.tokens(text)):
+                        return False
+        return True
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Texts of up to a chunk are encoded together, longer ones each by overlapping chunks."""
+        """Texts of one chunk are encoded together, longer ones each by overlapping chunks."""
         out, group, held = [0] * len(texts), [], 0
         for i, text in enumerate(texts):
             if len(text) > self.chunk:
-                out[i] = sum(n for _, _, n in spliced(text, self.spans, self.chunk, self.overlap))
+                out[i] = spliced(text, self.tokens, self.chunk, self.overlap, self.seen) if self.splits else len(self.tokens(text))
                 continue
-            group.append((i, SPAN.findall(text)))
+            group.append(i)
             held += len(text)
             if held > GROUP:
-                self.count_group(group, out)
+                self.count_group(texts, group, out)
                 group, held = [], 0
-        self.count_group(group, out)
+        self.count_group(texts, group, out)
         return out
 
-    def count_group(self, group: list[tuple[int, list[str]]], out: list[int]) -> None:
-        self.learn(set().union(*(found for _, found in group)))
-        for i, found in group:
-            out[i] = sum(map(self.seen.__getitem__, found))
+    def count_group(self, texts: list[str], group: list[int], out: list[int]) -> None:
+        for i, found in zip(group, self.tokenizer.encode_batch_fast([texts[i] for i in group], add_special_tokens=False), strict=True):
+            out[i] = len(found)
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", over: int = OVER, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

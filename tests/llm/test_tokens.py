@@ -39,13 +39,35 @@ def test_counts_equal_library(word_model):
         assert c.counts([t])[0] == want
         for s in small:
             assert s.counts([t])[0] == want
-            assert sum(n for _, _, n in tc.spliced(t, c.tokens, s.chunk, s.overlap)) == want
+            assert tc.spliced(t, c.tokens, s.chunk, s.overlap) == want
+    done = small[0].seen
+    assert done["spliced"] > 1000 and done["widened"] > 100 and done["grown"] > 10
 
 
-def test_spliced_tokens_are_the_whole_texts(word_model):
+def test_long_texts_are_spliced(word_model):
+    """What is done to a long text, and that the library never sees more of it than a few chunks at once."""
     c = tc.Counter(word_model)
-    text = " ".join(random.Random(5).choice(["alpha", "beta,", "gamma.", "δέλτα", "x" * 70]) for _ in range(400))
-    assert tc.spliced(text, c.tokens, 200, 8) == c.tokens(text)
+    text = " ".join(random.Random(5).choice(["alpha", "beta,", "gamma.", "δέλτα", "x" * 70]) for _ in range(4000))
+    pieces = []
+
+    def encode(piece):
+        pieces.append(len(piece))
+        return c.tokens(piece)
+
+    seen = {}
+    assert tc.spliced(text, encode, 200, 8, seen) == len(c.tokens(text))
+    assert max(pieces) <= 800 and seen["spliced"] >= len(text) / 800 and seen["widened"] > 10 and seen["chunks"] == len(pieces)
+    whole = tc.Counter(word_model, 2048, 64)
+    assert whole.counts([text, "a b"]) == [len(c.tokens(text)), 2] and whole.seen["spliced"] > 20
+
+
+def test_boundaries_are_proven_by_the_tokenizer(word_model):
+    """A tokenizer that puts white space into tokens has no stable boundaries; its texts are encoded whole."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        other = tc.Counter(f.read(), 16, 4)
+    text = "the quick  brown fox jumps\n\nover the lazy dog " * 5
+    assert tc.Counter(word_model).splits and not other.splits
+    assert other.counts([text])[0] == len(other.tokenizer.encode(text, add_special_tokens=False)) and not other.seen
 
 
 def test_token_counts_query(spark, docs, word_model):
