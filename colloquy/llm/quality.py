@@ -35,6 +35,8 @@ from colloquy.llm.common import few, kept, table, text_batches
 #: Bounds: labelled documents used for fitting, and features kept.
 SAMPLE, FEATURES = 16_000, 20_000
 ODDS, SURE, MOST, REJECT = 3.0, 14.0, 16.0, 0.5
+#: Keys of rejected rows (two longs each) that are broadcast at most.
+REJECTED = 200_000
 #: Parts of the labelled documents; each part's evidence comes from the counts of the others.
 FOLDS = 3
 MARKS = ".,;:!?\"'()[]{}<>|*#%&$+-=/\\_~^`@"
@@ -150,19 +152,18 @@ def curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
 
 
 def scored(docs: DataFrame, text_col: str, weights: dict[str, float]) -> DataFrame:
-    """``docs`` with the column ``evidence``."""
+    """The columns of ``docs`` without the text, and ``evidence``: texts go to Python once and don't come back."""
     text_batches(docs.sparkSession)
-    at = docs.columns.index(text_col)
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", evidence double"
+    names = [c for c in docs.columns if c != text_col]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col) + ", evidence double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = weights.keys()
         for batch in batches:
-            evidence = [min(MOST, sum(sorted(weights[f] for f in known & features(t.as_py())))) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(evidence, pa.float64())], [*names, "evidence"])
+            evidence = [min(MOST, sum(sorted(weights[f] for f in known & features(t.as_py())))) for t in batch.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(evidence, pa.float64())], [*names, "evidence"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*names, text_col).mapInArrow(run, schema)
 
 
 def logit(p: Column) -> Column:
@@ -192,32 +193,55 @@ def site_posteriors(sites: DataFrame) -> tuple[DataFrame, float, float]:
     return both, mean, strength(beyond, chance)
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, sample: int = SAMPLE, reject: float = REJECT) -> DataFrame:
-    """All rows of ``docs`` in a struct ``row``, with evidence, site_rate, p_bad and keep.
+def site(name: Column) -> Column:
+    """A site's key; a null name is a site of its own, apart from the empty name."""
+    return F.when(name.isNull(), "-").otherwise(F.concat(F.lit("+"), name.cast("string")))
+
+
+def keys(docs: DataFrame, id_col: str, text_col: str, host: Column, path: Column) -> list[Column]:
+    """128 bits that stand for a row's id, text and site, which decide what becomes of it."""
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    parts = (id_.cast("string"), text, site(host), site(path))
+    none = F.concat(*(F.when(x.isNull(), "0").otherwise("1") for x in parts[:2]))  # hashes pass over nulls
+    return [F.xxhash64(none, *parts).alias("k1"), F.xxhash64(*reversed(parts), none).alias("k2")]
+
+
+def decisions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, sample: int = SAMPLE, reject: float = REJECT) -> DataFrame:
+    """A narrow row for each row of ``docs``: id, evidence, site_rate, p_bad, keep, and the keys k1 and k2.
 
     ``labels`` has id and bad (0 or 1); a document labelled twice is bad if one label says so. Fitting takes at most
-    ``sample`` labelled documents; everything else covers all rows. Null hosts and paths are sites of their
-    own. A null text counts as empty, and being empty is a feature like others. Ids may be null or repeated,
+    ``sample`` labelled documents; everything else covers all rows. A labelled document's own label is part of what is
+    known, and so of its evidence. Null hosts and paths are sites of their
+    own, apart from empty ones. A null text counts as empty, and being empty is a feature like others. Ids may be null or repeated,
     each row is judged by itself. Without labels of both kinds nothing is known against any document: p_bad is 0 and
     all are kept. An empty table gives an empty result.
+
+    Texts are read by the tasks that scan them and go no further: what is joined with the sites is a few numbers a row.
     """
-    host = (host if host is not None else F.col("source")).cast("string")
-    path = (path if path is not None else F.col("lang")).cast("string")
+    host = host if host is not None else F.col("source")
+    path = path if path is not None else F.col("lang")
     model = fit(docs, labels, id_col, text_col, sample)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    narrow = [F.col(f"`{id_col}`").alias("id"), *keys(docs, id_col, text_col, host, path)]
     if model is None:
-        return docs.select(row.alias("row"), F.lit(0.0).alias("evidence"), F.lit(0.0).alias("site_rate"), F.lit(0.0).alias("p_bad"), F.lit(True).alias("keep"))
+        return docs.select(*narrow, F.lit(0.0).alias("evidence"), F.lit(0.0).alias("site_rate"), F.lit(0.0).alias("p_bad"), F.lit(True).alias("keep"))
     weights, (a, b) = model
     p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("evidence"))))
-    sites = [F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path")]
-    each = scored(docs.select(F.col(f"`{text_col}`").alias("text"), *sites), "text", weights)
-    sums = kept(each.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s")))
+    each = kept(scored(docs.select(*narrow, site(host).alias("host"), site(path).alias("path"), F.col(f"`{text_col}`").alias("text")), "text", weights).withColumn("p", p))
+    sums = kept(each.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
     posteriors, mean, k = site_posteriors(sums)
-    again = scored(docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"), *sites), "text", weights).drop("text").withColumn("p", p)
-    joined = again.join(few(posteriors), ["host", "path"])
     rate = (F.greatest(F.lit(0.0), F.col("s") - F.col("p")) + F.lit(k) * F.col("host_rate")) / (F.col("n") - 1 + F.lit(k))
-    out = joined.withColumn("site_rate", rate).withColumn("p_bad", 1 / (1 + F.exp(-(logit(F.col("p")) + logit(F.col("site_rate")) - logit(F.lit(mean))))))
-    return out.select("row", "evidence", "site_rate", "p_bad", (F.col("p_bad") < reject).alias("keep"))
+    out = each.join(few(posteriors), ["host", "path"]).withColumn("site_rate", rate).withColumn("p_bad", 1 / (1 + F.exp(-(logit(F.col("p")) + logit(F.col("site_rate")) - logit(F.lit(mean))))))
+    return out.select("id", "k1", "k2", "evidence", "site_rate", "p_bad", (F.col("p_bad") < reject).alias("keep"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, sample: int = SAMPLE, reject: float = REJECT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that decisions() keeps. The keys of the others are broadcast up to a
+    counted number of pairs of longs; beyond, rows meet them by a shuffled join."""
+    host = host if host is not None else F.col("source")
+    path = path if path is not None else F.col("lang")
+    rejected = kept(decisions(docs, labels, id_col, text_col, host, path, sample, reject).where(~F.col("keep")).select(F.col("k1").alias("r1"), F.col("k2").alias("r2")).distinct())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *keys(docs, id_col, text_col, host, path))
+    return rows.join(few(rejected, limit=REJECTED), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left_anti").select("row.*")
 
 
 def bad_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,5 +250,5 @@ def bad_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judged(table(spark, sf_dir, "documents"), bad_labels(spark, sf_dir))
-    return out.select(F.col("row.doc_id").alias("doc_id"), F.round("evidence", 6).alias("evidence"), F.round("site_rate", 6).alias("site_rate"), F.round("p_bad", 6).alias("p_bad"), "keep")
+    out = decisions(table(spark, sf_dir, "documents"), bad_labels(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), F.round("evidence", 6).alias("evidence"), F.round("site_rate", 6).alias("site_rate"), F.round("p_bad", 6).alias("p_bad"), "keep")

@@ -34,7 +34,7 @@ def test_quality_on_held_out(spark):
     rows, labels = corpus(1500)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     known = spark.createDataFrame(labels[:1000], "id bigint, bad int")
-    got = {r.doc_id: r.keep for r in quality.judged(docs, known).select("row.doc_id", "keep").collect()}
+    got = {r.id: r.keep for r in quality.decisions(docs, known).collect()}
     wrong = [i for i, bad in labels[1000:] if got[i] == bool(bad)]
     assert len(wrong) <= 5
 
@@ -42,12 +42,112 @@ def test_quality_on_held_out(spark):
 def test_quality_of_hard_tables(spark, docs):
     from hard_cases import HARD
 
-    d = docs(HARD).withColumn("host", common.F.lit(None)).withColumn("evidence", common.F.lit(1))
+    d = docs(HARD).withColumn("host", common.F.lit(None)).withColumn("evidence", common.F.lit(1)).withColumn("k1", common.F.lit("x"))
     none = spark.createDataFrame([], "id bigint, bad int")
-    assert quality.judged(d, none).where("keep").count() == len(HARD)
+    assert quality.decisions(d, none).where("keep").count() == len(HARD)
+    assert quality.accepted(d, none).columns == d.columns
     one = spark.createDataFrame([(0, 1), (0, 0), (3, 0), (None, 1), (4, None)], "id bigint, bad int")
-    assert quality.judged(d, one).count() == len(HARD)
-    assert quality.judged(d.limit(0), one).count() == 0
+    assert quality.decisions(d, one).count() == len(HARD)
+    assert quality.decisions(d.limit(0), one).count() == 0 and quality.accepted(d.limit(0), one).count() == 0
+    assert quality.accepted(d, one).count() == quality.decisions(d, one).where("keep").count()
+
+
+def test_null_sites_are_not_empty_ones(spark):
+    rows = [(i, "fine words here" if i % 2 else "bad words", s, "en", 0) for i in range(20) for s in (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(20)], "id bigint, bad int")
+    assert quality.decisions(docs, labels).count() == 40
+    one = docs.select(quality.site(common.F.col("source")).alias("s")).distinct().count()
+    assert one == 2
+
+
+def plain_quality(rows, labels):
+    """Evidence, site rate and p_bad of each row by loops, from the same definitions."""
+    import math
+
+    import numpy as np
+
+    fold = lambda i: folds[i]
+    known = {i: bad for i, bad in labels}
+    folds = FOLD_OF
+    counts, totals = defaultdict(lambda: [[0, 0] for _ in range(quality.FOLDS)]), [[0, 0] for _ in range(quality.FOLDS)]
+    for i, text, *_ in rows:
+        if i in known:
+            totals[fold(i)][known[i]] += 1
+            for f in quality.features(text):
+                counts[f][fold(i)][known[i]] += 1
+
+    def best(out):
+        use = [k for k in range(quality.FOLDS) if k != out]
+        good, bad = sum(totals[k][0] for k in use), sum(totals[k][1] for k in use)
+        rate, found = bad / (good + bad), {}
+        for f, c in counts.items():
+            g, b = sum(c[k][0] for k in use), sum(c[k][1] for k in use)
+            odds = math.log((b + 0.5) / (bad + 1)) - math.log((g + 0.5) / (good + 1))
+            term = lambda x, e: x * math.log(x / e) if x > 0 else 0.0
+            if odds >= quality.ODDS and 2 * (term(b, (g + b) * rate) + term(g, (g + b) * (1 - rate))) >= quality.SURE:
+                found[f] = odds
+        return found
+
+    def evidence(text, weights):
+        return min(quality.MOST, sum(sorted(weights[f] for f in weights.keys() & quality.features(text))))
+
+    seen = defaultdict(int)
+    for i, text, *_ in rows:
+        if i in known:
+            seen[round(evidence(text, best(fold(i))), 1), known[i]] += 1
+    x, y, n = (np.array(v, float) for v in zip(*((e, bad, c) for (e, bad), c in seen.items()), strict=True))
+    a, b = quality.curve(x, y, n)
+    weights = best(None)
+    ev = [evidence(text, weights) for _, text, *_ in rows]
+    p = [1 / (1 + math.exp(-(a + b * e))) for e in ev]
+    sites, hosts = defaultdict(list), defaultdict(list)
+    for (_, _, lang, source, _), q in zip(rows, p, strict=True):
+        sites[source, lang].append(q)
+        hosts[source].append(q)
+    mean = sum(p) / len(p)
+    chance = mean * (1 - mean)
+    beyond = sum(len(v) * ((sum(v) / len(v) - mean) ** 2 - chance / len(v)) for v in hosts.values()) / len(p)
+    k = quality.strength(beyond, chance)
+    host = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in hosts.items()}
+    beyond = sum(len(v) * ((sum(v) / len(v) - host[h]) ** 2 - chance / len(v)) for (h, _), v in sites.items()) / len(p)
+    k = quality.strength(beyond, chance)
+    logit = lambda z: math.log(min(max(z, 1e-6), 1 - 1e-6) / (1 - min(max(z, 1e-6), 1 - 1e-6)))
+    out = {}
+    for (i, _, lang, source, _), e, q in zip(rows, ev, p, strict=True):
+        v = sites[source, lang]
+        rate = (max(0.0, sum(v) - q) + k * host[source]) / (len(v) - 1 + k)
+        out[i] = (e, rate, 1 / (1 + math.exp(-(logit(q) + logit(rate) - logit(mean)))))
+    return out
+
+
+FOLD_OF: dict[int, int] = {}
+
+
+def test_quality_equals_plain_version(spark):
+    rows, labels = corpus(700, 11)
+    rows = [(i, t + " vileword" * (i % 7 == 3 and i % 5 == 0), lang, source, n) for i, t, lang, source, n in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    F = common.F
+    FOLD_OF.update({r.i: r.f for r in docs.select(F.col("doc_id").alias("i"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(quality.FOLDS)).alias("f")).collect()})
+    got = {r.id: (r.evidence, r.site_rate, r.p_bad) for r in quality.decisions(docs, spark.createDataFrame(labels[:500], "id bigint, bad int")).collect()}
+    want = plain_quality(rows, labels[:500])
+    assert got.keys() == want.keys() and sum(v[2] > 0.5 for v in want.values()) > 100
+    for i, v in want.items():
+        assert got[i] == pytest.approx(v, rel=1e-6, abs=1e-9)
+
+
+def test_no_text_is_shuffled_for_sites(spark, monkeypatch, capsys):
+    monkeypatch.setattr(quality, "few", lambda df, *a, **k: df)
+    rows, labels = corpus(200, 4)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        quality.decisions(docs, spark.createDataFrame(labels, "id bigint, bad int")).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "text" not in plan
 
 
 def test_sparse_sites_shrink(spark):
