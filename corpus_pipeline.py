@@ -12,7 +12,7 @@ from colloquy.llm.common import ready, table
 from colloquy.llm.line_templates import dedup_lines
 from colloquy.llm.mixing import WEIGHTS, mix
 from colloquy.llm.near_copies import first_of_each
-from colloquy.llm.quality import bad_labels, judged
+from colloquy.llm.quality import accepted, bad_labels
 from colloquy.llm.sentencepiece_fst import model_bytes, pieces_of
 from colloquy.shipping import ship
 
@@ -27,7 +27,7 @@ COPY_SHARE = 0.7
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't take for low quality or toxic."""
     ship(spark)
-    return judged(docs, bad_labels(spark, sf_dir)).where("keep").select("row.*")
+    return accepted(docs, bad_labels(spark, sf_dir))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
