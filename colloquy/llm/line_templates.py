@@ -1,21 +1,23 @@
 """Line dedup with a log-template tree.
 
 A line's tokens are what ASCII white space separates; a token with a digit (0-9) is a variable field from the start and reads
-``<*>``. The tree has a fixed depth: token count, then the first ``depth`` tokens. Below a leaf, a line stands for
-its whole masked text and, from ``least`` tokens on, for three generalised templates: in each, one run of ``1 -
-share`` of the tokens behind the leading ones is free (the next ones, the middle ones, the last ones), so lines
-that differ only in a field there have that template in common. Growing templates line by line, as a parser of one
-log does, would depend on the order of lines; here a template is a function of its line, so all lines are parsed
-on their own and counting is one aggregation that combines on the map side, however many lines a template has.
-
-A template recurs if it is in different documents, in at least ``exact`` of them, a generalised one in ``general``
-(rows that repeat a document count again). Of a
-recurring template the first document (smallest id; rows of that id) keeps its lines, all others drop theirs.
+``<*>``. The tree has a fixed depth: token count first, then a run of leading tokens; so that a field among the leading
+ones doesn't hide a line, trees on the middle and the last run stand beside it. A run is a half of the tokens (leading and last),
+from ``thirds`` tokens on a third (leading, middle, last). Lines of under ``least`` tokens are in no leaf.
+
+Each leaf learns its template from the different lines that it holds: at each position the token that most of them have is fixed, and a
+position at which no single token leads is variable. A line belongs to the template if its fixed tokens cover
+``share`` of the line's tokens; so lines that only share a leaf are not merged. Growing templates line by line, as a parser of one
+log does, would depend on the order of lines; here what is learnt depends on the lines alone, all of it by
+aggregations over different lines, which a line or leaf with very many copies enters once.
+
+A line recurs if its whole masked text, or a template that it belongs to, is in two different documents (rows that repeat id and text
+are one document). Of what recurs the first document (smallest id; rows of that id) keeps its lines, all others drop theirs. Where a line
+recurs in two ways with two first documents, it is dropped in all documents, as each of the two has it from the other.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -24,27 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import kept, table, text_batches
+from colloquy.llm.common import few, kept, table, text_batches
 
-DEPTH, LEAST, SHARE, EXACT, GENERAL = 4, 12, 0.75, 2, 4
+LEAST, THIRDS, SHARE = 5, 12, 0.75
 FREE = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
 
 
-def templates(line: str, depth: int = DEPTH, least: int = LEAST, share: float = SHARE) -> list[bytes]:
-    """The line's templates: whole masked text first, then the generalised ones; none without tokens."""
-    tokens = line.encode().split()  # at ASCII white space
-    if not tokens:
-        return []
-    masked = [FREE if not t.isalpha() and DIGIT.search(t) else t for t in tokens]
-    n = len(masked)
-    out = [b"%d\t%s" % (n, b" ".join(masked))]
+def masked(line: str) -> list[bytes]:
+    """The line's tokens, variable fields masked."""
+    return [FREE if not t.isalpha() and DIGIT.search(t) else t for t in line.encode().split()]  # at ASCII white space
+
+
+def runs(n: int, least: int = LEAST, thirds: int = THIRDS) -> list[tuple[int, int]]:
+    """The runs of positions that lead to a line's leaves."""
     if n < least:
-        return out
-    free = math.floor((1 - share) * n)
-    for start in dict.fromkeys((depth, depth + (n - depth - free) // 2, n - free)):
-        out.append(b"%d\t%s\t%s%d\t%s" % (n, b" ".join(masked[:start]), FREE, free, b" ".join(masked[start + free :])))
-    return out
+        return []
+    k = 3 if n >= thirds else 2
+    return [(i * n // k, (i + 1) * n // k) for i in range(k)]
 
 
 def key_columns(id_col: str, text_col: str) -> list:
@@ -52,52 +51,106 @@ def key_columns(id_col: str, text_col: str) -> list:
     return [F.col(f"`{id_col}`").alias("k_id"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("k_doc")]
 
 
-def parsed(docs: DataFrame, id_col: str, text_col: str, depth: int, least: int, share: float) -> DataFrame:
-    """(k_id, k_doc, line, templates, fresh): a row for each line with tokens; templates as hashes, the whole text's
-    first; bit i of fresh is set where no earlier line of the document has template i."""
+def parsed(docs: DataFrame, id_col: str, text_col: str, least: int, thirds: int) -> DataFrame:
+    """(k_id, k_doc, line, chars, all_chars, whole, leaves, tokens): a row for each line with tokens, what it holds as
+    hashes; all_chars are those of the document's lines with tokens."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_64_intdigest, xxh32_intdigest
 
         for batch in batches:
-            at, number, keys, ends, fresh = array("i"), array("i"), array("q"), array("i", [0]), array("i")
+            at, number, chars, whole, leaves, ends, tokens, t_ends = array("i"), array("i"), array("i"), array("q"), array("q"), array("i", [0]), array("i"), array("i", [0])
+            every = array("i")
             for i in range(batch.num_rows):
-                seen: set[int] = set()
+                first = len(at)
                 for j, line in enumerate((batch.column(2)[i].as_py() or "").split("\n")):
-                    found = templates(line, depth, least, share)
+                    words = masked(line)
+                    if not words:
+                        continue
+                    n = len(words)
+                    at.append(i)
+                    number.append(j)
+                    chars.append(len(line))
+                    whole.append(xxh3_64_intdigest(b" ".join(words)) - 2**63)
+                    found = runs(n, least, thirds)
+                    for k, (a, b) in enumerate(found):
+                        leaves.append(xxh3_64_intdigest(b"%d\t%d\t%s" % (n, k, b" ".join(words[a:b]))) - 2**63)
+                    ends.append(len(leaves))
                     if found:
-                        at.append(i)
-                        number.append(j)
-                        hashes = [xxh3_64_intdigest(t) - 2**63 for t in found]
-                        fresh.append(sum(1 << g for g, h in enumerate(hashes) if h not in seen))
-                        seen.update(hashes)
-                        keys.extend(hashes)
-                        ends.append(len(keys))
+                        tokens.extend([xxh32_intdigest(w) - 2**31 for w in words])
+                    t_ends.append(len(tokens))
+                total = sum(chars[first:])
+                every.extend([total] * (len(at) - first))
             rows = pa.array(at, pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), lists, pa.array(fresh, pa.int32())], ["k_id", "k_doc", "line", "templates", "fresh"])
-
-    return docs.select(*key_columns(id_col, text_col), F.col(f"`{text_col}`").alias("text")).mapInArrow(parse, f"k_id {kind}, k_doc bigint, line int, templates array<bigint>, fresh int")
-
-
-def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, least: int, share: float, exact: int, general: int) -> DataFrame:
-    """(k_id, k_doc, lines): for each document that loses lines, their numbers."""
-    lines = kept(parsed(docs, id_col, text_col, depth, least, share))
-    each = lines.select("k_id", "k_doc", "line", "fresh", F.posexplode("templates").alias("which", "template"))
-    counted = each.select("k_id", "k_doc", "template", "which", F.expr("shiftright(fresh, which) & 1").alias("new"))
-    grouped = counted.groupBy("template").agg(F.min("k_id").alias("first"), F.min("k_doc").alias("low"), F.max("k_doc").alias("high"), F.sum("new").alias("documents"), F.min("which").alias("which"))
-    enough = F.col("documents") >= F.when(F.col("which") == 0, exact).otherwise(general)
-    several = kept(grouped.where((F.col("low") != F.col("high")) & enough).select("template", "first"))
-    # always dealt by template: a broadcast that ends at some number of templates would change the plan as data grow
-    again = each.select("k_id", "k_doc", "line", "template").join(several.hint("merge"), "template").where(~F.col("k_id").eqNullSafe(F.col("first")))
-    return again.groupBy("k_id", "k_doc").agg(F.collect_set("line").alias("lines"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, share: float = SHARE, exact: int = EXACT, general: int = GENERAL, spare: float | None = None) -> DataFrame:
+            lists = lambda e, v, kind: pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, kind))
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(chars, pa.int32()), pa.array(every, pa.int32()), pa.array(whole, pa.int64()), lists(ends, leaves, pa.int64()), lists(t_ends, tokens, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["k_id", "k_doc", "line", "chars", "all_chars", "whole", "leaves", "tokens"])
+
+    schema = f"k_id {kind}, k_doc bigint, line int, chars int, all_chars int, whole bigint, leaves array<bigint>, tokens array<int>"
+    return docs.select(*key_columns(id_col, text_col), F.col(f"`{text_col}`").alias("text")).mapInArrow(parse, schema)
+
+
+def learnt(members: DataFrame, lines: DataFrame, share: float) -> DataFrame:
+    """(leaf, whole): the lines that belong to their leaf's template, from (leaf, whole) and each line's (whole, tokens)."""
+    at = kept(members.join(lines.select("whole", "tokens"), "whole").select("leaf", "whole", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token")))
+    counts = at.groupBy("leaf", "pos", "token").agg(F.count("*").alias("c"))
+    # the token that leads, if one alone does: packed with its count into longs, largest and smallest token first
+    packed = lambda token: F.shiftleft(F.col("c"), 32) + token + F.lit(2**31)
+    tops = counts.groupBy("leaf", "pos").agg(F.max(packed(F.col("token").cast("bigint"))).alias("high"), F.max(packed(-F.col("token").cast("bigint") - 1)).alias("low"))
+    token = F.col("high").bitwiseAND(2**32 - 1) - 2**31
+    fixed = tops.where(token == -1 - (F.col("low").bitwiseAND(2**32 - 1) - 2**31)).select("leaf", "pos", token.cast("int").alias("token"))
+    held = at.join(fixed, ["leaf", "pos", "token"], "left_semi").groupBy("leaf", "whole", "n").agg(F.count("*").alias("held"))
+    return held.where(F.col("held") >= F.ceil(F.col("n") * share)).select("leaf", "whole")
+
+
+def recurring(lines: DataFrame, share: float) -> DataFrame:
+    """(whole, first, several): what recurs, the first document that has it, and whether that differs by the way it recurs."""
+    keys = lines.select("k_id", "k_doc", "whole", F.explode(F.concat(F.array("whole"), "leaves")).alias("key"))
+    stats = keys.groupBy("key").agg(F.min("k_id").alias("first"), F.min("k_doc").alias("low"), F.max("k_doc").alias("high"), F.min("whole").alias("least"), F.max("whole").alias("most"))
+    # of leaves only those with different lines have something to learn
+    several = kept(stats.where((F.col("low") != F.col("high")) & ((F.col("least") != F.col("most")) | (F.col("least") == F.col("key")))).select("key", "first", (F.col("least") != F.col("most")).alias("leaf")))
+    exact = several.where("not leaf").select(F.col("key").alias("whole"), "first")
+    open_ = several.where("leaf").select(F.col("key").alias("leaf"))
+    members = kept(lines.select("whole", F.explode("leaves").alias("leaf")).join(few(open_), "leaf").select("leaf", "whole").distinct())
+    wholes = members.select("whole").distinct()
+    # the lines in open leaves, each once: its documents first, its tokens from one of its rows
+    rows = lines.select("whole", "k_id", "k_doc", "tokens").join(few(wholes), "whole")
+    distinct = kept(rows.groupBy("whole").agg(F.min("k_id").alias("first"), F.min("k_doc").alias("low"), F.max("k_doc").alias("high"), F.first("tokens").alias("tokens")))
+    belongs = kept(learnt(members, distinct, share))
+    templates = belongs.join(distinct.select("whole", "first", "low", "high"), "whole").groupBy("leaf").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    by_template = belongs.join(templates.select("leaf", "first"), "leaf").select("whole", "first")
+    ways = exact.withColumn("exactly", F.lit(True)).unionByName(by_template.withColumn("exactly", F.lit(False)))
+    found = ways.groupBy("whole").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.min(F.when(F.col("exactly"), F.col("first"))).alias("exact"))
+    return kept(found.select("whole", F.coalesce("exact", "low").alias("first"), F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("several")))
+
+
+def dropped(lines: DataFrame, share: float) -> DataFrame:
+    """(k_id, k_doc, line, chars, all_chars, first, several): the lines that go."""
+    # always dealt by line: a broadcast that ends at some number of lines would change the plan as data grow
+    again = lines.select("k_id", "k_doc", "line", "chars", "all_chars", "whole").join(recurring(lines, share).hint("merge"), "whole")
+    return again.where(F.col("several") | ~F.col("k_id").eqNullSafe(F.col("first"))).drop("whole")
+
+
+def whole_copies(gone: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """(c_id, c_doc, original): near copies of one earlier document. Without the lines that go because of other documents,
+    the lines from that one are, by characters, at least ``similarity`` of all lines of the two."""
+    doc = ["k_id", "k_doc"]
+    lost = gone.groupBy(*doc).agg(F.sum("chars").alias("lost"), F.max("all_chars").alias("all"))
+    by = gone.groupBy(*doc, "first").agg(F.sum("chars").alias("shared")).groupBy(*doc).agg(F.max(F.struct("shared", "first")).alias("_m"))
+    like = by.join(lost.withColumnRenamed("k_id", "l_id").withColumnRenamed("k_doc", "l_doc"), (F.col("k_doc") == F.col("l_doc")) & F.col("k_id").eqNullSafe(F.col("l_id")))
+    mine = like.select(F.col("k_id").alias("c_id"), F.col("k_doc").alias("c_doc"), F.col("_m.first").alias("original"), F.col("_m.shared").alias("shared"), (F.col("all") - F.col("lost") + F.col("_m.shared")).alias("rest"))
+    left = lines.groupBy(F.col("k_id").alias("original"), "k_doc").agg(F.max("all_chars").alias("all")).join(lost.select("k_doc", "lost"), "k_doc", "left")
+    theirs = left.groupBy("original").agg(F.max(F.col("all") - F.coalesce("lost", F.lit(0))).alias("other"))
+    near = mine.where(F.col("shared") >= similarity * F.col("rest")).join(theirs, "original")
+    return near.where(F.col("shared") >= similarity * (F.col("rest") + F.col("other") - F.col("shared"))).select("c_id", "c_doc", "original")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, thirds: int = THIRDS, share: float = SHARE, copies: float | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with the text column cleaned, and n_lines, n_dropped beside them.
 
-    With ``spare``, a document of which lines with at least this share of the characters would go stays whole.
+    With ``copies``, a document that is a near copy of one earlier document (see whole_copies) keeps the lines that it has
+    from it, and loses the same lines as that one; so near copies stay near copies. Its other recurring lines go.
     A null text stays null and an empty one empty (no line is dropped); a document whose lines all recur keeps its
     row with an empty text. Null ids count as one id that comes last. Rows that repeat id and text are one
     document and are cleaned alike. Lines without tokens are never dropped. An empty table gives an empty result.
@@ -105,7 +158,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    drops = recurring_lines(docs, id_col, text_col, depth, least, share, exact, general)
+    lines = kept(parsed(docs, id_col, text_col, least, thirds))
+    gone = dropped(lines, share)
+    if copies is not None:
+        gone = kept(gone)
+        met = gone.join(whole_copies(gone, lines, copies), (F.col("k_doc") == F.col("c_doc")) & F.col("k_id").eqNullSafe(F.col("c_id")), "left")
+        gone = met.where(F.col("several") | F.col("original").isNull() | (F.col("first") != F.col("original")))
+    drops = gone.groupBy("k_id", "k_doc").agg(F.collect_set("line").alias("lines"))
     keys = key_columns(id_col, text_col)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), *keys)
     d = drops.select(F.col("k_id").alias("d_id"), F.col("k_doc").alias("d_doc"), "lines")
@@ -120,8 +179,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for text, drop in zip(batch.column(at).to_pylist(), batch.column(len(others)).to_pylist(), strict=True):
                 lines = [] if text is None else text.split("\n")
                 gone = set(drop or ())
-                if gone and spare is not None and sum(len(lines[j]) for j in gone) >= spare * sum(map(len, lines)):
-                    gone = set()
                 texts.append("\n".join(x for j, x in enumerate(lines) if j not in gone) if gone else text)
                 n_lines.append(len(lines))
                 n_dropped.append(len(gone))
@@ -137,20 +194,22 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.length("text").cast("bigint").alias("n_chars_kept"), F.md5("text").alias("text_md5"))
 
 
-def join_sql(tokens: str, start: str, end: str) -> str:
-    return f"array_to_string(list_slice({tokens}, {start}, {end}), ' ')"
-
-
 OP7_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-ln AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM d),
-tk AS (SELECT r, doc_id, j, line, list_transform(list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM ln),
-sz AS (SELECT *, len(t) AS n, CAST(floor({1 - SHARE} * len(t)) AS BIGINT) AS free FROM tk WHERE len(t) > 0),
-st AS (SELECT *, unnest(list_distinct([{DEPTH}, {DEPTH} + (n - {DEPTH} - free) // 2, n - free])) AS start FROM sz WHERE n >= {LEAST}),
-tp AS (SELECT r, doc_id, j, n || chr(9) || array_to_string(t, ' ') AS template, {EXACT} AS needed FROM sz
-    UNION ALL SELECT r, doc_id, j, n || chr(9) || {join_sql('t', '1', 'start')} || chr(9) || '<*>' || free || chr(9) || {join_sql('t', 'start + free + 1', 'n')}, {GENERAL} FROM st),
-rc AS (SELECT template, min(doc_id) AS first FROM tp GROUP BY template HAVING count(DISTINCT r) >= greatest(2, min(needed))),
-dr AS (SELECT DISTINCT r, j FROM tp JOIN rc USING (template) WHERE doc_id <> first),
-ct AS (SELECT ln.r, count(*) AS n_lines, count(dr.j) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY ln.j) FILTER (dr.j IS NULL), '') AS text FROM ln LEFT JOIN dr ON ln.r = dr.r AND ln.j = dr.j GROUP BY ln.r)
-SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(ct.text) AS n_chars_kept, md5(ct.text) AS text_md5 FROM d LEFT JOIN ct ON d.r = ct.r
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '-') || md5(coalesce(text, '')) AS k, text FROM documents),
+ln AS (SELECT r, k, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS j FROM d),
+tk AS (SELECT r, k, doc_id, j, list_transform(list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM ln),
+wl AS (SELECT *, len(t) AS n, array_to_string(t, ' ') AS w FROM tk WHERE len(t) > 0),
+ex AS (SELECT w, min(doc_id) AS first FROM wl GROUP BY w HAVING count(DISTINCT k) >= 2),
+dl AS (SELECT DISTINCT w, n, t, CASE WHEN n >= {THIRDS} THEN 3 ELSE 2 END AS parts FROM wl WHERE n >= {LEAST}),
+lf AS (SELECT w, n, t, n || ':' || i || ':' || array_to_string(list_slice(t, i * n // parts + 1, (i + 1) * n // parts), ' ') AS leaf FROM dl, range(3) AS x(i) WHERE i < parts),
+op AS (SELECT * FROM lf WHERE leaf IN (SELECT leaf FROM lf GROUP BY leaf HAVING count(*) >= 2)),
+ps AS (SELECT leaf, w, n, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM op),
+ct AS (SELECT leaf, pos, token, count(*) AS c FROM ps GROUP BY ALL),
+tp AS (SELECT leaf, pos, arg_max(token, c) AS token FROM (SELECT *, max(c) OVER (PARTITION BY leaf, pos) AS m FROM ct) WHERE c = m GROUP BY leaf, pos HAVING count(*) = 1),
+mb AS (SELECT ps.leaf, ps.w FROM ps JOIN tp USING (leaf, pos, token) GROUP BY ps.leaf, ps.w, ps.n HAVING count(*) >= ceil(ps.n * {SHARE})),
+fl AS (SELECT leaf, min(doc_id) AS first FROM mb JOIN wl USING (w) GROUP BY leaf HAVING count(DISTINCT k) >= 2),
+ways AS (SELECT w, first FROM ex UNION SELECT w, first FROM mb JOIN fl USING (leaf)),
+dr AS (SELECT DISTINCT r, j FROM wl JOIN ways USING (w) WHERE doc_id <> first),
+res AS (SELECT ln.r, count(*) AS n_lines, count(dr.j) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY ln.j) FILTER (dr.j IS NULL), '') AS text FROM ln LEFT JOIN dr ON ln.r = dr.r AND ln.j = dr.j GROUP BY ln.r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(res.text) AS n_chars_kept, md5(res.text) AS text_md5 FROM d LEFT JOIN res ON d.r = res.r
 """

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -12,6 +12,7 @@ import pytest
 from colloquy.llm import line_templates as lt
 from colloquy.llm import near_copies as nc
 from colloquy.llm import simhash_golay as sg
+from colloquy.llm.common import F
 
 
 def brute(fps, radius=3):
@@ -108,33 +109,50 @@ def test_one_of_each_stays(spark, docs):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def plain_dedup(rows, exact, general):
-    """rows of (id, text) with different ids."""
-    seen, lines = defaultdict(set), []
-    for i, text in rows:
-        for j, line in enumerate((text or "").split("\n")):
-            for g, t in enumerate(lt.templates(line)):
-                seen[t].add(i)
-                lines.append((i, j, g, t))
+def plain_dedup(rows, share=lt.SHARE):
+    """By loops over (id, text), from the same definitions. Gives texts, and what each line's first documents are."""
+    docs = {(i, t) for i, t in rows}
+    at = [(doc, j, tuple(lt.masked(line))) for doc in docs for j, line in enumerate((doc[1] or "").split("\n")) if lt.masked(line)]
+    have, leaves = defaultdict(set), defaultdict(set)
+    for doc, _, w in at:
+        have[w].add(doc)
+        for k, (a, b) in enumerate(lt.runs(len(w))):
+            leaves[len(w), k, w[a:b]].add(w)
+    ways = defaultdict(set)
+    for w, its in have.items():
+        if len(its) > 1:
+            ways[w].add(min(i for i, _ in its))
+    for lines in leaves.values():
+        template = []
+        for column in zip(*lines, strict=True):
+            (t, c), *others = Counter(column).most_common(2)
+            template.append(t if not others or others[0][1] < c else None)
+        members = [w for w in lines if sum(x == y for x, y in zip(w, template, strict=True)) >= share * len(w)] if len(lines) > 1 else []
+        its = set().union(*(have[w] for w in members))
+        if len(its) > 1:
+            for w in members:
+                ways[w].add(min(i for i, _ in its))
     drop = defaultdict(set)
-    for i, j, g, t in lines:
-        if len(seen[t]) >= max(2, exact if g == 0 else general) and i != min(seen[t]):
-            drop[i].add(j)
-    return {i: t if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in drop[i]) for i, t in rows}
+    for doc, j, w in at:
+        if any(first != doc[0] for first in ways[w]):
+            drop[doc].add(j)
+    return [t if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in drop[i, t]) for i, t in rows]
 
 
 def test_lines_against_plain_version(spark, docs):
     from hard_cases import HARD
 
     r = random.Random(1)
-    words = [f"{w}" for w in "the of and to in is on with was at by from".split()]
+    words = "the of and to in is on with was at by from".split()
     prose = lambda n: " ".join(r.choice(words) for _ in range(n))
     log = lambda: f"host {r.choice('abcdef')} connected to the main server on port {r.randrange(9999)} after a long wait by {r.choice(words)}"
-    texts = ["\n".join([prose(30), "All rights reserved.", log(), prose(12)]) for _ in range(30)] + [prose(60)] * 3 + HARD
-    got = {row.doc_id: row for row in lt.dedup_lines(docs(texts)).collect()}
-    want = plain_dedup(list(enumerate(texts)), lt.EXACT, lt.GENERAL)
-    assert {i: row.text for i, row in got.items()} == want
-    assert sum(row.n_dropped for row in got.values()) > 50 and got[0].n_dropped == 0
+    post = lambda: f"posted by {r.choice('ghijkl')} in news"
+    texts = ["\n".join([prose(30), "All rights reserved.", log(), prose(12), post(), prose(5)]) for _ in range(30)] + [prose(60)] * 3 + HARD
+    ids = [i % 34 for i in range(len(texts))]  # some ids stand for several documents
+    got = {row.n_chars: row for row in lt.dedup_lines(docs(texts, ids).withColumn("n_chars", F.monotonically_increasing_id())).collect()}
+    want = plain_dedup(list(zip(ids, texts, strict=True)))
+    assert [got[k].text for k in sorted(got)] == want
+    assert sum(row.n_dropped for row in got.values()) > 80 and got[min(got)].n_dropped == 0
     assert lt.dedup_lines(docs([])).count() == 0
 
 
@@ -143,13 +161,27 @@ def test_lines_of_repeated_rows_and_passages(spark, docs):
     d = docs([passage + "\nown one", "own two\n" + passage, passage + "\nown one"], [1, 2, 1])
     got = sorted((r.doc_id, r.text) for r in lt.dedup_lines(d.withColumn("k_id", d.n_chars)).collect())
     assert got == [(1, passage + "\nown one"), (1, passage + "\nown one"), (2, "own two")]
+    none = sorted((r.doc_id is None, r.text) for r in lt.dedup_lines(docs(["same line here now", "same line here now\nx", "same line here now\ny"], [None, None, 3])).collect())
+    assert none == [(False, "same line here now\ny"), (True, ""), (True, "x")]
 
 
-def test_templates_generalise_fields():
-    a = "one two three four five six seven eight nine ten eleven alpha"
-    b = a.replace("alpha", "beta")
-    assert lt.templates(a)[0] != lt.templates(b)[0] and set(lt.templates(a)) & set(lt.templates(b))
-    assert lt.templates("job 17 done") == lt.templates("job 99 done") and lt.templates("  ") == []
+def lines_kept(spark, docs, *lines):
+    """Which of lines stay, each in a document of its own with a line of its own."""
+    unlike = "qwertyuiop"
+    got = lt.dedup_lines(docs([f"{unlike[i % 10] * (i + 1)}\n{x}" for i, x in enumerate(lines)])).orderBy("doc_id").collect()
+    return [r.n_dropped == 0 for r in got]
+
+
+def test_templates_generalise_fields(spark, docs):
+    assert lt.masked("job 17 done") == lt.masked("job 99 done") and lt.masked("  ") == []
+    assert lines_kept(spark, docs, "posted by alice in news", "posted by bob in news", "posted by carol in news") == [True, False, False]
+    passage = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}word" for i in range(60)]
+    changed = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(passage))
+    assert lines_kept(spark, docs, " ".join(passage), changed(30)) == [True, False]
+    assert lines_kept(spark, docs, " ".join(passage), changed(1), changed(2, 58)) == [True, False, False]
+    # alike in a leaf only, or in too little
+    assert lines_kept(spark, docs, "posted by alice in news", "posted by two old friends", "sold by alice on monday") == [True] * 3
+    assert lines_kept(spark, docs, "is that so", "is that all", "is that it") == [True] * 3
 
 
 def jaccard(a, b, n=5):
@@ -259,10 +291,16 @@ def test_groups_in_blocks_equal_brute_force(spark, docs, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))] and len(set(got.values())) > 5
 
 
-def test_spared_copies(spark, docs):
-    from pyspark.sql import functions as F
-
-    a = "\n".join(f"line number {'abcdefgh'[i]} of the first text" for i in range(8))
-    other = "All rights reserved today.\nquite another text with its own words\n"
-    got = {row.doc_id: row.text for row in lt.dedup_lines(docs([a, a + " x", other, other + "and more of its own kind " * 9]), spare=0.7).select("doc_id", F.col("text")).collect()}
-    assert got[0] == a and got[1] == a + " x" and got[2] == other and got[3] == "and more of its own kind " * 9
+def test_copies_lose_what_their_original_loses(spark, docs):
+    """Near copies of one earlier document keep its lines; a passage goes from short documents that are little else."""
+    passage = "one quite long passage of some words that stands in many a document of this kind and is all that they share"
+    own = [f"line {'abcdefghijklmnop'[i]}{'qrstuvwxyzabcdef'[i]} {'ghijklmnopqrstuv'[i] * 3} stands only in one document {'fedcbafedcbafedc'[i] * 4}" for i in range(12)]
+    a = "\n".join([*own, passage])
+    tail = lambda x: " ".join(f"{x}{c}{c}" for c in "abcdefghijk")
+    texts = [f"{tail('m')}\n" + passage, a, a.replace("stands only in one document ffff", "stands only in another document gggg"), a + "\nx", f"{tail('n')}\n" + passage, passage + f"\n{tail('o')}", "\n".join(own[:4]) + f"\n{tail('p')}"]
+    got = [r.text for r in lt.dedup_lines(docs(texts), copies=0.8).orderBy("doc_id").collect()]
+    without = lambda t: t.replace("\n" + passage, "")
+    assert got[0] == texts[0] and got[1] == without(a) and got[2] == without(texts[2]) and got[3] == without(texts[3])
+    assert got[4:] == [tail("n"), tail("o"), tail("p")]
+    plain = [r.text for r in lt.dedup_lines(docs(texts)).orderBy("doc_id").collect()]
+    assert plain[3] == "x" and plain[4] == tail("n")

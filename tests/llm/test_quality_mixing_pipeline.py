@@ -12,7 +12,6 @@ from hard_cases import DATA
 
 import corpus_pipeline
 from colloquy.llm import common, mixing, quality, queries
-from colloquy.llm.line_templates import templates
 
 
 def corpus(n, seed=0):
