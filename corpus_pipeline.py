@@ -20,8 +20,8 @@ from colloquy.shipping import ship
 MIX_SHARE = 0.8
 #: Words that a worker of the last stage remembers; the executors' memory is well used by then.
 WORDS = 250_000
-#: A document of which lines with this share of the characters recur is a copy; it is left whole to the near dedup.
-COPY_SHARE = 0.7
+#: A document that is so much like one earlier document, by its lines, is a copy, which the near dedup after the line dedup takes.
+COPIES = 0.8
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines whose template an earlier document holds; n_chars follows the text. Copies of
-    whole documents are left to the next stage, which would not know them by what little doesn't recur."""
+    """All documents, without lines whose template an earlier document holds; n_chars follows the text. Near copies of
+    a whole document lose what that one loses, and are left to the next stage, which would not know them by what little
+    doesn't recur."""
     ship(spark)
-    return dedup_lines(docs, spare=COPY_SHARE).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return dedup_lines(docs, copies=COPIES).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
