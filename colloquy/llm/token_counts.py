@@ -4,7 +4,8 @@ A text of over ``chunk`` characters is encoded in overlapping chunks by the libr
 neighbouring encodings are spliced at a stable common boundary inside their overlap; where the overlap has none,
 it is doubled and the right chunk is encoded anew, at worst from the left chunk's start, and then the left chunk
 grows. So an encoding spans little more than a chunk while boundaries can be found, and texts of any length take
-bounded memory beside the text. A text of one chunk has nothing to splice.
+bounded memory beside the text. A text of one chunk has nothing to splice; it is counted by its spans between stable
+boundaries.
 
 A boundary at character p is stable if p follows ASCII white space and precedes something else, for a tokenizer that
 drops white space before it merges: then no token spans p and no merge can look across it, and normalisation (NFC,
@@ -34,6 +35,10 @@ GROUP = 1_000_000
 OVER = 2_048
 SPACE = " \t\n\r"
 
+#: Spans that a task remembers; beyond, it starts over.
+MEMORY = 600_000
+
+SPAN = re.compile(r"[^ \t\n\r]+")
 BOUNDARY = re.compile(r"(?<=[ \t\n\r])(?=[^ \t\n\r])")
 
 #: A token of a text as encoded: start, end.
@@ -102,6 +107,7 @@ class Counter:
         self.tokenizer.no_padding()
         self.chunk, self.overlap = chunk, overlap
         self.seen: dict[str, int] = {}
+        self.known: dict[str, int] = {}
         self.splits = self.drops_space()
 
     def tokens(self, text: str) -> list[Part]:
@@ -121,7 +127,7 @@ class Counter:
         return True
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Texts of one chunk are encoded together, longer ones each by overlapping chunks."""
+        """Texts of over a chunk are encoded by overlapping chunks, each by itself, the others together."""
         out, group, held = [0] * len(texts), [], 0
         for i, text in enumerate(texts):
             if len(text) > self.chunk:
@@ -136,8 +142,21 @@ class Counter:
         return out
 
     def count_group(self, texts: list[str], group: list[int], out: list[int]) -> None:
-        for i, found in zip(group, self.tokenizer.encode_batch_fast([texts[i] for i in group], add_special_tokens=False), strict=True):
-            out[i] = len(found)
+        """Texts of one chunk have nothing to splice. Their counts are those of the spans between their stable boundaries;
+        spans recur, and are encoded once while they are remembered."""
+        if not self.splits:
+            for i, found in zip(group, self.tokenizer.encode_batch_fast([texts[i] for i in group], add_special_tokens=False), strict=True):
+                out[i] = len(found)
+            return
+        spans = [SPAN.findall(texts[i]) for i in group]
+        new = set().union(*spans).difference(self.known)
+        if len(self.known) + len(new) > MEMORY:
+            self.known.clear()
+            new = set().union(*spans)
+        listed = list(new)
+        self.known.update(zip(listed, map(len, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)), strict=True))
+        for i, found in zip(group, spans, strict=True):
+            out[i] = sum(map(self.known.__getitem__, found))
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", over: int = OVER, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
