@@ -182,11 +182,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with all their columns, one of each class of near copies: the one with the smallest id
-    (null ids last, then by the text's hash). Rows that repeat id and text are one class and leave one row."""
-    key = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
+    (null ids last, then by the text's hash). Null and empty texts are one class. Rows that repeat id and text are one
+    class and leave one row. An empty table gives an empty result."""
+    id_, hash_ = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
+    key = F.struct(id_.isNull().alias("none"), id_.alias("id"), hash_.alias("hash"))
     found = near_copies(docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "key", "text", shingle, similarity)
     winners = kept(found.where(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("rows")))
-    repeated = not winners.where("rows > 1").isEmpty()
-    w = winners.select(F.col("key.id").alias("w_id"), F.col("key.hash").alias("w_hash"))
-    out = docs.join(w, F.col(f"`{id_col}`").eqNullSafe(F.col("w_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("w_hash")), "left_semi")
-    return out.dropDuplicates([id_col, text_col]) if repeated else out
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), id_.alias("id"), hash_.alias("hash"))
+
+    def chosen(some: DataFrame) -> DataFrame:
+        w = some.select(F.col("key.id").alias("w_id"), F.col("key.hash").alias("w_hash"))
+        return rows.join(w, (F.col("hash") == F.col("w_hash")) & F.col("id").eqNullSafe(F.col("w_id")), "left_semi")
+
+    once = chosen(winners.where("rows = 1"))
+    repeated = winners.where("rows > 1")
+    if not repeated.isEmpty():  # only what repeats is gathered to leave one row of each
+        once = once.unionByName(chosen(repeated).dropDuplicates(["id", "hash"]))
+    return once.select("row.*")

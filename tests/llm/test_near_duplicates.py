@@ -230,6 +230,14 @@ def test_near_copies_by_similarity(spark, docs):
     assert nc.near_copies(docs([])).count() == 0
 
 
+def test_one_of_each_with_clashing_names_and_repeats(spark, docs):
+    d = docs(["a b c d e f g", "a b c d e f g", None, "", "other words are in this one"], [5, 5, None, 7, None])
+    for c in ("w_id", "w_hash", "key", "hash", "row", "id", "group", "node"):
+        d = d.withColumn(c, F.lit("x"))
+    got = nc.first_of_each(d)
+    assert got.columns == d.columns and sorted((r.doc_id is None, r.text or "") for r in got.collect()) == [(False, ""), (False, "a b c d e f g"), (True, "other words are in this one")]
+
+
 def test_twins_in_large_families_meet(spark, docs):
     r = random.Random(11)
     words = [f"w{i}" for i in range(5000)]
@@ -245,6 +253,41 @@ def test_twins_in_large_families_meet(spark, docs):
     assert [got[j] for _, j in twins] == [i for i, _ in twins] == [got[i] for i, _ in twins]
 
 
+def test_no_link_is_lost_in_large_buckets(spark, docs):
+    """Families whose members are about 0.8 alike, in buckets of over SMALL: what shares a key and is alike is joined."""
+    r = random.Random(23)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(6):
+        base = [r.choice(words) for _ in range(200)]
+        for _ in range(30):
+            u = list(base)
+            for _ in range(r.randrange(1, 4)):
+                u[r.randrange(200)] = r.choice(words)
+            texts.append(" ".join(u))
+    h = [nc.shingle_hashes(t, 5) for t in texts]
+    fps = np.array([[nc.majority(x), nc.majority(nc.mixed(x))] for x in h], np.int64)
+    buckets = defaultdict(set)
+    for i, k in zip(*nc.wide_keys(fps), strict=True):
+        buckets[int(k)].add(int(i))
+    assert sum(len(b) > sg.SMALL for b in buckets.values()) > 20
+    alike = {(i, j) for i, j in combinations(range(len(texts)), 2) if jaccard(texts[i], texts[j]) >= 0.8}
+    sharing = {p for b in buckets.values() for p in combinations(sorted(b), 2) if p in alike and sg.distance(fps[p[0]], fps[p[1]]) <= nc.RADIUS}
+    assert 300 < len(sharing) and 0.1 < len(alike) / (6 * 30 * 29 / 2) < 0.9
+    got = {row.doc_id: row.component_id for row in nc.near_copies(docs(texts)).collect()}
+    assert all(got[i] == got[j] for i, j in sharing)
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in sorted(alike):
+        parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert all(find(i) == find(got[i]) for i in got)
+
+
 def test_equal_fingerprints_are_compared(spark, docs):
     same = "again " * 300
     texts = [same + " ".join(f"{k}{i}" for i in range(40)) for k in "abc"]
