@@ -4,8 +4,8 @@ DataFrame operations only.
 Words are runs of a-z and 0-9 after lower-casing A-Z; shingles are three words, as the shortest notices have no
 more. Templates are put in classes by size: class S takes those of over S/2 and up to S shingles (S a power of
 two), and looks at windows of 2S shingle positions, one every S, so a passage of up to S + 1 positions lies in
-one window. A shingle that no template has can't be the smallest of a template's, so windows are hashed over the
-shingles that some template has; that only raises the similarity to a template.
+one window. A shingle that no template of a class has can't be the smallest of a template's there, so windows are hashed over the
+shingles that some template of the class has; that only raises the similarity to a template.
 
 Bands have one row each. A window W that holds 0.8 of a template T has a Jaccard similarity of at least
 0.8 |T| / (2S + 0.2 |T|) > 0.19 to it, so that none of 48 bands meets has a chance under 0.81^48 = 4e-5.
@@ -18,25 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import few, kept, table
+from colloquy.llm.license_texts import TEMPLATES
 from colloquy.llm.url_filter import LOWER, UPPER
 
 BANDS, CONTAINMENT = 48, 0.8
 
-#: Names and wordings of common notices.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("MIT", "Released under the MIT License"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
-    ("proprietary", "All rights reserved"),
-)
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -70,14 +56,13 @@ def license_scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id",
     sized = templates.select("license", words(F.col("text")).alias("w")).select("license", F.array_distinct(shingles("w")).alias("s")).where("s is not null")
     wordings = kept(sized.withColumn("template", F.monotonically_increasing_id()).withColumn("n", F.size("s")).withColumn("class", F.pow(2, F.ceil(F.log2(F.size("s")))).cast("int")))
     each = kept(wordings.select("template", "license", "n", "class", F.explode("s").alias("shingle")))
-    known = each.select("shingle").distinct()
+    known = kept(each.groupBy("shingle").agg(F.collect_set("class").alias("classes")))  # a class for each power of two
     n = known.count()
-    classes = [r[0] for r in wordings.select("class").distinct().collect()]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), words(F.col(f"`{text_col}`")).alias("w"))
     found = rows.select("id", "row", F.posexplode(shingles("w")).alias("pos", "shingle"))
     hits = kept(found.join(few(known, n), "shingle"))
-    window = F.explode(F.array(*(F.struct(F.lit(c).alias("class"), F.lit(k).alias("back")) for c in classes for k in (0, 1)))) if classes else F.explode(F.array().cast("array<struct<class:int,back:int>>"))
-    at = hits.withColumn("c", window).select("id", "row", "pos", "shingle", F.col("c.class").alias("class"), (F.floor(F.col("pos") / F.col("c.class")) - F.col("c.back")).alias("window"))
+    one = hits.select("id", "row", "pos", "shingle", F.explode("classes").alias("class"))
+    at = one.withColumn("window", F.explode(F.array(*((F.floor(F.col("pos") / F.col("class")) - k) for k in (0, 1)))))
     windows = at.groupBy("row", "class", "window").agg(*signature("shingle"))
     retrieved = banded(windows, "row", "class", "window").join(few(banded(each.groupBy("template", "class").agg(*signature("shingle")), "template", "class"), BANDS * n), ["class", "band"])
     candidates = retrieved.select("row", "class", "window", "template").distinct()
@@ -91,18 +76,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), spark.createDataFrame(list(TEMPLATES), "license string, text string"))
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 OP10_SQL = (
     """
-WITH templates(license, text) AS (VALUES """
-    + ", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES)
+WITH templates(template, license, text) AS (VALUES """
+    + ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, b) in enumerate(TEMPLATES))
     + """),
-t_words AS (SELECT license, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM templates),
-t_shingles AS (SELECT DISTINCT license, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS shingle FROM t_words),
-t AS (SELECT *, CAST(pow(2, ceil(log2(n))) AS BIGINT) AS class FROM (SELECT *, count(*) OVER (PARTITION BY license) AS n FROM t_shingles)),
+t_words AS (SELECT template, license, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM templates),
+t_shingles AS (SELECT DISTINCT template, license, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS shingle FROM t_words),
+t AS (SELECT *, CAST(pow(2, ceil(log2(n))) AS BIGINT) AS class FROM (SELECT *, count(*) OVER (PARTITION BY template) AS n FROM t_shingles)),
 d_words AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),
 d AS (SELECT doc_id, r, unnest(range(0, len(w) - 2)) AS pos, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS shingle FROM d_words),
-hits AS (SELECT doc_id, r, pos, shingle, license, n, pos // class - back AS win FROM d JOIN t USING (shingle) CROSS JOIN (VALUES (0), (1)) AS b(back)),
-held AS (SELECT doc_id, r, license, win, count(DISTINCT shingle) / any_value(n) AS share, min(pos) AS first_word FROM hits GROUP BY ALL HAVING share >= 0.8)
+hits AS (SELECT doc_id, r, pos, shingle, template, license, n, pos // class - back AS win FROM d JOIN t USING (shingle) CROSS JOIN (VALUES (0), (1)) AS b(back)),
+held AS (SELECT doc_id, r, template, license, win, count(DISTINCT shingle) / any_value(n) AS share, min(pos) AS first_word FROM hits GROUP BY ALL HAVING share >= 0.8)
 SELECT doc_id, license, max(share) AS containment, arg_min(first_word, (-share, first_word)) AS first_word FROM held GROUP BY doc_id, r, license
 """
 )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import numpy as np
 import pytest
 
@@ -151,3 +154,51 @@ def test_license_scan(spark, docs):
     assert by[0, "Apache-2.0"].containment == 1.0 and by[0, "Apache-2.0"].first_word == 0 and by[1, "GPL-3.0"].first_word == 100
     assert 0.8 <= by[2, "BSD"].containment < 1
     assert ls.license_scan(docs([]), t).count() == 0 and ls.license_scan(docs(texts), t.limit(0)).count() == 0
+
+
+def shingled(text):
+    w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+    return [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+
+
+def contained(text, wording):
+    """The share of a wording's shingles in the best window, and the first word there, by looking at every window."""
+    at, want = shingled(text), set(shingled(wording))
+    size = 1
+    while size < len(want):
+        size *= 2
+    best = (0.0, 0)
+    for w in range(-1, len(at) // size + 1):
+        held = [(p, s) for p, s in enumerate(at[max(0, w * size) : max(0, (w + 2) * size)], max(0, w * size)) if s in want]
+        if held:
+            best = max(best, (len({s for _, s in held}) / len(want), -held[0][0]))
+    return best[0], -best[1]
+
+
+@pytest.mark.parametrize("sizes", [(200, 260, 500), (1000, 2047, 3000), (3, 8, 33)])
+def test_licenses_of_all_sizes_equal_brute_force(spark, docs, sizes):
+    r = random.Random(sum(sizes))
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    templates = [(f"l{n}", " ".join(r.choice(vocabulary) for _ in range(n + 2))) for n in sizes]
+    texts = []
+    for _, wording in templates:
+        w = wording.split()
+        for _ in range(8):
+            part = w[: int(len(w) * r.uniform(0.7, 1))] if r.random() < 0.7 else list(w)
+            for _ in range(int(len(part) * r.uniform(0, 0.08))):
+                part[r.randrange(len(part))] = "changed"
+            before, after = ([r.choice(vocabulary) for _ in range(r.randrange(4 * len(w)))] for _ in range(2))
+            texts.append(" ".join(before + part + after))
+    got = {(x.doc_id, x.license): (x.containment, x.first_word) for x in ls.license_scan(docs(texts), spark.createDataFrame(templates, "license string, text string")).collect()}
+    want = {(i, name): contained(t, wording) for i, t in enumerate(texts) for name, wording in templates}
+    want = {k: v for k, v in want.items() if v[0] >= 0.8}
+    assert 5 < len(want) < len(texts) and got.keys() == want.keys()
+    assert all(got[k] == (pytest.approx(v[0]), v[1]) for k, v in want.items())
+
+
+def test_whole_license_texts(spark, docs):
+    texts = [f"Copyright someone\n\n{t}\n\nand then code" for _, t in ls.TEMPLATES]
+    got = {(r.doc_id, r.license): r.containment for r in ls.license_scan(docs(texts), spark.createDataFrame(list(ls.TEMPLATES), "license string, text string")).collect()}
+    assert all(got[i, name] == 1.0 for i, (name, _) in enumerate(ls.TEMPLATES))
+    two, three = (next(i for i, (n, _) in enumerate(ls.TEMPLATES) if n == f"BSD-{k}-Clause") for k in (2, 3))
+    assert (three, "BSD-2-Clause") in got and got.get((two, "BSD-3-Clause"), 0.8) < 1
