@@ -117,7 +117,7 @@ def plain_verdict(url, rules):
     return host, path, best and best[2], best[3] if best else "allow"
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7?x", "http://example.com/en/70", "http://notexample.com/en/7", "https://x.net/de/8#f", "https://example.net/de/8", "http://org/es/", "http://a.org/es", "ftp://é.org/es/É", "http://com", "http://b.com:80/en/", "http://q.com?/en/", "http://z.com/a\nb/en/", "x://y://z.com/en/"] + [f"http://h{i}.example.com/p/{i}" for i in range(300)]
     rules = [*uf.RULES, ("h7.example.com", "/p/7", "block"), ("EXAMPLE.com", "", "allow"), (None, "/x", "block"), ("", "", "block"), ("h9.example.com", None, "block")]
     pages = spark.createDataFrame([(i % 50, u, "h") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
@@ -128,6 +128,8 @@ def test_url_filter(spark):
     assert got == want
     assert uf.url_verdicts(pages, listed.limit(0)).where("verdict = 'block'").count() == 0
     assert uf.url_verdicts(pages.limit(0), listed).count() == 0
+    monkeypatch.setattr(uf, "LONGS", 0)  # a filter that is too large for the plan
+    assert sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in uf.url_verdicts(pages, listed).collect()) == want
 
 
 def test_bloom_never_misses(spark):
