@@ -1,21 +1,23 @@
 """SentencePiece encoding and decoding as a shortest path in a weighted finite-state transducer.
 
-The transducer is the composition of
-- the normaliser: white space to U+2581, with a dummy prefix, and with extra white space removed where the model says so;
-- the pieces: a loop of arcs that read a piece's characters and write its id, as a trie;
-- byte fallback: arcs that read one character which no piece holds, and write its UTF-8 bytes' ids (or the unknown id);
-- for a merge (BPE) model, an acceptor over ids: its states are the last piece, and a piece may follow another at
+Four machines are built from a model (tropical weights: sums along a path, the minimum across paths):
+- ``Normaliser``: a transducer that reads characters and writes symbols: white space as U+2581, with a dummy prefix, and extra
+  white space removed where the model says so;
+- ``Pieces``: a loop of arcs that read a piece's symbols and write its id, kept as a trie;
+- ``Bytes``: arcs that read one symbol which no piece holds, and write its UTF-8 bytes' ids (or the unknown id);
+- ``Follows``: an acceptor over ids. For a merge (BPE) model its states are the last piece, and a piece may follow another at
   weight zero if encoding the two together yields just these two, else at infinite weight. A sequence of pieces is
-  the merge encoding of what it spells if and only if all its neighbours pass, so one path alone stays finite.
-A unigram model's arcs weigh minus their score, and its acceptor is empty; its path is the cheapest segmentation.
+  the merge encoding of what it spells if and only if all its neighbours pass, so one path alone stays finite. For a unigram model it has
+  one state and weighs nothing; there the pieces' arcs weigh minus their score, and the path is the cheapest segmentation.
 
-Composition is lazy: states (position, last piece) are built as the search meets them, and each is expanded at
-most once. Weights are tropical (sum along a path, minimum across paths). For a merge model every finite path costs
-the same, so the first path that reaches the end is the shortest, and the search looks at long pieces first.
+A text is composed with them lazily: states are (position, state of the acceptor), built when a path reaches them. ``relaxed``
+relaxes them in the order of positions, for either kind of model. ``rest`` is the same recursion from the other end, for short spans: the cheapest
+way from a state to the end, remembered across words, as words share their ends; it stops at a way that weighs nothing, as none weighs less.
 
 Texts are composed in spans. No piece holds a pair of characters that never stand side by side in any piece, so no
 path crosses between such a pair; spans recur and are solved once for each worker. What is normalised is never
-cut, so texts of any length are encoded whole.
+cut, so texts of any length are encoded whole. Runs of nothing but white space, of which a merge model's pieces all score alike, are merged in the
+model's order, as there neighbours alone don't tell the order.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ SPACE = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGE = 1, 2
-#: Spans up to which the search remembers states across spans.
+INFINITE = float("inf")
+NONE: tuple[float, tuple[int, ...]] = (INFINITE, ())
+#: Spans up to which the search goes by remembered states; longer ones are relaxed from their start.
 SHORT = 32
 #: Words that a worker remembers; beyond, it starts over.
 MEMORY = 1_200_000
@@ -61,42 +65,91 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
 
 
-class Transducer:
-    def __init__(self, data: bytes, memory: int = MEMORY):
-        self.model = m = Model(data)
-        self.memory = memory
-        self.ids = {p: i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == NORMAL}
-        self.trie: list = [-1, {}]  # a node: the id of the piece that ends here or -1, and the next characters' nodes
-        for p, i in self.ids.items():
-            node = self.trie
+class Normaliser:
+    """Characters to symbols. States: START before anything is written, INSIDE, and GAP behind white space that is
+    written only if something follows it (where extra white space is removed)."""
+
+    START, INSIDE, GAP = range(3)
+
+    def __init__(self, prefix: bool, squeeze: bool):
+        self.prefix, self.squeeze = prefix, squeeze
+
+    def arc(self, state: int, c: str) -> tuple[int, str]:
+        """(next state, symbols) for reading a character; all arcs weigh nothing."""
+        if c == " " and self.squeeze:
+            return (state if state == self.START else self.GAP), ""
+        symbol = SPACE if c == " " else c
+        before = SPACE if state == self.GAP or state == self.START and self.prefix else ""
+        return self.INSIDE, before + symbol
+
+    def output(self, text: str) -> str:
+        state, out = self.START, []
+        for c in text:
+            state, symbols = self.arc(state, c)
+            out.append(symbols)
+        return "".join(out)
+
+
+class Pieces:
+    """The loop over pieces as a trie: a node is the id of the piece that ends there or -1, and the next symbols' nodes."""
+
+    def __init__(self, ids: dict[str, int], weights: list[float]):
+        self.root: list = [-1, {}]
+        self.weights = weights
+        self.longest = max(map(len, ids), default=0)
+        for p, i in ids.items():
+            node = self.root
             for c in p:
                 node = node[1].setdefault(c, [-1, {}])
             node[0] = i
-        self.characters = {c for p in self.ids for c in p}
-        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.longest = max(map(len, self.ids))
-        self.follows: dict[int, bool] = {}
-        self.prefixed: dict[str, tuple[int, ...]] = {}
-        self.bare: dict[str, tuple[int, ...]] = {}
-        self.states: dict[tuple[int, str], tuple[int, ...] | None] = {}
-        #: What each id spells; the bytes of longer UTF-8 sequences are put together in decode().
-        self.surface = [p.replace(SPACE, " ") if t == NORMAL else m.unknown_surface if t == UNKNOWN else "" for p, t in zip(m.pieces, m.types, strict=True)]
-        self.value = {i: b for b, i in m.bytes.items()}
-        self.high = {i for i, b in self.value.items() if b > 127}
-        for i, b in self.value.items():
-            self.surface[i] = chr(b) if b < 128 else ""
-        crossing = any(p[i] != SPACE and p[i + 1] == SPACE for p in self.ids for i in range(len(p) - 1))
-        self.words = re.compile("(?s).+" if crossing else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.by_lines = not (crossing or m.squeeze or "\n" in self.characters)
-        self.line_break = self.fallback("\n")
-        self.worst = min([m.scores[i] for i in self.ids.values()], default=0.0) - 10.0
 
-    def normalise(self, text: str) -> str:
-        if self.model.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        return (SPACE if self.model.prefix else "") + text.replace(" ", SPACE)
+    def arcs(self, span: str, at: int) -> list[tuple[int, int, float]]:
+        """(end, id, weight) of the pieces that start at a position, the longest first."""
+        following, end, out, weights = self.root[1], at, [], self.weights
+        for c in span[at : at + self.longest]:
+            node = following.get(c)
+            if node is None:
+                break
+            piece, following = node
+            end += 1
+            if piece >= 0:
+                out.append((end, piece, weights[piece]))
+        out.reverse()
+        return out
+
+
+class Bytes:
+    """What reads a symbol that no piece holds."""
+
+    def __init__(self, model: Model, weight: float):
+        self.bytes, self.unknown, self.weight = model.bytes, model.unknown, weight
+
+    def output(self, c: str) -> list[int]:
+        if self.bytes:
+            return [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
+        return [self.unknown]
+
+
+class Follows:
+    """The acceptor: ``weight(last, piece)`` is zero or infinite, ``state(piece)`` where reading a piece leads. -1 is the start."""
+
+    def __init__(self, model: Model, ids: dict[str, int]):
+        self.model, self.ids, self.merges = model, ids, model.kind == MERGE
+        self.known: dict[int, float] = {}
+
+    def state(self, piece: int) -> int:
+        return piece if self.merges else -1
+
+    def weight(self, last: int, piece: int) -> float:
+        if not self.merges:
+            return 0.0
+        key = last << 20 | piece if last >= 0 else -1 - piece
+        known = self.known.get(key)
+        if known is None:
+            pieces = self.model.pieces
+            whole, parts = (pieces[last] + pieces[piece], [last, piece]) if last >= 0 else (pieces[piece], [piece])
+            known = self.known[key] = 0.0 if self.merged(whole) == parts else INFINITE
+        return known
 
     def merged(self, text: str) -> list[int]:
         """Merges of best score, leftmost first; the acceptor's weights come from this, on two pieces at a time."""
@@ -111,108 +164,120 @@ class Transducer:
                 return [self.ids.get(p, -1) for p in parts]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def may_follow(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        known = self.follows.get(key)
-        if known is None:
-            p, q = self.model.pieces[a], self.model.pieces[b]
-            known = self.follows[key] = self.merged(p + q) == [a, b]
-        return known
 
-    def fallback(self, c: str) -> list[int]:
-        if self.model.bytes:
-            return [self.model.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
-        return [self.model.unknown]
+class Transducer:
+    """A model's machines and the search in their composition. ``merges`` counts the spans that were merged in the model's
+    order instead (runs of white space), ``relaxations`` the arcs that were relaxed."""
 
-    def arcs(self, span: str, at: int) -> list[tuple[int, int]]:
-        """(end, id) of the pieces that start at a position, the longest first."""
-        following, end, out = self.trie[1], at, []
-        for c in span[at : at + self.longest]:
-            node = following.get(c)
-            if node is None:
-                break
-            piece, following = node
-            end += 1
-            if piece >= 0:
-                out.append((end, piece))
-        out.reverse()
+    def __init__(self, data: bytes, memory: int = MEMORY):
+        self.model = m = Model(data)
+        self.memory = memory
+        self.ids = {p: i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == NORMAL}
+        worst = min([m.scores[i] for i in self.ids.values()], default=0.0) - 10.0
+        self.normaliser = Normaliser(m.prefix, m.squeeze)
+        self.pieces = Pieces(self.ids, [0.0 if m.kind == MERGE else -s for s in m.scores])
+        self.bytes = Bytes(m, 0.0 if m.kind == MERGE else -worst)
+        self.follows = Follows(m, self.ids)
+        self.merges = self.relaxations = 0
+        self.characters = {c for p in self.ids for c in p}
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.prefixed: dict[str, tuple[int, ...]] = {}
+        self.bare: dict[str, tuple[int, ...]] = {}
+        self.states: dict[tuple[int, str], tuple[float, tuple[int, ...]]] = {}
+        #: What each id spells; the bytes of longer UTF-8 sequences are put together in decode().
+        self.surface = [p.replace(SPACE, " ") if t == NORMAL else m.unknown_surface if t == UNKNOWN else "" for p, t in zip(m.pieces, m.types, strict=True)]
+        self.value = {i: b for b, i in m.bytes.items()}
+        self.high = {i for i, b in self.value.items() if b > 127}
+        for i, b in self.value.items():
+            self.surface[i] = chr(b) if b < 128 else ""
+        crossing = any(p[i] != SPACE and p[i + 1] == SPACE for p in self.ids for i in range(len(p) - 1))
+        self.words = re.compile("(?s).+" if crossing else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.by_lines = not (crossing or m.squeeze or "\n" in self.characters)
+        self.line_break = self.bytes.output("\n")
+
+    def arcs(self, span: str, at: int) -> list[tuple[int, int, float]]:
+        """(end, id, weight) of what reads symbols from a position on, the longest first; the bytes of a symbol that no piece holds
+        have the id -2."""
+        out = self.pieces.arcs(span, at)
+        if not out or out[-1][0] != at + 1:
+            out.append((at + 1, -2, self.bytes.weight))
         return out
 
     def path(self, span: str) -> tuple[int, ...]:
-        whole = self.ids.get(span)
-        if self.model.kind == UNIGRAM:
-            return self.cheapest(span)
-        if whole is not None and self.may_stand(whole):
-            return (whole,)
-        if len(span) == 1:
-            return tuple(self.fallback(span)) if whole is None else (whole,)
-        if span[0] == SPACE == span[-1] and set(span) == {SPACE}:  # its pieces may all score alike, then neighbours alone don't decide
+        """The ids on the shortest path."""
+        if self.model.kind == MERGE and span[0] == SPACE == span[-1] and len(span) > 1 and set(span) == {SPACE}:
             return tuple(self.merged_run(span))
-        if len(span) <= SHORT:
-            return self.rest(-1, span) or tuple(self.merged_run(span))
-        n, follows, arcs = len(span), self.follows, {}
-        seen: set[int] = set()
-        back: list[tuple[int, int, int]] = []  # position, last piece, next arc to try
-        position, last, nth = 0, -1, 0
-        while position < n:
-            here = arcs.get(position)
-            if here is None:
-                here = arcs[position] = self.arcs(span, position)
-            for k in range(nth, len(here)):
-                end, piece = here[k]
-                state = end << 20 | piece
-                if state in seen:
-                    continue
-                key = last << 20 | piece if last >= 0 else -1 - piece
-                fits = follows.get(key)
-                if fits is None:
-                    fits = self.may_follow(last, piece) if last >= 0 else self.may_stand(piece)
-                if fits:
-                    seen.add(state)
-                    back.append((position, last, k + 1))
-                    position, last, nth = end, piece, 0
-                    break
-            else:
-                if not back:  # no finite path: the pieces aren't closed under merging
-                    return tuple(self.merged_run(span))
-                position, last, nth = back.pop()
-        return (*(p for _, p, _ in back[1:]), last)
-
-    def rest(self, last: int, text: str) -> tuple[int, ...] | None:
-        """The finite path from the state (last piece, text left to read) to the end, None if there is none. Words
-        share their ends, so states are remembered across words."""
-        found = self.states.get((last, text), ())
-        if found != ():
+        if len(span) > SHORT:
+            weight, path = self.relaxed(span)
+        else:
+            weight, path = self.rest(-1, span)
+        if weight == INFINITE:  # no finite path: the pieces aren't closed under merging
+            return tuple(self.merged_run(span))
+        if -2 not in path:
+            return path
+        out: list[int] = []
+        at = 0
+        for piece in path:
+            out += self.bytes.output(span[at]) if piece == -2 else [piece]
+            at += 1 if piece == -2 else len(self.model.pieces[piece])
+        return tuple(out)
+
+    def relaxed(self, span: str) -> tuple[float, tuple[int, ...]]:
+        """(weight, ids) of the shortest path: states (position, acceptor's state) relaxed in the order of positions."""
+        n, weight, state = len(span), self.follows.weight, self.follows.state
+        reached: list[dict[int, tuple[float, int, int, int]]] = [{} for _ in range(n + 1)]  # weight, and from where by what
+        reached[0][-1] = (0.0, -1, -1, -1)
+        for at in range(n):
+            here = reached[at]
+            if not here:
+                continue
+            for end, piece, w in self.arcs(span, at):
+                to, there = state(piece) if piece >= 0 else -1, reached[end]
+                best = there.get(to, (INFINITE,))
+                for last, (so_far, *_) in here.items():
+                    self.relaxations += 1
+                    total = so_far + w + (weight(last, piece) if piece >= 0 else 0.0)
+                    if total < best[0]:
+                        best = (total, at, last, piece)
+                if best[0] < INFINITE:
+                    there[to] = best
+        if not reached[n]:
+            return INFINITE, ()
+        last = min(reached[n], key=lambda s: reached[n][s][0])
+        total, out, at = reached[n][last][0], [], n
+        while at:
+            _, at, last, piece = reached[at][last]
+            out.append(piece)
+        return total, tuple(reversed(out))
+
+    def rest(self, last: int, text: str) -> tuple[float, tuple[int, ...]]:
+        """(weight, ids) of the shortest way from the state (last piece, text left to read) to the end."""
+        found = self.states.get((last, text))
+        if found is not None:
             return found
-        follows, out = self.follows, None
-        for end, piece in self.arcs(text, 0):
-            key = last << 20 | piece if last >= 0 else -1 - piece
-            fits = follows.get(key)
-            if fits is None:
-                fits = self.may_follow(last, piece) if last >= 0 else self.may_stand(piece)
-            if fits:
-                if end == len(text):
-                    out = (piece,)
-                    break
-                behind = self.rest(piece, text[end:])
-                if behind:
-                    out = (piece, *behind)
-                    break
-        if last >= 0 and len(text) <= 6:
+        weight, state, best, n = self.follows.weight, self.follows.state, NONE, len(text)
+        for end, piece, w in self.arcs(text, 0):
+            self.relaxations += 1
+            step = w + (weight(last, piece) if piece >= 0 else 0.0)
+            if step >= best[0]:
+                continue
+            if end == n:
+                best = (step, (piece,))
+            else:
+                behind, path = self.rest(state(piece) if piece >= 0 else -1, text[end:])
+                if step + behind < best[0]:
+                    best = (step + behind, (piece, *path))
+            if best[0] <= 0.0:
+                break
+        if last >= 0 and n <= 6:
             if len(self.states) >= self.memory // 2:
                 self.states.clear()
-            self.states[last, text] = out
-        return out
-
-    def may_stand(self, piece: int) -> bool:
-        key = -1 - piece
-        known = self.follows.get(key)
-        if known is None:
-            known = self.follows[key] = self.merged(self.model.pieces[piece]) == [piece]
-        return known
+            self.states[last, text] = best
+        return best
 
     def merged_run(self, span: str) -> list[int]:
-        """The same merges as ``merged``, with a heap, for spans of any length."""
+        """Merges of best score, leftmost first, with a heap, for spans of any length."""
+        self.merges += 1
         text, nexts, befores = list(span), list(range(1, len(span) + 1)), list(range(-1, len(span) - 1))
         heap: list[tuple[float, int, int, int]] = []
 
@@ -234,25 +299,7 @@ class Transducer:
             offer(i)
             if befores[i] >= 0:
                 offer(befores[i])
-        return [i for p in text if p for i in ([self.ids[p]] if p in self.ids else self.fallback(p))]
-
-    def cheapest(self, span: str) -> tuple[int, ...]:
-        cost, back = [0.0] + [float("inf")] * len(span), [(0, -1)] * (len(span) + 1)
-        for i in range(len(span)):
-            arcs = self.arcs(span, i)
-            if not any(end == i + 1 for end, _ in arcs):
-                arcs.append((i + 1, -1))
-            for end, piece in arcs:
-                c = cost[i] - (self.model.scores[piece] if piece >= 0 else self.worst)
-                if c < cost[end]:
-                    cost[end], back[end] = c, (i, piece)
-        out: list[int] = []
-        at = len(span)
-        while at:
-            i, piece = back[at]
-            out += [piece] if piece >= 0 else self.fallback(span[i:at])[::-1]
-            at = i
-        return tuple(reversed(out))
+        return [i for p in text if p for i in ([self.ids[p]] if p in self.ids else self.bytes.output(p))]
 
     def spans(self, text: str) -> list[str]:
         """The normalised text cut wherever no piece can cross."""
@@ -292,7 +339,7 @@ class Transducer:
         if not text:
             return out
         if not self.by_lines or SPACE in text or "  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] == " ":
-            for word in self.words.findall(self.normalise(text)):
+            for word in self.words.findall(self.normaliser.output(text)):
                 one = word[:1] == SPACE and SPACE not in word[1:] and len(word) > 1
                 out += self.word(word[1:], True) if one else self.solve(word) if SPACE in word else self.word(word, False)
             return out

@@ -89,12 +89,43 @@ def test_pieces_equal_library(piece_model):
         ids = fst.encode(t)
         assert ids == lib.encode(t), t
         assert fst.decode(ids) == lib.decode(ids)
+    spaces = fst.merges
+    plain = random.Random(8)
+    for _ in range(400):  # no path but the shortest is taken outside runs of white space
+        t = "".join(plain.choice("abcdefgtion ,.éß") for _ in range(200)).replace("  ", " ").strip()
+        before = fst.relaxations
+        assert fst.encode(t) == lib.encode(t) and fst.relaxations > before
+    assert fst.merges == spaces
     r = random.Random(3)
     for _ in range(500):
         ids = [r.randrange(32_000) if r.random() < 0.4 else r.randrange(259) for _ in range(r.randrange(12))]
         assert fst.decode(ids) == lib.decode(ids)
 
 
+def test_both_searches_give_the_shortest_path(piece_model):
+    fst = sp.Transducer(piece_model)
+    r = random.Random(9)
+    for _ in range(600):
+        span = "".join(r.choice("abcdefghtinor") for _ in range(r.randrange(1, 20)))
+        assert fst.relaxed(span) == fst.rest(-1, span) and fst.relaxed(span)[0] == 0.0
+    words = [w for w in ("tokenisation", "internationalisation", "strength") if fst.characters.issuperset(w)]
+    for w in words:  # of all paths one alone is finite
+        finite, todo = [], [(0, -1, ())]
+        while todo:
+            at, last, path = todo.pop()
+            if at == len(w):
+                finite.append(path)
+                continue
+            todo += [(end, piece, (*path, piece)) for end, piece, _ in fst.arcs(w, at) if fst.follows.weight(last, piece) < sp.INFINITE]
+        assert finite == [fst.relaxed(w)[1]]
+
+
+def test_normaliser_states():
+    for prefix, squeeze, want in ((True, True, "▁a▁b"), (False, True, "a▁b"), (True, False, "▁▁a▁▁b▁"), (False, False, "▁a▁▁b▁")):
+        assert sp.Normaliser(prefix, squeeze).output(" a  b ") == want
+    assert sp.Normaliser(True, True).output("   ") == "" == sp.Normaliser(True, False).output("")
+
+
 def test_unigram_path_is_the_cheapest():
     from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -107,6 +138,16 @@ def test_unigram_path_is_the_cheapest():
         p.piece, p.score, p.type = piece, score, kind
     fst = sp.Transducer(proto.SerializeToString())
     spelt = lambda t: [fst.model.pieces[i] for i in fst.encode(t)]
+    r = random.Random(4)
+    for _ in range(200):
+        span = "".join(r.choice("abc") for _ in range(r.randrange(1, 14)))
+        a, b = fst.relaxed(span), fst.rest(-1, span)
+        assert a[0] == pytest.approx(b[0])
+        best = [0.0] + [sp.INFINITE] * len(span)  # by the textbook
+        for i in range(len(span)):
+            for end, _, w in fst.arcs(span, i):
+                best[end] = min(best[end], best[i] + w)
+        assert a[0] == pytest.approx(best[-1])
     assert spelt("aba") == ["a", "ba"] and spelt(" ab  ab ") == ["ab", "▁", "ab"] and spelt("c") == ["<unk>"]
 
 
