@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import few, kept, table, text_batches
 
 LEAST, THIRDS, SHARE = 5, 12, 0.75
+#: Keys of one long each that are broadcast at most.
+LONGS = 1_000_000
+MASK = 2**32 - 1
 FREE = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
 
@@ -51,17 +54,22 @@ def key_columns(id_col: str, text_col: str) -> list:
     return [F.col(f"`{id_col}`").alias("k_id"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("k_doc")]
 
 
+def hashed(words: list[bytes]) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(b" ".join(words)) - 2**63
+
+
 def parsed(docs: DataFrame, id_col: str, text_col: str, least: int, thirds: int) -> DataFrame:
-    """(k_id, k_doc, line, chars, all_chars, whole, leaves, tokens): a row for each line with tokens, what it holds as
+    """(k_id, k_doc, line, chars, all_chars, whole, leaves): a row for each line with tokens, what it holds as
     hashes; all_chars are those of the document's lines with tokens."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest, xxh32_intdigest
+        from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            at, number, chars, whole, leaves, ends, tokens, t_ends = array("i"), array("i"), array("i"), array("q"), array("q"), array("i", [0]), array("i"), array("i", [0])
-            every = array("i")
+            at, number, chars, every, whole, leaves, ends = array("i"), array("i"), array("i"), array("i"), array("q"), array("q"), array("i", [0])
             for i in range(batch.num_rows):
                 first = len(at)
                 for j, line in enumerate((batch.column(2)[i].as_py() or "").split("\n")):
@@ -72,63 +80,85 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, least: int, thirds: int)
                     at.append(i)
                     number.append(j)
                     chars.append(len(line))
-                    whole.append(xxh3_64_intdigest(b" ".join(words)) - 2**63)
-                    found = runs(n, least, thirds)
-                    for k, (a, b) in enumerate(found):
+                    whole.append(hashed(words))
+                    for k, (a, b) in enumerate(runs(n, least, thirds)):
                         leaves.append(xxh3_64_intdigest(b"%d\t%d\t%s" % (n, k, b" ".join(words[a:b]))) - 2**63)
                     ends.append(len(leaves))
-                    if found:
-                        tokens.extend([xxh32_intdigest(w) - 2**31 for w in words])
-                    t_ends.append(len(tokens))
                 total = sum(chars[first:])
                 every.extend([total] * (len(at) - first))
             rows = pa.array(at, pa.int32())
-            lists = lambda e, v, kind: pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v, kind))
-            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(chars, pa.int32()), pa.array(every, pa.int32()), pa.array(whole, pa.int64()), lists(ends, leaves, pa.int64()), lists(t_ends, tokens, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["k_id", "k_doc", "line", "chars", "all_chars", "whole", "leaves", "tokens"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaves, pa.int64()))
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number, pa.int32()), pa.array(chars, pa.int32()), pa.array(every, pa.int32()), pa.array(whole, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["k_id", "k_doc", "line", "chars", "all_chars", "whole", "leaves"])
 
-    schema = f"k_id {kind}, k_doc bigint, line int, chars int, all_chars int, whole bigint, leaves array<bigint>, tokens array<int>"
+    schema = f"k_id {kind}, k_doc bigint, line int, chars int, all_chars int, whole bigint, leaves array<bigint>"
     return docs.select(*key_columns(id_col, text_col), F.col(f"`{text_col}`").alias("text")).mapInArrow(parse, schema)
 
 
-def learnt(members: DataFrame, lines: DataFrame, share: float) -> DataFrame:
-    """(leaf, whole): the lines that belong to their leaf's template, from (leaf, whole) and each line's (whole, tokens)."""
-    at = kept(members.join(lines.select("whole", "tokens"), "whole").select("leaf", "whole", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token")))
-    counts = at.groupBy("leaf", "pos", "token").agg(F.count("*").alias("c"))
+def tokens_of(docs: DataFrame, text_col: str, wholes: DataFrame, least: int) -> DataFrame:
+    """(whole, tokens): each asked line once, its tokens as hashes of 32 bits. Lines are parsed again for it: only those in leaves
+    with something to learn need their tokens, and these are few."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh32_intdigest
+
+        for batch in batches:
+            found: dict[int, list[bytes]] = {}
+            for text in batch.column(0):
+                for line in (text.as_py() or "").split("\n"):
+                    words = masked(line)
+                    if len(words) >= least:
+                        found[hashed(words)] = words
+            tokens = [[xxh32_intdigest(w) - 2**31 for w in words] for words in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(tokens, pa.list_(pa.int32()))], ["whole", "tokens"])
+
+    every = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(parse, "whole bigint, tokens array<int>")
+    return every.join(few(wholes, limit=LONGS), "whole").dropDuplicates(["whole"])
+
+
+def learnt(members: DataFrame, tokens: DataFrame, thirds: int, share: float) -> DataFrame:
+    """(leaf, whole): the lines that belong to their leaf's template, from (leaf, k, whole), k the number of the run that
+    leads to the leaf, and each line's (whole, tokens). The run's own tokens are fixed, so only the others are counted."""
+    n, k = F.size("tokens"), F.col("k")
+    parts = F.when(n >= thirds, 3).otherwise(2)
+    start, end = F.floor(k * n / parts), F.floor((k + 1) * n / parts)
+    place = lambda t, i: F.when((i < F.col("start")) | (i >= F.col("end")), F.shiftleft(i.cast("bigint"), 32) + t.cast("bigint") + F.lit(2**31))
+    sized = members.join(tokens, "whole").select("leaf", "whole", "tokens", n.alias("n"), start.alias("start"), end.alias("end"))
+    at = kept(sized.select("leaf", "whole", "n", (F.col("end") - F.col("start")).alias("run"), F.filter(F.transform("tokens", place), lambda x: x.isNotNull()).alias("places")))
+    counts = at.select("leaf", F.explode("places").alias("place")).groupBy("leaf", "place").agg(F.count("*").alias("c"))
     # the token that leads, if one alone does: packed with its count into longs, largest and smallest token first
-    packed = lambda token: F.shiftleft(F.col("c"), 32) + token + F.lit(2**31)
-    tops = counts.groupBy("leaf", "pos").agg(F.max(packed(F.col("token").cast("bigint"))).alias("high"), F.max(packed(-F.col("token").cast("bigint") - 1)).alias("low"))
-    token = F.col("high").bitwiseAND(2**32 - 1) - 2**31
-    fixed = tops.where(token == -1 - (F.col("low").bitwiseAND(2**32 - 1) - 2**31)).select("leaf", "pos", token.cast("int").alias("token"))
-    held = at.join(fixed, ["leaf", "pos", "token"], "left_semi").groupBy("leaf", "whole", "n").agg(F.count("*").alias("held"))
-    return held.where(F.col("held") >= F.ceil(F.col("n") * share)).select("leaf", "whole")
+    token = F.col("place").bitwiseAND(MASK)
+    packed = lambda t: F.max(F.shiftleft(F.col("c"), 32) + t)
+    tops = counts.groupBy("leaf", F.shiftrightunsigned("place", 32).alias("pos")).agg(packed(token).alias("high"), packed(F.lit(MASK) - token).alias("low"))
+    high = F.col("high").bitwiseAND(MASK)
+    alone = tops.where(high == F.lit(MASK) - F.col("low").bitwiseAND(MASK))
+    templates = alone.groupBy("leaf").agg(F.collect_list(F.shiftleft(F.col("pos"), 32) + high).alias("fixed"))  # a place for each of the line's tokens at most
+    held = F.col("run") + F.size(F.array_intersect("places", "fixed"))
+    return at.join(templates, "leaf").where(held >= F.ceil(F.col("n") * share)).select("leaf", "whole")
 
 
-def recurring(lines: DataFrame, share: float) -> DataFrame:
+def recurring(docs: DataFrame, text_col: str, lines: DataFrame, least: int, thirds: int, share: float) -> DataFrame:
     """(whole, first, several): what recurs, the first document that has it, and whether that differs by the way it recurs."""
-    keys = lines.select("k_id", "k_doc", "whole", F.explode(F.concat(F.array("whole"), "leaves")).alias("key"))
-    stats = keys.groupBy("key").agg(F.min("k_id").alias("first"), F.min("k_doc").alias("low"), F.max("k_doc").alias("high"), F.min("whole").alias("least"), F.max("whole").alias("most"))
+    wholes = lines.groupBy("whole").agg(F.min("k_id").alias("first"), F.min("k_doc").alias("low"), F.max("k_doc").alias("high"))
+    exact = wholes.where("low <> high").select("whole", "first")
+    leaves = lines.select("whole", F.posexplode("leaves").alias("k", "leaf"))
     # of leaves only those with different lines have something to learn
-    several = kept(stats.where((F.col("low") != F.col("high")) & ((F.col("least") != F.col("most")) | (F.col("least") == F.col("key")))).select("key", "first", (F.col("least") != F.col("most")).alias("leaf")))
-    exact = several.where("not leaf").select(F.col("key").alias("whole"), "first")
-    open_ = several.where("leaf").select(F.col("key").alias("leaf"))
-    members = kept(lines.select("whole", F.explode("leaves").alias("leaf")).join(few(open_), "leaf").select("leaf", "whole").distinct())
-    wholes = members.select("whole").distinct()
-    # the lines in open leaves, each once: its documents first, its tokens from one of its rows
-    rows = lines.select("whole", "k_id", "k_doc", "tokens").join(few(wholes), "whole")
-    distinct = kept(rows.groupBy("whole").agg(F.min("k_id").alias("first"), F.min("k_doc").alias("low"), F.max("k_doc").alias("high"), F.first("tokens").alias("tokens")))
-    belongs = kept(learnt(members, distinct, share))
-    templates = belongs.join(distinct.select("whole", "first", "low", "high"), "whole").groupBy("leaf").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    open_ = kept(leaves.groupBy("leaf").agg(F.min("whole").alias("least"), F.max("whole").alias("most")).where("least <> most").select("leaf"))
+    members = kept(leaves.join(few(open_, limit=LONGS), "leaf").select("leaf", "k", "whole").distinct())
+    asked = kept(members.select("whole").distinct())
+    belongs = kept(learnt(members, tokens_of(docs, text_col, asked, least), thirds, share))
+    known = kept(lines.select("whole", "k_id", "k_doc").join(few(asked, limit=LONGS), "whole").groupBy("whole").agg(F.min("k_id").alias("first"), F.min("k_doc").alias("low"), F.max("k_doc").alias("high")))
+    templates = belongs.join(known, "whole").groupBy("leaf").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
     by_template = belongs.join(templates.select("leaf", "first"), "leaf").select("whole", "first")
     ways = exact.withColumn("exactly", F.lit(True)).unionByName(by_template.withColumn("exactly", F.lit(False)))
     found = ways.groupBy("whole").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.min(F.when(F.col("exactly"), F.col("first"))).alias("exact"))
     return kept(found.select("whole", F.coalesce("exact", "low").alias("first"), F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("several")))
 
 
-def dropped(lines: DataFrame, share: float) -> DataFrame:
+def dropped(lines: DataFrame, ways: DataFrame) -> DataFrame:
     """(k_id, k_doc, line, chars, all_chars, first, several): the lines that go."""
     # always dealt by line: a broadcast that ends at some number of lines would change the plan as data grow
-    again = lines.select("k_id", "k_doc", "line", "chars", "all_chars", "whole").join(recurring(lines, share).hint("merge"), "whole")
+    again = lines.select("k_id", "k_doc", "line", "chars", "all_chars", "whole").join(ways.hint("merge"), "whole")
     return again.where(F.col("several") | ~F.col("k_id").eqNullSafe(F.col("first"))).drop("whole")
 
 
@@ -159,7 +189,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     lines = kept(parsed(docs, id_col, text_col, least, thirds))
-    gone = dropped(lines, share)
+    gone = dropped(lines, recurring(docs, text_col, lines, least, thirds, share))
     if copies is not None:
         gone = kept(gone)
         met = gone.join(whole_copies(gone, lines, copies), (F.col("k_doc") == F.col("c_doc")) & F.col("k_id").eqNullSafe(F.col("c_id")), "left")
