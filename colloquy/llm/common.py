@@ -25,7 +25,8 @@ def ready(spark: SparkSession) -> None:
 
 
 def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Arrow batches of at most ``rows`` rows unless the session has its own number: whole texts may be long."""
+    """Arrow batches of at most ``rows`` rows unless the session has its own number: whole texts may be long. Their bytes
+    are bounded by the session's maxBytesPerBatch (64 MB unless set), so a batch of huge texts has fewer rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, rows)

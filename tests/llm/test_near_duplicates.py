@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
-from collections import Counter, defaultdict
+from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
 import pytest
+from plain_lines import plain_dedup
 
 from colloquy.llm import line_templates as lt
 from colloquy.llm import near_copies as nc
@@ -109,36 +110,6 @@ def test_one_of_each_stays(spark, docs):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def plain_dedup(rows, share=lt.SHARE):
-    """By loops over (id, text), from the same definitions. Gives texts, and what each line's first documents are."""
-    docs = {(i, t) for i, t in rows}
-    at = [(doc, j, tuple(lt.masked(line))) for doc in docs for j, line in enumerate((doc[1] or "").split("\n")) if lt.masked(line)]
-    have, leaves = defaultdict(set), defaultdict(set)
-    for doc, _, w in at:
-        have[w].add(doc)
-        for k, (a, b) in enumerate(lt.runs(len(w))):
-            leaves[len(w), k, w[a:b]].add(w)
-    ways = defaultdict(set)
-    for w, its in have.items():
-        if len(its) > 1:
-            ways[w].add(min(i for i, _ in its))
-    for lines in leaves.values():
-        template = []
-        for column in zip(*lines, strict=True):
-            (t, c), *others = Counter(column).most_common(2)
-            template.append(t if not others or others[0][1] < c else None)
-        members = [w for w in lines if sum(x == y for x, y in zip(w, template, strict=True)) >= share * len(w)] if len(lines) > 1 else []
-        its = set().union(*(have[w] for w in members))
-        if len(its) > 1:
-            for w in members:
-                ways[w].add(min(i for i, _ in its))
-    drop = defaultdict(set)
-    for doc, j, w in at:
-        if any(first != doc[0] for first in ways[w]):
-            drop[doc].add(j)
-    return [t if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in drop[i, t]) for i, t in rows]
-
-
 def test_lines_against_plain_version(spark, docs):
     from hard_cases import HARD
 

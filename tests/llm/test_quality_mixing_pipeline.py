@@ -9,6 +9,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 from hard_cases import DATA
+from plain_lines import plain_dedup
 
 import corpus_pipeline
 from colloquy.llm import common, mixing, quality, queries
@@ -284,17 +285,8 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     kept = set(ids["quality_classifier"])
     assert not [i for i, bad in labels.items() if not bad and i not in kept]
 
-    seen = defaultdict(set)
-    for r in rows["quality_classifier"]:
-        for line in r.text.split("\n"):
-            for t in templates(line):
-                seen[t].add(r.doc_id)
-    for r, cleaned in zip(rows["quality_classifier"], rows["line_dedup"], strict=True):
-        lines = r.text.split("\n")
-        stay = [x for x in lines if not any(len(seen[t]) >= (2 if g == 0 else 4) and min(seen[t]) != r.doc_id for g, t in enumerate(templates(x)))]
-        gone = sum(map(len, lines)) - sum(map(len, stay))
-        want = r.text if gone >= corpus_pipeline.COPY_SHARE * sum(map(len, lines)) else "\n".join(stay)
-        assert (cleaned.doc_id, cleaned.text, cleaned.n_chars) == (r.doc_id, want, len(want))
+    want = plain_dedup([(r.doc_id, r.text) for r in rows["quality_classifier"]], copies=corpus_pipeline.COPIES)
+    assert [(r.doc_id, r.text, r.n_chars) for r in rows["line_dedup"]] == [(r.doc_id, t, len(t)) for r, t in zip(rows["quality_classifier"], want, strict=True)]
 
     texts = {r.doc_id: shingled(r.text) for r in rows["line_dedup"]}
     likeness = lambda a, b: len(texts[a] & texts[b]) / len(texts[a] | texts[b])
@@ -307,3 +299,22 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     assert [i for i, _ in want] == ids["source_mixing"] == ids["sentencepiece_encoding"]
     assert all(r.exact for r in rows["sentencepiece_encoding"])
     assert len(corpus_pipeline.STAGES) == 5
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_of_hard_tables(spark, docs, tmp_path, empty):
+    from hard_cases import HARD
+
+    d = docs([] if empty else [*HARD, *HARD, "a text of its own"], [None if i < 2 else i // 2 for i in range(2 * len(HARD))] + [99])
+    for c in ("w_id", "w_hash", "k1", "row", "evidence", "epoch", "leaf", "whole", "node"):
+        d = d.withColumn(c, common.F.lit("x"))
+    columns, n = d.columns, d.count()
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, d, str(DATA)).write.parquet(str(tmp_path / name))
+        d = spark.read.parquet(str(tmp_path / name))
+        assert d.count() <= n
+        n = d.count()
+        if name != "sentencepiece_encoding":
+            assert d.columns == columns
+    assert (n == 0) == empty and d.where("not exact").count() <= 1
