@@ -1,4 +1,7 @@
-"""A corpus pipeline: documents in, token ids out. Each stage is written as Parquet and read again by the next."""
+"""A corpus pipeline: documents in, token ids out. Each stage is written as Parquet and read again by the next.
+
+All stages take null, empty and very long texts, null and repeated ids, empty tables, and further columns of any name,
+which all but the last give back."""
 
 from __future__ import annotations
 
@@ -25,7 +28,8 @@ COPIES = 0.8
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't take for low quality or toxic."""
+    """Documents that the classifier doesn't take for low quality or toxic. Each row is judged by itself; null and
+    empty texts are judged as empty ones, null sources and languages are sites of their own."""
     ship(spark)
     return accepted(docs, bad_labels(spark, sf_dir))
 
@@ -33,26 +37,28 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines whose template an earlier document holds; n_chars follows the text. Near copies of
     a whole document lose what that one loses, and are left to the next stage, which would not know them by what little
-    doesn't recur."""
+    doesn't recur. Null texts stay null; rows that repeat id and text are one document and are cleaned alike."""
     ship(spark)
     return dedup_lines(docs, copies=COPIES).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: similarity 0.8 or more on five-word shingles."""
+    """One document of each class of near copies: similarity 0.8 or more on five-word shingles. Null and empty texts are
+    one class; rows that repeat id and text leave one row."""
     ship(spark)
     return first_of_each(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target weights take."""
+    """The documents that the target weights take. Null sources and languages count as empty names; null and empty texts weigh
+    nothing and go with the prefix that they stand in."""
     ship(spark)
     weights = spark.createDataFrame(list(WEIGHTS), "domain string, lang string, source string, weight double")
     return mix(docs, weights, share=MIX_SHARE, epochs=1).select("row.*")
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, checked by decoding them."""
+    """Each document's token ids, checked by decoding them; none for null and empty texts."""
     ship(spark)
     return pieces_of(docs, model_bytes(), memory=WORDS)
 
