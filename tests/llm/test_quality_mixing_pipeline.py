@@ -266,6 +266,19 @@ def test_query_equals_sql(spark, name):
     assert key(a) == key(b) and len(a)
 
 
+def test_sql_of_repeated_rows(spark, docs):
+    from colloquy.llm import line_templates, topk_fagin
+
+    d = docs(["same line in both here\nown one", "same line in both here\nown one", "same line in both here\nown two", "", "x"], [1, 1, 2, 3, 3])
+    c = duckdb.connect()
+    c.register("documents", d.toPandas())
+    got = line_templates.dedup_lines(d.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", common.F.md5("text").alias("text_md5"))
+    assert sorted(map(tuple, got.collect())) == sorted(c.execute("SELECT doc_id, n_lines, n_dropped, text_md5 FROM (" + line_templates.OP7_SQL + ")").fetchall())
+    v = spark.createDataFrame([(0, [0.5, 0.25], 0), (0, [0.5, 0.25], 0), (100, [0.25, -1.0], 0), (7, [1.0, 1.0], 0)], "vec_id bigint, embedding array<float>, label int")
+    c.register("embeddings", v.toPandas())
+    assert sorted(map(tuple, topk_fagin.exact_top_k(v).collect())) == sorted(c.execute(topk_fagin.OP3_SQL).fetchall())
+
+
 def shingled(text):
     w = text.lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
