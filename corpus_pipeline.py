@@ -75,11 +75,20 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4()}"
     docs = table(spark, sf_dir, "documents")
+    read = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if read:  # what the stage was read from is needed no more
+            remove(spark, read)
+        read = f"{folder}/{name}"
     return docs
