@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import few, kept, table
+from colloquy.llm.common import BROADCAST_ROWS, few, kept, table
 
 LEVELS = ("domain", "lang", "source")
 SEED, SHARE, EPOCHS = 17, 0.7, 2
@@ -120,11 +120,17 @@ def mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", domain: Col
     tokens = tokens if tokens is not None else text_tokens(F.col("text"))
     weights = weights.withColumn("weight", F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.0)))
     taken, n = decisions(docs, weights, id_, levels, tokens, share, epochs, seed)
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), id_.alias("id"), tokens.alias("n_tokens"), *(F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in levels.items()))
-    joined = row.join(few(taken, n), list(LEVELS))
+    named = [id_.alias("id"), *(F.coalesce(c.cast("string"), F.lit("")).alias(k) for k, c in levels.items())]
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), tokens.alias("n_tokens"), *named)
     in_part = F.coalesce(place(F.col("whole"), F.col("id"), seed) <= F.col("last"), F.lit(False))
-    count = F.col("whole") + in_part.cast("int")
-    out = joined.withColumn("epoch", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))))
+    count = (F.col("whole") + in_part.cast("int")).alias("times")
+    if n <= BROADCAST_ROWS:
+        counted = row.join(F.broadcast(taken), list(LEVELS)).select("*", count)
+    else:  # leaves meet ids first, as rows with their texts would gather by leaf; what is taken of a leaf comes by keys of its own
+        keys = [F.xxhash64("id", *LEVELS).alias("k1"), F.xxhash64(*LEVELS, "id", F.lit(1)).alias("k2")]
+        times = docs.select(*named).join(taken, list(LEVELS)).select(*keys, count).where("times > 0").distinct()
+        counted = row.select("*", *keys).join(times, ["k1", "k2"])
+    out = counted.where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
     return out.select("row", *(F.col(k).alias(f"{k}_") for k in LEVELS), "epoch", "n_tokens")
 
 

@@ -227,6 +227,8 @@ def test_mixing_equals_plain_version(spark, monkeypatch, share, epochs):
     got = sorted((r.doc_id, r.epoch) for r in mixing.mix(docs, w, share=share, epochs=epochs).select("row.doc_id", "epoch").collect())
     want = plain_mix(rows, mixing.WEIGHTS, share, epochs, mixing.SEED)
     assert got == want and want
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)  # as with very many leaves
+    assert sorted((r.doc_id, r.epoch) for r in mixing.mix(docs, w, share=share, epochs=epochs).select("row.doc_id", "epoch").collect()) == want
 
 
 def test_what_weighs_nothing_is_no_capacity(spark):
