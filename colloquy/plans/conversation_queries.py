@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.functions import lexicon as lex
 from colloquy.functions import rules
-from colloquy.operators import annotate, edges, entities, evaluate, facts, samples, search, sessions, threads
+from colloquy.operators import annotate, edges, entities, evaluate, facts, resolve, samples, search, sessions, threads
 from colloquy.sources.adapters import C_SQL, E_REPLY_SQL, conversation_messages, event_messages
 
 QUERIES, ORACLE = {}, {}
@@ -434,3 +435,88 @@ def name_candidates(spark, d):
 @query(f"WITH {C_SQL} SELECT sender, (k - 1) // 20 AS chunk, string_agg(content, chr(10) ORDER BY msg_id) AS text FROM (SELECT *, row_number() OVER (PARTITION BY sender ORDER BY msg_id) AS k FROM c) WHERE k <= 500 GROUP BY ALL")
 def sample_text(spark, d):
     return samples.sample_text(conversation_messages(spark, d), "sender", 20, 25)
+
+
+# ---- names at size: the messages' short words, spelt with a character for each letter, and as abbreviations
+
+ALPHABET, HAN_LETTERS = "abcdefghijklmnopqrstuvwxyz", "阿波茨德额佛哥喝衣鸡科了摸呢哦坡器日思特屋迂乌西呀资"
+NAME_TABLE = dict(zip(HAN_LETTERS, ALPHABET, strict=True))
+NAME_ENDS, NAME_TITLES = ("额日", "衣呢", "特"), ("额日", "特")
+TABLE_SQL = f"'{HAN_LETTERS}', '{ALPHABET}'"
+
+
+def end_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with({c}, '{s}') AND length({c}) > {len(s)} THEN substr({c}, 1, length({c}) - {len(s)})" for s in NAME_ENDS) + f" ELSE {c} END"
+
+
+HAN_COUNT = r"length(regexp_replace({0}, '[^\x{{4e00}}-\x{{9fff}}]', '', 'g'))"
+SHORT_SQL = "(regexp_matches(lower({0}), '^[a-z]{{2,4}}$') AND length({1}) >= 2 AND length({0}) = length({1}) AND lower(translate({1}, " + TABLE_SQL + ")) = lower({0}))"
+WORD_NAMES_SQL = f"""{C_SQL}, ws AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(content), '[^a-z]+')) AS w FROM c),
+nm AS (SELECT translate(w, '{ALPHABET}', '{HAN_LETTERS}') AS name FROM ws WHERE length(w) BETWEEN 2 AND 4 UNION SELECT w FROM ws WHERE length(w) = 2),
+nf AS (SELECT name, {end_sql('name')} AS n, {like_any('name', NAME_TITLES)} AS titled FROM nm),
+np AS (SELECT a.name AS e1, b.name AS e2, a.n AS n1, b.n AS n2, a.titled AS t1, b.titled AS t2, CASE WHEN length(a.n) < length(b.n) THEN a.n ELSE b.n END AS shorter, greatest(length(a.n), length(b.n)) AS longest,
+    {HAN_COUNT.format('a.n')} > 0 AND {HAN_COUNT.format('b.n')} > 0 AS han FROM nf a JOIN nf b ON a.name < b.name)
+SELECT e1, e2, m.c::DOUBLE AS confidence, m.r AS reason FROM (SELECT e1, e2, CASE WHEN n1 = n2 THEN {{'c': 1.0, 'r': 'identical'}}
+  WHEN (contains(n1, n2) OR contains(n2, n1)) AND {HAN_COUNT.format('shorter')} >= 2 AND longest <= 3 * length(shorter) THEN {{'c': 0.85, 'r': 'substring'}}
+  WHEN han AND regexp_replace(n1, '[a-zA-Z]+$', '') = regexp_replace(n2, '[a-zA-Z]+$', '') THEN {{'c': 0.95, 'r': 'name+title'}}
+  WHEN {SHORT_SQL.format('n1', 'n2')} THEN {{'c': 0.9, 'r': 'abbrev:' || n1 || '→' || n2}}
+  WHEN {SHORT_SQL.format('n2', 'n1')} THEN {{'c': 0.9, 'r': 'abbrev:' || n2 || '→' || n1}}
+  WHEN han AND substr(n1, 1, 1) = substr(n2, 1, 1) AND ((t1 AND length(n2) <= 3) OR (t2 AND length(n1) <= 3)) THEN {{'c': 0.7, 'r': 'surname+title'}} END AS m FROM np) WHERE m IS NOT NULL"""
+
+
+def word_names(spark, d):
+    w = conversation_messages(spark, d).select(F.explode(F.split(F.lower("content"), "[^a-z]+")).alias("w")).distinct()
+    spelt = w.where(F.length("w").between(2, 4)).select(F.translate("w", ALPHABET, HAN_LETTERS).alias("name"))
+    return spelt.union(w.where(F.length("w") == 2)).distinct()
+
+
+@query(f"WITH {WORD_NAMES_SQL}")
+def name_pairs(spark, d):
+    return resolve.candidates(word_names(spark, d), NAME_TABLE, titles=NAME_TITLES, suffixes=NAME_ENDS)
+
+
+@query(f"WITH {C_SQL} SELECT msg_id, 5 - 2 * bad AS style, bad AS issues FROM (SELECT msg_id, contains(content, 'tion')::INT + contains(content, 'the')::INT AS bad FROM c) WHERE bad > 0 AND 5 - 2 * bad >= 1")
+def style_failures(spark, d):
+    s = conversation_messages(spark, d).withColumn("s", rules.style_score(F.col("content"), rules.Style("tion", ("the",), (), "\x00"))).where(~F.col("s.passed"))
+    return s.select("msg_id", F.col("s.style_score").alias("style"), F.size("s.issues").alias("issues"))
+
+
+@query(f"WITH {C_SQL}, {MEN_SQL} SELECT m.msg_id, m.entity FROM men m JOIN c ON c.msg_id = m.msg_id WHERE c.sender_role = 'target'")
+def annotated_mentions(spark, d):
+    c = conversation_messages(spark, d).where("sender_role = 'target'").withColumn("context", F.lit("x"))
+    return annotate.mentioned(annotate.ContextRules(NAMES, NEUTRAL, WARM, COLD).annotate(c))
+
+
+RELEVANCE_SQL = f"""{CR_SQL}, fb AS (SELECT *, max(CASE WHEN sender_role = 'self' THEN msg_id END) OVER (PARTITION BY source_file ORDER BY msg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM cr),
+cx AS (SELECT f.msg_id, f.content, x.content AS context, trim(f.content) AS t FROM fb f LEFT JOIN cr r ON r.msg_id = f.reply_to AND r.sender_role = 'self' LEFT JOIN cr x ON x.msg_id = coalesce(r.msg_id, f.latest) WHERE f.sender_role = 'target'),
+em AS (SELECT msg_id, coalesce(context, '') = '' AS alone, CASE WHEN {like_any("t", NEUTRAL)} AND NOT {like_any("t", WARM)} THEN 'neutral_ack' WHEN {like_any("t", WARM)} THEN 'warm_reply' WHEN length(t) <= 8 AND {like_any("t", COLD)} THEN 'cold_response' ELSE 'neutral' END AS emotion,
+    len(list_intersect(list_transform(range(1, greatest(length(content) - 1, 1) + 1), lambda i: substr(content, i, 2)), list_transform(range(1, greatest(length(coalesce(context, '')) - 1, 1) + 1), lambda i: substr(coalesce(context, ''), i, 2)))) > 0 AS shares FROM cx)"""
+
+
+@query(
+    f"""WITH {RELEVANCE_SQL} SELECT msg_id, emotion, CASE WHEN alone THEN 'topic_opener' WHEN emotion = 'cold_response' THEN 'deflecting' WHEN emotion = 'neutral_ack' THEN 'ending' WHEN shares OR emotion = 'warm_reply' THEN 'response' ELSE 'standalone' END AS conversation_role,
+  CASE WHEN alone THEN 'topic_shift' WHEN emotion = 'neutral_ack' THEN 'acknowledgment' WHEN emotion = 'cold_response' THEN 'deflecting' WHEN emotion = 'warm_reply' THEN 'emotional_response' WHEN shares THEN 'direct_answer' ELSE 'topic_shift' END AS context_relevance FROM em"""
+)
+def context_annotations(spark, d):
+    rows = annotate.with_context(threaded(spark, d))
+    return annotate.ContextRules(NAMES, NEUTRAL, WARM, COLD).annotate(rows).select("msg_id", "emotion", "conversation_role", "context_relevance")
+
+
+# ---- the default fact rules, on texts that hold each of their patterns
+
+DEFAULT_TEXTS = [(i, p.removeprefix("re:").replace(".*", "x")) for i, p in enumerate(p for r in lex.FACT_RULES for p in r[2])]
+
+
+def rule_sql(words) -> str:
+    return "(" + " OR ".join(f"regexp_matches(content, '{w[3:]}')" if w.startswith("re:") else f"contains(content, '{w}')" for w in words) + ")"
+
+
+@query(
+    "WITH m(i, content) AS (VALUES "
+    + ", ".join(f"({i}, '{t}')" for i, t in DEFAULT_TEXTS)
+    + ") "
+    + " UNION ALL ".join(f"SELECT i AS source_msg_id, '{c}' AS category, '{p}' AS predicate FROM m WHERE {rule_sql(pos)}" + (f" AND NOT {rule_sql(neg)}" if neg else "") for c, p, pos, neg in lex.FACT_RULES)
+)
+def default_facts(spark, d):
+    m = spark.createDataFrame([(i, "p", "self", t) for i, t in DEFAULT_TEXTS], "msg_id int, sender string, sender_role string, content string")
+    return facts.extract(m).select("source_msg_id", "category", "predicate")
