@@ -22,6 +22,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from colloquy.llm.common import few, kept, table, text_batches
 LEAST, THIRDS, SHARE = 5, 12, 0.75
 #: Keys of one long each that are broadcast at most.
 LONGS = 1_000_000
+#: Bytes of the bitmap of lines whose tokens are asked for; a power of two.
+SIEVE = 1 << 19
 MASK = 2**32 - 1
 FREE = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
@@ -95,12 +98,23 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, least: int, thirds: int)
     return docs.select(*key_columns(id_col, text_col), F.col(f"`{text_col}`").alias("text")).mapInArrow(parse, schema)
 
 
+def sieve(wholes: DataFrame) -> bytes:
+    """A bitmap of ``SIEVE`` bytes, whatever the number of lines: a line whose bit isn't set is none of them."""
+    at = F.col("whole").bitwiseAND(8 * SIEVE - 1)
+    word = wholes.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(whole & 63L as int))")).alias("bits"))
+    bits = np.zeros(SIEVE // 8, np.int64)
+    for r in word.collect():  # the bitmap's words at most
+        bits[r["word"]] = r["bits"]
+    return bits.tobytes()
+
+
 def tokens_of(docs: DataFrame, text_col: str, wholes: DataFrame, least: int) -> DataFrame:
-    """(whole, tokens): each asked line once, its tokens as hashes of 32 bits. Lines are parsed again for it: only those in leaves
-    with something to learn need their tokens, and these are few."""
+    """(whole, tokens): each asked line once, its tokens as checksums of 32 bits. Lines are parsed again for it: only those in leaves
+    with something to learn need their tokens, and these are few. A bitmap keeps most others from being looked up."""
+    bitmap = sieve(wholes)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh32_intdigest
+        from zlib import crc32
 
         for batch in batches:
             found: dict[int, list[bytes]] = {}
@@ -108,9 +122,12 @@ def tokens_of(docs: DataFrame, text_col: str, wholes: DataFrame, least: int) ->
                 for line in (text.as_py() or "").split("\n"):
                     words = masked(line)
                     if len(words) >= least:
-                        found[hashed(words)] = words
-            tokens = [[xxh32_intdigest(w) - 2**31 for w in words] for words in found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(tokens, pa.list_(pa.int32()))], ["whole", "tokens"])
+                        h = hashed(words)
+                        bit = h & (8 * SIEVE - 1)
+                        if bitmap[bit >> 3] >> (bit & 7) & 1:
+                            found[h] = words
+            tokens = [np.fromiter(map(crc32, words), np.uint32, len(words)).view(np.int32) for words in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(tokens, pa.list_(pa.int32()))], ["whole", "tokens"])
 
     every = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(parse, "whole bigint, tokens array<int>")
     return every.join(few(wholes, limit=LONGS), "whole").dropDuplicates(["whole"])
@@ -171,7 +188,7 @@ def whole_copies(gone: DataFrame, lines: DataFrame, similarity: float) -> DataFr
     like = by.join(lost.withColumnRenamed("k_id", "l_id").withColumnRenamed("k_doc", "l_doc"), (F.col("k_doc") == F.col("l_doc")) & F.col("k_id").eqNullSafe(F.col("l_id")))
     mine = like.select(F.col("k_id").alias("c_id"), F.col("k_doc").alias("c_doc"), F.col("_m.first").alias("original"), F.col("_m.shared").alias("shared"), (F.col("all") - F.col("lost") + F.col("_m.shared")).alias("rest"))
     left = lines.groupBy(F.col("k_id").alias("original"), "k_doc").agg(F.max("all_chars").alias("all")).join(lost.select("k_doc", "lost"), "k_doc", "left")
-    theirs = left.groupBy("original").agg(F.max(F.col("all") - F.coalesce("lost", F.lit(0))).alias("other"))
+    theirs = kept(left.groupBy("original").agg(F.max(F.col("all") - F.coalesce("lost", F.lit(0))).alias("other")))  # on its own, so that a document with very many copies can be split
     near = mine.where(F.col("shared") >= similarity * F.col("rest")).join(theirs, "original")
     return near.where(F.col("shared") >= similarity * (F.col("rest") + F.col("other") - F.col("shared"))).select("c_id", "c_doc", "original")
 

@@ -172,7 +172,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = classes.where("n > 0")
     near = components(links(full.select("a", "b").distinct(), RADIUS, keys=wide_keys)).select(F.col("node").alias("fp"), "root")
     members = kept(full.join(near, "fp", "left").select(F.coalesce("root", "fp").alias("group"), "node", "some", "n"))
-    groups = members.groupBy("group").agg(F.count("*").alias("texts"), F.ceil(F.sum("n") / BLOCK).alias("blocks")).where("texts > 1")
+    groups = kept(members.groupBy("group").agg(F.count("*").alias("texts"), F.ceil(F.sum("n") / BLOCK).alias("blocks")).where("texts > 1"))  # on its own, so that a large group can be split
     roots = components(verified(docs, members.join(groups, "group").select("group", "blocks", "node", "some"), id_col, text_col, shingle, similarity))
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
