@@ -25,11 +25,17 @@ def signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def met(edges: DataFrame, low: DataFrame) -> DataFrame:
+    hashed = F.xxhash64("u").alias("h")
+    return edges.select("*", hashed).join(low.select("*", hashed), ["u", "h"])
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` that isn't its own root; root is the component's smallest node.
 
     Each round links every node's smaller neighbours to its smallest one (small star), then its larger ones
-    (large star), which sees each edge from both ends and so comes after what thins them out. A round shuffles rows by node only, in aggregations that combine on the map side and joins that
+    (large star), which sees each edge from both ends and so comes after what thins them out. Joins are dealt by a
+    node and its hash, not by the node alone as the minima are: so they are shuffles of their own, which adaptive execution can split. A round shuffles rows by node only, in aggregations that combine on the map side and joins that
     can be split, so a node with very many neighbours doesn't gather in one task. Rounds grow as the
     logarithm of the longest chain. Null ends and self-loops are left out; an empty table gives no rows.
     """
@@ -41,11 +47,11 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
         if not before[0]:
             break
         low = now.groupBy("u").agg(F.min("v").alias("m"))
-        small = now.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = met(now, low).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         few = durable(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         both = few.union(few.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        now = durable(both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        now = durable(met(both, low).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         after = signature(now)
         if after == before:
             break
