@@ -89,24 +89,28 @@ def any_contains(text: Column, words: Sequence[str]) -> Column:
 def candidates(names: DataFrame, table: Mapping[str, str] = lex.INITIALS, **lists) -> DataFrame:
     """(e1 < e2, confidence, reason) of all pairs that meet a rule.
 
-    Pairs come from blocks, not from the product of all names: equal normalised names, shared pairs of neighbouring
-    characters (a name that holds another of two characters or more shares one), equal initials (an abbreviation is
-    its own), and for the title rule equal first characters of a titled name and one of up to three characters; so
-    names with a common surname don't all meet each other. Every pair that meets a rule shares one of these.
+    Pairs come from blocks, not from the product of all names: equal normalised names or names without letters at their
+    end, equal initials (an abbreviation is its own), for the substring rule the first two characters of one name anywhere
+    in the other, and for the title rule equal first characters of a titled name and one of up to three characters. So
+    names with a common surname or a common pair of characters don't all meet each other. Every pair that meets a rule shares one of these.
     """
     e = described(names.select(F.col("name")).where(F.length("name") > 0).distinct(), "name", "_", table=table, **lists)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_n") - 1, F.lit(1))), lambda i: F.concat(F.lit("g:"), F.substr(F.col("_n"), i, F.lit(2))))
-    keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("n:"), "_n"), F.concat(F.lit("i:"), "_initials")), pairs))
+    whole = F.when(F.col("_bare") == "", F.col("_n")).otherwise(F.col("_bare"))
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_n") - 1), lambda i: F.substr(F.col("_n"), i, F.lit(2))))
+    surname = F.substring("_n", 1, 1)
 
     def side(rows: DataFrame, key: Column, prefix: str) -> DataFrame:
         return rows.select(key.alias("_key"), F.col("name").alias(f"{prefix}name"), *(F.col(f"_{f}").alias(f"{prefix}{f}") for f in FEATURES))
 
-    met = side(e, F.explode(keys), "a_").join(side(e, F.explode(keys), "b_"), "_key")
-    surname = F.substring("_n", 1, 1)
-    by_title = side(e.where("_titled"), surname, "a_").join(side(e.where(F.length("_n") <= 3), surname, "b_"), "_key").where("a_name <> b_name")
-    turned = by_title.select("_key", *(F.when(F.col("a_name") < F.col("b_name"), F.col(f"{p}{f}")).otherwise(F.col(f"{q}{f}")).alias(f"{p}{f}") for p, q in (("a_", "b_"), ("b_", "a_")) for f in ("name", *FEATURES)))
-    found = met.where("a_name < b_name").unionByName(turned).withColumn("_m", rule()).where(F.col("_m").isNotNull())
-    return found.select(F.col("a_name").alias("e1"), F.col("b_name").alias("e2"), "_m.*").distinct()
+    def met(first: DataFrame, key: Column, second: DataFrame, other: Column) -> DataFrame:
+        return side(first, key, "a_").join(side(second, other, "b_"), "_key").where("a_name <> b_name")
+
+    long = e.where(F.length("_n") >= 2)
+    found = met(e, whole, e, whole).unionByName(met(e, F.col("_initials"), e, F.col("_initials"))).unionByName(met(long, F.explode(pairs), long, F.substring("_n", 1, 2))).unionByName(met(e.where("_titled"), surname, e.where(F.length("_n") <= 3), surname))
+    # the smaller name first
+    turned = found.select(*(F.when(F.col("a_name") < F.col("b_name"), F.col(f"{p}{f}")).otherwise(F.col(f"{q}{f}")).alias(f"{p}{f}") for p, q in (("a_", "b_"), ("b_", "a_")) for f in ("name", *FEATURES)))
+    held = turned.withColumn("_m", rule()).where(F.col("_m").isNotNull())
+    return held.select(F.col("a_name").alias("e1"), F.col("b_name").alias("e2"), "_m.*").distinct()
 
 
 def confirmed(found: DataFrame, structure: DataFrame, threshold: float = 0.75, least: float = 0.3, confirm=None) -> DataFrame:
