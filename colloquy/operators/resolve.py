@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import lexicon as lex
-from colloquy.operators.components import components
+from colloquy.operators.components import components, durable
 
 HAN = r"\x{4e00}-\x{9fff}"
 
@@ -94,7 +94,7 @@ def candidates(names: DataFrame, table: Mapping[str, str] = lex.INITIALS, **list
     in the other, and for the title rule equal first characters of a titled name and one of up to three characters. So
     names with a common surname or a common pair of characters don't all meet each other. Every pair that meets a rule shares one of these.
     """
-    e = described(names.select(F.col("name")).where(F.length("name") > 0).distinct(), "name", "_", table=table, **lists)
+    e = durable(described(names.select(F.col("name")).where(F.length("name") > 0).distinct(), "name", "_", table=table, **lists))  # read from eight places
     whole = F.when(F.col("_bare") == "", F.col("_n")).otherwise(F.col("_bare"))
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_n") - 1), lambda i: F.substr(F.col("_n"), i, F.lit(2))))
     surname = F.substring("_n", 1, 1)

@@ -39,14 +39,14 @@ def build(spark: SparkSession, path: str, config: Config = Config()) -> dict[str
     people = edges.persons(rows)
     names = spark.createDataFrame([(n,) for n in config.names], "name string")
     found = names.union(entities.titled(rows, config.titles).select("name")).distinct() if config.titles else names
-    known = entities.excluded(found, people, (*config.generic_names, *config.stop_names))
+    known = entities.excluded(found, people, (*config.generic_names, *config.stop_names)).cache()
     annotator = config.annotator or annotate.ContextRules(config.names)
     topics = spark.createDataFrame(list(config.topics), "topic string, keyword string")
-    mentioned = edges.mentions(rows, known.select(F.col("name").alias("entity")))
+    mentioned = edges.mentions(rows, known.select(F.col("name").alias("entity"))).cache()
     tied = relations.relationships(rows)
     weighted = tied.select(F.col("p1").alias("src"), F.col("p2").alias("dst"), F.col("interaction_strength").alias("weight"))
     counts = mentioned.groupBy(F.col("entity").alias("name")).agg(F.count("*").alias("n"))
-    pairs = resolve.candidates(known)
+    pairs = resolve.candidates(known).cache()
     knows = edges.cooccurrence(mentioned, "msg_id", "entity")
     structure = graph.neighbor_jaccard(knows.select(F.col("p1").alias("src"), F.col("p2").alias("dst")), pairs.select(F.col("e1").alias("p1"), F.col("e2").alias("p2")))
     return {

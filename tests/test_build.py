@@ -53,7 +53,7 @@ def test_groups_are_known_by_their_type_not_their_name(spark, tmp_path):
 
 def test_commands(spark, tmp_path, capsys):
     (tmp_path / "in").mkdir()
-    said = [("我爱吃面", 0), ("哈哈", 1), ("我很喜欢这张", 0)]
+    said = [("我爱吃面", 0), ("哈哈", 1), ("我很喜欢这张", 0), ("赵老师", 1)]
     messages = [{"localId": i + 1, "type": "text", "content": t, "isSend": s, "senderDisplayName": None, "createTime": 1_700_000_000 + i, "formattedTime": "2024-01-01"} for i, (t, s) in enumerate(said)]
     (tmp_path / "in" / "a.json").write_text(json.dumps({"session": {"wxid": "wxid_1", "displayName": "Peer"}, "messages": messages}), encoding="utf-8")
     out = lambda name: str(tmp_path / name)
@@ -63,6 +63,8 @@ def test_commands(spark, tmp_path, capsys):
     assert [r.content for r in command.run("search", [out("in"), "吃面,哈哈"], spark).collect()] == ["哈哈", "我爱吃面"]
     command.run("documents", [out("in"), out("docs"), "Peer"], spark)
     assert "我爱吃面" in "\n".join(r.value for r in spark.read.text(out("docs/memories")).collect())
+    command.run("personas", [out("in"), out("people")], spark)
+    assert [r.name for r in spark.read.json(out("people/_summary")).collect()] == ["赵老师"]
     (tmp_path / "r.jsonl").write_text('{"id": 1, "context": "a", "reply": "b", "real": "c"}\n')
     command.run("evaluate", [out("r.jsonl"), out("report")], spark)
     assert spark.read.json(out("report")).first().n == 1
