@@ -136,10 +136,14 @@ def test_bloom_never_misses(spark):
     keys = spark.range(2000).selectExpr("concat('k', id) as key")
     blocks = 2000 * 16 // 512
     f = uf.bloom(keys, "key", blocks)
-    probe = uf.with_masks(spark.range(4000).selectExpr("concat('k', id) as key"), "key", blocks).join(f, uf.F.col("bloom_block") == uf.F.col("block"))
-    passed = probe.where(" and ".join(f"(w{i} & bloom_{i}) <> 0" for i in range(uf.WORDS)))
-    names = {r.key for r in passed.select("key").collect()}
-    assert {f"k{i}" for i in range(2000)} <= names and len(names) < 2000 + 60
+    F = uf.F
+    probe = spark.range(4000).selectExpr("concat('k', id) as key")
+    joined = probe.withColumn("block", uf.block_of(F.col("key"), blocks)).join(f, "block").where(uf.inside([F.col(f"w{i}") for i in range(uf.WORDS)], F.col("key")))
+    longs = uf.literal(f, blocks)
+    first = uf.block_of(F.col("key"), blocks).cast("int") * uf.WORDS
+    constant = probe.where(uf.inside([F.element_at(longs, first + i + 1) for i in range(uf.WORDS)], F.col("key")))
+    names = {r.key for r in constant.collect()}
+    assert {r.key for r in joined.collect()} == names and {f"k{i}" for i in range(2000)} <= names and len(names) < 2000 + 60
 
 
 def test_license_scan(spark, docs):
