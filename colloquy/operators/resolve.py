@@ -99,18 +99,17 @@ def candidates(names: DataFrame, table: Mapping[str, str] = lex.INITIALS, **list
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_n") - 1), lambda i: F.substr(F.col("_n"), i, F.lit(2))))
     surname = F.substring("_n", 1, 1)
 
-    def side(rows: DataFrame, key: Column, prefix: str) -> DataFrame:
-        return rows.select(key.alias("_key"), F.col("name").alias(f"{prefix}name"), *(F.col(f"_{f}").alias(f"{prefix}{f}") for f in FEATURES))
-
     def met(first: DataFrame, key: Column, second: DataFrame, other: Column) -> DataFrame:
-        return side(first, key, "a_").join(side(second, other, "b_"), "_key").where("a_name <> b_name")
+        return first.select(key.alias("_key"), F.col("name").alias("x")).join(second.select(other.alias("_key"), F.col("name").alias("y")), "_key").where("x <> y")
 
     long = e.where(F.length("_n") >= 2)
-    found = met(e, whole, e, whole).unionByName(met(e, F.col("_initials"), e, F.col("_initials"))).unionByName(met(long, F.explode(pairs), long, F.substring("_n", 1, 2))).unionByName(met(e.where("_titled"), surname, e.where(F.length("_n") <= 3), surname))
-    # the smaller name first
-    turned = found.select(*(F.when(F.col("a_name") < F.col("b_name"), F.col(f"{p}{f}")).otherwise(F.col(f"{q}{f}")).alias(f"{p}{f}") for p, q in (("a_", "b_"), ("b_", "a_")) for f in ("name", *FEATURES)))
-    held = turned.withColumn("_m", rule()).where(F.col("_m").isNotNull())
-    return held.select(F.col("a_name").alias("e1"), F.col("b_name").alias("e2"), "_m.*").distinct()
+    blocks = (met(e, whole, e, whole), met(e, F.col("_initials"), e, F.col("_initials")), met(long, F.explode(pairs), long, F.substring("_n", 1, 2)), met(e.where("_titled"), surname, e.where(F.length("_n") <= 3), surname))
+    ends = [found.select(F.least("x", "y").alias("a_name"), F.greatest("x", "y").alias("b_name")) for found in blocks]
+    each = ends[0].union(ends[1]).union(ends[2]).union(ends[3]).distinct()
+    for side in ("a_", "b_"):  # the features come to what is left
+        each = each.join(e.select(F.col("name").alias(f"{side}name"), *(F.col(f"_{f}").alias(f"{side}{f}") for f in FEATURES)), f"{side}name")
+    held = each.withColumn("_m", rule()).where(F.col("_m").isNotNull())
+    return held.select(F.col("a_name").alias("e1"), F.col("b_name").alias("e2"), "_m.*")
 
 
 def confirmed(found: DataFrame, structure: DataFrame, threshold: float = 0.75, least: float = 0.3, confirm=None) -> DataFrame:
